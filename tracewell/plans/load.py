@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracewell.plans import registry
 
-MODULES = ("records",)
+MODULES = ("records", "metrics")
 
 
 def _load() -> None:
