@@ -104,3 +104,9 @@ def time_decay(gap_seconds: Column) -> Column:
 def ratio(top: Column, bottom: Column) -> Column:
     """Quotient with 0 for an empty denominator."""
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+
+
+def round_even(c: Column, digits: int) -> Column:
+    """Round half to even on the scaled value, as the ties of hour gaps need."""
+    scale = float(10 ** digits)
+    return F.rint(c * F.lit(scale)) / F.lit(scale)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracewell.plans import registry
 
-MODULES = ("records", "metrics")
+MODULES = ("records", "metrics", "retrieval")
 
 
 def _load() -> None:

@@ -7,6 +7,7 @@ Every view is row-local or an equi join, so it grows with the tables.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
+from tracewell.session import scratch_dir
 
 EMBED_DIMS = 64
 
@@ -23,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table in the shared folder, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_dir(spark)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 # --- log lines -----------------------------------------------------------------
 # The CASE texts below are valid in both engines and are therefore shared.
 _LEVEL = "CASE WHEN value > 113 THEN 'FATAL' WHEN value > 69 THEN 'ERROR' ELSE 'INFO' END"
