@@ -101,3 +101,8 @@ def with_query_prefix(c: Column) -> Column:
 def order_key(key: Column, seed: int = cfg.SEED) -> Column:
     """Reproducible shuffle key."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Fixed decimals of the exact binary value, as C and Python print them."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits))

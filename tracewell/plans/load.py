@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracewell.plans import registry
 
-MODULES = ("records", "metrics", "retrieval")
+MODULES = ("records", "metrics", "retrieval", "context")
 
 
 def _load() -> None:
