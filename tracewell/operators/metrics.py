@@ -11,6 +11,7 @@ from tracewell import config as cfg
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
 from tracewell.functions.ordered import exact_percentiles, running_totals
+from tracewell.session import fitted
 
 
 def class_balance(df: DataFrame, class_col: str = "is_normal") -> DataFrame:
@@ -96,12 +97,13 @@ def score_percentile(df: DataFrame, score: str, shares: dict[str, float],
 
 
 def fbeta_threshold(df: DataFrame, score: str, percentile: float = cfg.PSEUDO_PERCENTILE,
-                    beta: float = cfg.FBETA) -> DataFrame:
+                    beta: float = cfg.FBETA, cut: DataFrame | None = None) -> DataFrame:
     """Threshold with the best F-beta against scores at or above a percentile.
 
     The lowest threshold wins a tie, as the first maximum of an ascending curve.
     """
-    cut = exact_percentiles(df, score, {"p": percentile / 100.0}).select("p")
+    if cut is None:
+        cut = fitted(exact_percentiles(df, score, {"p": percentile / 100.0}).select("p"))
     marked = df.where(F.col(score).isNotNull()).withColumn("_cut", cut.scalar()).withColumn(
         "_pseudo", F.when(F.col(score) >= F.col("_cut"), 1).otherwise(0))
     curve = pr_curve(marked, score, "_pseudo")

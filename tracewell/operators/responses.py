@@ -35,11 +35,24 @@ RISK_FACTORS = {
 }
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    A plain projection would be copied into every later use, and into filters
+    pushed below it; a generated column is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def json_part(raw: Column) -> Column:
-    """The widest ``{...}`` of an answer without code fences; null if absent."""
+    """The widest ``{...}`` of an answer without code fences; empty if absent."""
     bare = F.rtrim(strip(F.regexp_replace(raw, FENCE, "")), F.lit("`"))
-    found = F.regexp_extract(bare, OBJECT, 1)
-    return F.when(found != "", found)
+    return F.regexp_extract(bare, OBJECT, 1)
+
+
+def _with_object(df: DataFrame, raw: str) -> DataFrame:
+    """Add ``_v``, the parsed object of an answer text."""
+    return _once(_once(df, "_j", json_part(F.col(raw))), "_v", valid_object(F.col("_j"))).drop("_j")
 
 
 def valid_object(text: Column) -> Column:
@@ -83,46 +96,43 @@ def _clamp01(c: Column) -> Column:
 
 def parse_response(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Full schema; any unreadable number puts the whole row on the defaults."""
-    parsed = df.withColumn("_v", valid_object(json_part(F.col(raw))))
+    staged = _with_object(df, raw)
     v = F.col("_v")
-    has_confidence = _present(v, "$.confidence")
-    confidence = F.when(has_confidence, _number(v, "$.confidence")).otherwise(F.lit(0.5))
+    confidence = F.when(_present(v, "$.confidence"), _number(v, "$.confidence")).otherwise(F.lit(0.5))
     label = F.when(_present(v, "$.label"), _text(v, "$.label")).otherwise(F.lit(cfg.NORMAL))
     factors = {name: _factor(v, path) for name, path in RISK_FACTORS.items()}
+    staged = _once(staged, "_m", F.struct(
+        label.alias("label"), confidence.alias("confidence"),
+        *[value.alias(name) for name, (value, _) in factors.items()],
+        *[ok.alias(f"{name}_ok") for name, (_, ok) in factors.items()]))
+    m = F.col("_m")
+    anomalous = m["label"] == cfg.ANOMALOUS
     readable = F.lit(True)
-    for _, ok in factors.values():
-        readable = readable & ok
-    parsed = (
-        parsed.withColumn("_anom", label == cfg.ANOMALOUS)
-        .withColumn("_ok", F.coalesce(
-            v.isNotNull() & confidence.isNotNull() & (~F.col("_anom") | readable), F.lit(False)))
-    )
-    ok, detail = F.col("_ok"), F.col("_ok") & F.col("_anom")
+    for name in RISK_FACTORS:
+        readable = readable & m[f"{name}_ok"]
+    staged = _once(staged, "_ok", F.coalesce(
+        v.isNotNull() & m["confidence"].isNotNull() & (~anomalous | readable), F.lit(False)))
+    ok, detail = F.col("_ok"), F.col("_ok") & anomalous
     none = F.array().cast("array<string>")
-    out = (
-        parsed.withColumn("label", F.when(ok, label).otherwise(cfg.NORMAL))
-        .withColumn("confidence", F.when(ok, _clamp01(confidence)).otherwise(F.lit(0.5)))
-        .withColumn("parse_error", ~ok)
-    )
-    for name, path in DETAIL_TEXTS.items():
-        out = out.withColumn(name, F.when(detail, _text(v, path)).otherwise(""))
-    for name, path in DETAIL_LISTS.items():
-        out = out.withColumn(name, F.when(detail, F.coalesce(
-            F.try_variant_get(v, path, "array<string>"), none)).otherwise(none))
-    for name, (value, _) in factors.items():
-        bounded = F.greatest(F.lit(1), F.least(F.lit(4), value))
-        out = out.withColumn(name, F.when(detail, bounded).otherwise(F.lit(0)))
-    total = S.risk_total(*[F.col(name) for name in RISK_FACTORS])
-    return (
-        out.withColumn("risk_total_score", F.when(detail, total).otherwise(F.lit(0.0)))
-        .withColumn("risk_level", F.when(detail, S.risk_level(total)).otherwise(""))
-        .drop("_v", "_anom", "_ok")
+    bounded = {name: F.greatest(F.lit(1), F.least(F.lit(4), m[name])) for name in RISK_FACTORS}
+    total = S.risk_total(*bounded.values())
+    return staged.select(
+        *df.columns,
+        F.when(ok, m["label"]).otherwise(cfg.NORMAL).alias("label"),
+        F.when(ok, _clamp01(m["confidence"])).otherwise(F.lit(0.5)).alias("confidence"),
+        (~ok).alias("parse_error"),
+        *[F.when(detail, _text(v, path)).otherwise("").alias(name) for name, path in DETAIL_TEXTS.items()],
+        *[F.when(detail, F.coalesce(F.try_variant_get(v, path, "array<string>"), none)).otherwise(none)
+          .alias(name) for name, path in DETAIL_LISTS.items()],
+        *[F.when(detail, value).otherwise(F.lit(0)).alias(name) for name, value in bounded.items()],
+        F.when(detail, total).otherwise(F.lit(0.0)).alias("risk_total_score"),
+        F.when(detail, S.risk_level(total)).otherwise("").alias("risk_level"),
     )
 
 
 def parse_response_short(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Five fields; an unreadable confidence is 0.5 without failing the row."""
-    parsed = df.withColumn("_v", valid_object(json_part(F.col(raw))))
+    parsed = _with_object(df, raw)
     v, ok = F.col("_v"), F.col("_v").isNotNull()
     label = F.when(_present(v, "$.label"), _text(v, "$.label")).otherwise(F.lit(cfg.NORMAL))
     out = (
@@ -139,8 +149,7 @@ def parse_judge_score(df: DataFrame, raw: str = "raw") -> DataFrame:
     """(score, reason) from JSON, else from the first number in the text."""
     bare = strip(F.regexp_replace(F.col(raw), THINKING, ""))
     content = F.when(bare != "", bare).otherwise(F.col(raw))
-    staged = df.withColumn("_c", content)
-    staged = staged.withColumn("_v", valid_object(json_part(F.col("_c"))))
+    staged = _with_object(_once(df, "_c", content), "_c")
     v = F.col("_v")
     given = F.when(_present(v, "$.score"), _number(v, "$.score")).otherwise(F.lit(0.0))
     parsed = v.isNotNull() & given.isNotNull()

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: int = 8,
@@ -38,3 +38,14 @@ def scratch_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"tracewell-{uuid.uuid4().hex}")
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """The one row of fitted parameters, computed now and kept as a local row.
+
+    Later plans then hold the numbers themselves instead of the fit.
+    """
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"fitted parameters must be one row, got {len(rows)}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
