@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracewell.plans import registry
 
-MODULES = ("records", "metrics", "retrieval", "context", "responses", "oneclass")
+MODULES = ("records", "metrics", "retrieval", "context", "responses", "oneclass", "sources")
 
 
 def _load() -> None:
