@@ -158,7 +158,8 @@ def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float],
     """Linear-interpolated percentiles, exact, one row per group.
 
     ``shares`` maps an output column to a share in [0, 1].  Nulls are left out.
-    Also returns ``n``, the number of values.
+    Also returns ``n``, the number of values.  Bucket totals say which buckets
+    hold the wanted ranks; only the values of those buckets are ranked.
     """
     by = list(by)
     counts = (
@@ -166,32 +167,55 @@ def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float],
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counts, by, "_v", {"_n": "_cum"})
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
-    if by:
-        rows = ranked.join(sizes, by)
-    else:
-        rows = ranked.withColumn("n", sizes.scalar())
-    lo_rank = F.col("_cum") - F.col("_n")  # zero-based rank of the first copy
-    aggs = []
-    for out, share in shares.items():
+    rows = value_bucket(counts, "_v")
+    totals = rows.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = []
+    for name, share in shares.items():
         at = F.lit(float(share)) * (F.col("n") - 1)
-        floor, frac = F.floor(at), at - F.floor(at)
-
-        def pick(position: Column) -> Column:
-            return F.when((lo_rank <= position) & (position < F.col("_cum")), F.col("_v"))
-
-        above = F.least(floor + 1, F.col("n") - 1)
-        aggs += [
-            F.max(pick(floor)).alias(f"_lo_{out}"),
-            F.max(pick(above)).alias(f"_hi_{out}"),
-            F.max(frac).alias(f"_f_{out}"),
+        floor = F.floor(at)
+        wanted += [
+            F.struct(F.lit(name).alias("name"), F.lit(0).alias("side"), floor.alias("at"), (at - floor).alias("frac")),
+            F.struct(F.lit(name).alias("name"), F.lit(1).alias("side"),
+                     F.least(floor + 1, F.col("n") - 1).alias("at"), (at - floor).alias("frac")),
         ]
-    picked = rows.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
-    return picked.select(
-        *by, "n",
-        *[
-            (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o)
-            for o in shares
-        ],
+    start = F.col("_off")
+    spots = (
+        totals.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+        .withColumn("n", F.sum("_bn").over(whole))
+        .withColumn("_w", F.filter(F.array(*wanted), lambda p: (
+            (p["at"] >= start) & (p["at"] < start + F.col("_bn")))))
+        .where(F.size("_w") > 0).select(*by, "_b", "_off", "n", "_w")
     )
+    inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.join(spots, [*by, "_b"]).withColumn("_cum", start + F.sum("_n").over(inner))
+    found = ranked.select(*by, "n", "_v", F.explode(F.filter("_w", lambda p: (
+        (p["at"] >= F.col("_cum") - F.col("_n")) & (p["at"] < F.col("_cum"))))).alias("_p"))
+
+    def side(name: str, which: int) -> Column:
+        hit = (F.col("_p.name") == name) & (F.col("_p.side") == which)
+        return F.max(F.when(hit, F.col("_v")))
+
+    return found.groupBy(*by).agg(F.max("n").alias("n"), *[
+        (side(o, 0) + (side(o, 1) - side(o, 0)) * F.max(F.when(F.col("_p.name") == o, F.col("_p.frac")))).alias(o)
+        for o in shares
+    ])
+
+
+HOT_ROWS = 1_000_000  # rows of one group that go through one hash map
+
+
+def grouped_median(df: DataFrame, group: str, value: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Median per group for many groups, of which a few may be huge.
+
+    Ordinary groups use the built-in aggregate, whose memory grows with the
+    group; a group above ``hot_rows`` is ranked in buckets.  At most
+    rows / hot_rows groups can be hot, so their names are broadcast.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
+    hot = F.broadcast(
+        rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(group))
+    plain = rows.join(hot, group, "left_anti").groupBy(group).agg(F.percentile(value, 0.5).alias(out))
+    large = exact_percentiles(rows.join(hot, group, "left_semi"), value, {out: 0.5}, [group])
+    return plain.unionByName(large.select(group, out))

@@ -70,10 +70,10 @@ def _kernel() -> Kernel:
         row = pc.list_parent_indices(weights).to_numpy()
         matrix = np.zeros((len(weights), max(1, len(vocabulary))))
         np.add.at(matrix, (row, column), weight)
-        return vocabulary, matrix, queries["avg_len"][0].as_py() or 1.0
+        return vocabulary, matrix, queries["avg_len"][0].as_py() or 1.0, bool((weight > 0).all())
 
     def score(model, rows: pa.Table) -> np.ndarray:
-        vocabulary, matrix, avg_len = model
+        vocabulary, matrix, avg_len, positive = model
         out = np.empty((matrix.shape[0], rows.num_rows))
         step = max(1, MATRIX_CELLS // matrix.shape[1])
         for start in range(0, rows.num_rows, step):
@@ -86,8 +86,11 @@ def _kernel() -> Kernel:
             tf = np.bincount(cell, minlength=len(words) * matrix.shape[1]).reshape(len(words), -1)
             soft = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / avg_len))[:, None])
             part = matrix @ soft.T
-            shared = (matrix != 0).astype(np.float32) @ (tf > 0).T.astype(np.float32)
-            out[:, start:start + step] = np.where(shared > 0, part, -np.inf)
+            if positive:  # then a score above zero means a shared word
+                shared = part > 0
+            else:
+                shared = (matrix != 0).astype(np.float32) @ (tf > 0).T.astype(np.float32) > 0
+            out[:, start:start + step] = np.where(shared, part, -np.inf)
         return out
 
     return Kernel(prepare, score)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
-from tracewell.functions.ordered import exact_percentiles, running_totals
+from tracewell.functions.ordered import exact_percentiles, grouped_median, running_totals
 from tracewell.session import fitted
 
 
@@ -147,7 +147,7 @@ def text_time_index(df: DataFrame, text_col: str = "log_text", ts_col: str = "lo
     rows = df.select(F.col(text_col).alias("text"), F.col(ts_col).alias("ts"))
     if texts is not None:
         rows = rows.join(texts.select("text").distinct(), "text", "left_semi")
-    return exact_percentiles(rows, "ts", {"median_ts": 0.5}, ["text"]).select("text", "median_ts")
+    return grouped_median(rows, "text", "ts", "median_ts")
 
 
 def time_range(index: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tracewell.functions import scoring as S
 from tracewell.functions import text as T
 from tracewell.operators import splits
 
-MAX_DICTIONARY = 10_000  # entries that may travel as one map value
+MAX_DICTIONARY = 10_000  # entries that may travel as one value
 
 
 def label_flags(df: DataFrame, label_col: str, normal_value: str) -> DataFrame:
@@ -48,20 +48,27 @@ def build_trace_text(traces: DataFrame, templates: DataFrame, wildcard: str = "<
                      key: str = "block_id") -> DataFrame:
     """Readable text of a trace: templates of its events in first-seen order.
 
-    A dictionary of proven size travels as one map value, so traces are not
-    shuffled at all; a larger one is joined event by event.
+    Event numbers below a bound index one array, read by position, so traces
+    are not shuffled; a dictionary with other numbers is joined event by event.
     """
-    words = templates.select(
-        "event_id", T.clean_template(F.col("event_template"), wildcard).alias("t"))
-    small = templates.limit(MAX_DICTIONARY + 1).count() <= MAX_DICTIONARY
+    words = templates.groupBy("event_id").agg(
+        F.max(T.clean_template(F.col("event_template"), wildcard)).alias("t"))
+    number = F.substr("event_id", F.lit(2)).try_cast("int")
+    plain = F.coalesce((F.concat(F.lit("E"), number) == F.col("event_id")) & (number < MAX_DICTIONARY), F.lit(False))
+    odd = templates.where(F.rlike("event_id", F.lit(r"^E\d+$")) & ~plain)
     ids = T.trace_events(F.coalesce(F.col("features"), F.lit("")))
-    if small:
-        one = words.groupBy("event_id").agg(F.max("t").alias("t")).agg(
-            F.map_from_entries(F.collect_list(F.struct("event_id", "t"))).alias("m"))
-        named = traces.withColumn("_m", one.scalar()).withColumn(
-            "_seq", F.transform(ids, lambda e: F.coalesce(F.element_at("_m", e), e))).drop("_m")
+    if odd.isEmpty():
+        one = words.where(plain).agg(F.collect_list(F.struct(number.alias("i"), "t")).alias("known")).select(
+            _by_number(F.col("known")).alias("a"))
+
+        def name(e):
+            at = F.substr(e, F.lit(2)).try_cast("int")
+            same = F.concat(F.lit("E"), at) == e
+            return F.coalesce(F.when(same, F.get("_a", at)), e)
+
+        named = traces.withColumn("_a", one.scalar()).withColumn("_seq", F.transform(ids, name))
         return named.withColumn(
-            "log_text", F.concat(F.lit(cfg.TRACE_PREFIX), F.array_join("_seq", " -> "))).drop("_seq")
+            "log_text", F.concat(F.lit(cfg.TRACE_PREFIX), F.array_join("_seq", " -> "))).drop("_a", "_seq")
     steps = traces.select(key, F.posexplode(ids).alias("_pos", "event_id"))
     named = lookup_or_self(steps, words, "event_id", "t")
     # distinct events of one trace: at most the size of the dictionary
@@ -73,6 +80,14 @@ def build_trace_text(traces: DataFrame, templates: DataFrame, wildcard: str = "<
     )).drop("_seq")
 
 
+def _by_number(known: Column) -> Column:
+    """Array whose place n holds the text of number n, null where there is none."""
+    table = F.map_from_entries(known)
+    top = F.coalesce(F.array_max(F.transform(known, lambda s: s["i"])), F.lit(-1))
+    places = F.when(top >= 0, F.sequence(F.lit(0), top)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.element_at(table, i))
+
+
 def standard_payload(df: DataFrame, category: str, dataset: str, source: str) -> DataFrame:
     """The eleven text fields of a stored record, missing ones empty, plus an id."""
     fixed = {"category": category, "dataset": dataset, "source": source}

@@ -115,7 +115,7 @@ _PARAS = ("SELECT doc_id, pos - 1 AS pos, length(regexp_replace(x, '^\\s+|\\s+$'
 
 @query("paragraphs_from_text", V.sql("SELECT doc_id, pos::INT AS pos, is_heading, text FROM p", extra={"p": _PARAS}))
 def _(spark, d):
-    return documents.paragraph_rows(documents.paragraphs_from_text(V.table(spark, d, "documents")), "doc_id")
+    return documents.paragraph_rows(documents.paragraphs_from_text(V.table(spark, d, "documents", spread=True)), "doc_id")
 
 
 _ENT = "regexp_replace(split_part(substr(x, 2), chr(2), 1), '<[^>]+>', ' ', 'g')"
@@ -131,7 +131,7 @@ _HTML = (f"SELECT page_id, (pos - 1)::INT AS pos, starts_with(x, 'H') AS is_head
 
 @query("paragraphs_from_html", V.sql(_HTML))
 def _(spark, d):
-    return documents.paragraph_rows(documents.paragraphs_from_html(V.table(spark, d, "pages")), "page_id")
+    return documents.paragraph_rows(documents.paragraphs_from_html(V.table(spark, d, "pages", spread=True)), "page_id")
 
 
 # greedy chunks as a recursion over the units of a document
@@ -156,7 +156,7 @@ CHUNK_SQL = f"WITH RECURSIVE p AS ({_PARAS}), un AS ({_UNITS}), st AS ({_STEP}),
 
 @query("chunk_sections", CHUNK_SQL + "SELECT * FROM ch")
 def _(spark, d):
-    docs = documents.paragraphs_from_text(V.table(spark, d, "documents"))
+    docs = documents.paragraphs_from_text(V.table(spark, d, "documents", spread=True))
     return documents.chunk_sections(docs, "doc_id")
 
 
@@ -164,7 +164,7 @@ def _(spark, d):
     {"text": "text", "dataset": "'BGL'", "category": "'architecture'", "source": "'documents'", "section": "section"}.get(f, "''")
     for f in cfg.PAYLOAD_FIELDS) + ") AS id, text, section, 'architecture' AS category FROM ch")
 def _(spark, d):
-    out = documents.section_corpus(V.table(spark, d, "documents"), "doc_id", "architecture", "BGL", "documents")
+    out = documents.section_corpus(V.table(spark, d, "documents", spread=True), "doc_id", "architecture", "BGL", "documents")
     return out.select("id", "text", "section", "category")
 
 

@@ -27,13 +27,13 @@ _HASHED = f"""SELECT doc_id, list_transform(range({V.EMBED_DIMS}), lambda b: len
     "SELECT doc_id, " + _FOLD.format(v="list_transform(c, lambda x: CASE WHEN nrm > 0 THEN x / nrm ELSE 0 END)") + " AS fold FROM ("
     "SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS nrm FROM hc)", extra={"hc": _HASHED}))
 def _(spark, d):
-    out = vectors.hashed_embedding(V.table(spark, d, "documents").select("doc_id", "text"), "text", V.EMBED_DIMS)
+    out = vectors.hashed_embedding(V.table(spark, d, "documents", spread=True).select("doc_id", "text"), "text", V.EMBED_DIMS)
     return out.select("doc_id", _fold(F.col("vector")).alias("fold"))
 
 
 @query("tfidf_embedding")
 def _(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    docs = V.table(spark, d, "documents", spread=True).select("doc_id", "text")
     return vectors.tfidf_embedding(docs, "text", 256).select("doc_id", _fold(F.col("vector")).alias("fold"))
 
 

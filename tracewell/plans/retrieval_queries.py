@@ -88,7 +88,7 @@ _DOCS = sql_bm25("(SELECT doc_id AS item_id, text FROM documents)", "(SELECT ite
 
 def _docs(spark, d):
     q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    c = V.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", "source")
+    c = V.table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("item_id"), "text", "source")
     return q, c
 
 

@@ -80,7 +80,7 @@ def _(spark, d):
     "{'o': -length(replace(t.event_template, '<*>', '')), 'e': t.event_id}) AS event_id FROM logs_v l JOIN templates_v t "
     "ON l.content LIKE replace(t.event_template, '<*>', '_%') GROUP BY 1) b ON l.line_id = b.line_id", "templates_v"))
 def _(spark, d):
-    return L.assign_template(V.logs(spark, d).select("line_id", "content"), V.templates(spark, d)).select(
+    return L.assign_template(V.logs(spark, d, spread=True).select("line_id", "content"), V.templates(spark, d)).select(
         "line_id", "assigned")
 
 
@@ -139,8 +139,8 @@ _BUILD = ("WITH RECURSIVE " + V.sql("", "records_v", "traces_v").strip()[len("WI
 
 @query("build_corpus", _BUILD)
 def _(spark, d):
-    docs = V.table(spark, d, "documents")
-    pages = documents.paragraphs_from_html(V.table(spark, d, "pages"))
+    docs = V.table(spark, d, "documents", spread=True)
+    pages = documents.paragraphs_from_html(V.table(spark, d, "pages", spread=True))
     parts = {
         "bgl_logs": (records.log_corpus(V.log_records(spark, d)), "events"),
         "hdfs_logs": (records.trace_corpus(V.traces(spark, d), V.templates(spark, d)), "documents"),

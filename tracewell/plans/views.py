@@ -20,9 +20,16 @@ from tracewell.session import scratch_dir
 EMBED_DIMS = 64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table.  ``spread`` is for work that is heavy per row: a table of
+    fewer splits than the cluster has cores is dealt out to all of them.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -45,9 +52,9 @@ _LABEL = "CASE WHEN event_type = 'error' AND value > 90 THEN 'ERR' ELSE '-' END"
 _NOTE = "CASE event_type WHEN 'click' THEN ' corrected' WHEN 'view' THEN ' retry' ELSE '' END"
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """One structured log line per event."""
-    ev = table(spark, sf_dir, "events").withColumn(
+    ev = table(spark, sf_dir, "events", spread).withColumn(
         "k", F.get_json_object("props", "$.k").cast("bigint")
     ).withColumn("c", F.col("user_id") % 7)
     node = F.format_string(
@@ -125,7 +132,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One encoded trace per document: each word stands for an event id."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     flags = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     events = F.transform(
         T.tokens(F.col("text")),
@@ -195,7 +202,7 @@ _JUDGE = (
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw answer texts of every shape, one per event, in attempts of three."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread=True)
     k = F.get_json_object("props", "$.k")
     base = ev.select(
         F.col("event_id").alias("id"), k.alias("k"), F.format_string("%.2f", "value").alias("v"),
