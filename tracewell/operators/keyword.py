@@ -7,13 +7,14 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
 from tracewell.functions import text as T
 from tracewell.functions.scoring import hit_label
 from tracewell.operators.blockjoin import Kernel, best_k
+from tracewell.session import cut, fitted
 
 MATRIX_CELLS = 4_000_000  # rows * terms of one scoring step
 
@@ -26,35 +27,36 @@ def postings(corpus: DataFrame, item: str = "item_id", text: str = "text") -> Da
 
 
 def term_statistics(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): documents per term; hot terms combine before the shuffle."""
-    return corpus.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy(
-        "term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df, words) in one pass; hot terms combine before the shuffle.
 
-
-def corpus_statistics(corpus: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """One row: documents, mean length, mean inverse document frequency."""
-    sizes = corpus.select(F.size(T.tokens(F.col(text))).alias("len")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    n = sizes.select("n").scalar()
-    mean = terms.agg(F.avg(_idf(n, F.col("df"))).alias("mean_idf"))
-    return sizes.withColumn("mean_idf", mean.scalar())
+    The row with a null term counts every document once: its ``df`` is the
+    number of documents and its ``words`` their total length.
+    """
+    words = corpus.select(T.tokens(F.col(text)).alias("w"))
+    marks = F.array_append(F.array_distinct("w"), F.lit(None).cast("string"))
+    return words.select(F.size("w").alias("len"), F.explode(marks).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("len").alias("words"))
 
 
-def _idf(n, df):
+def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
 def bm25_index(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Term table (term, df, idf) and the one-row corpus statistics.
+    """Term table (term, df, idf) and the fitted row (n, avg_len, mean_idf).
 
-    A negative inverse document frequency is replaced by a share of the mean.
+    The counted vocabulary is written once, as an index is.  A negative inverse
+    document frequency is replaced by a share of the mean.
     """
-    terms = term_statistics(corpus, text)
-    stats = corpus_statistics(corpus, terms, text)
-    one = stats.select(F.struct("n", "mean_idf")).scalar()
-    idf = terms.withColumn("_s", one).withColumn("_i", _idf(F.col("_s.n"), F.col("df"))).select(
-        "term", "df",
-        F.when(F.col("_i") < 0, F.col("_s.mean_idf") * cfg.BM25_EPSILON).otherwise(F.col("_i")).alias("idf"))
+    counted = cut(term_statistics(corpus, text))
+    sizes = fitted(counted.where(F.col("term").isNull()).agg(
+        F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.max("words") / F.max("df")).alias("avg_len")))
+    terms = counted.where(F.col("term").isNotNull()).withColumn("_n", sizes.select("n").scalar())
+    raw = terms.select("term", "df", _idf(F.col("_n"), F.col("df")).alias("_i"))
+    stats = fitted(sizes.withColumn("mean_idf", raw.agg(F.avg("_i")).scalar()))
+    floor = stats.select(F.col("mean_idf") * cfg.BM25_EPSILON).scalar()
+    idf = raw.withColumn("_f", floor).select(
+        "term", "df", F.when(F.col("_i") < 0, F.col("_f")).otherwise(F.col("_i")).alias("idf"))
     return idf, stats
 
 
@@ -109,8 +111,8 @@ def term_join(queries: DataFrame, corpus: DataFrame, k: int, query_text: str = "
               wide: DataFrame | None = None, payload: Sequence[str] = (), **options) -> DataFrame:
     """(query_id, item_id, raw_score, rank) by BM25, only items sharing a word.
 
-    The corpus text is read for term counts, for lengths, and once more to be
-    scored in place: (query, item) pairs of a common word are never joined.
+    The corpus text is read once for the index and once to be scored in place:
+    (query, item) pairs of a common word are never joined.
     """
     terms, stats = bm25_index(corpus)
     rows = corpus.select("item_id", T.tokens(F.col("text")).alias("tokens"))

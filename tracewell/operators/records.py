@@ -9,6 +9,7 @@ from tracewell import config as cfg
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
 from tracewell.operators import splits
+from tracewell.session import cut
 
 MAX_DICTIONARY = 10_000  # entries that may travel as one value
 
@@ -110,7 +111,8 @@ def log_corpus(records: DataFrame, key: str = "line_id",
                conf: cfg.SplitConfig = cfg.SplitConfig()) -> DataFrame:
     """Members outside the test slice, one per template and class, balanced."""
     members = splits.kb_members(records, key, conf)
-    firsts = splits.dedup_by_template(members, key, [key, "log_text", "component", "level"])
+    # one row per template: written once, then counted, ranked and capped
+    firsts = cut(splits.dedup_by_template(members, key, [key, "log_text", "component", "level"]))
     return splits.balance_classes(firsts, key).select(
         key,
         F.col("log_text").alias("text"),

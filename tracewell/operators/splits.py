@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions.ordered import hash_rank, rank_boundaries
 from tracewell.functions.text import order_key
+from tracewell.session import fitted
 
 
 def seeded_order(df: DataFrame, key: str, seed: int = cfg.SEED,
@@ -35,12 +36,14 @@ def split(df: DataFrame, key: str, conf: cfg.SplitConfig = cfg.SplitConfig(),
          "_val": F.least(val, F.col("class_size"))},
         conf.seed,
     ).drop("class_size")
+    if df.isEmpty():
+        return df.withColumn("split", F.lit("train"))
+    ends = fitted(ends, most=2)  # one row per class of a boolean column
     here = F.struct(order_key(F.col(key), conf.seed).alias("_ok"), F.col(key))
 
     def upto(name: str) -> Column:
         return F.coalesce(here <= F.col(name), F.lit(False))
 
-    # one row per class of a boolean column
     placed = df.join(F.broadcast(ends), class_col)
     return placed.withColumn(
         "split",

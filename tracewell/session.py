@@ -40,12 +40,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(root, f"tracewell-{uuid.uuid4().hex}")
 
 
-def fitted(df: DataFrame) -> DataFrame:
-    """The one row of fitted parameters, computed now and kept as a local row.
+def fitted(df: DataFrame, most: int = 1) -> DataFrame:
+    """The row (or the few rows) of fitted parameters, computed now and kept local.
 
-    Later plans then hold the numbers themselves instead of the fit.
+    Later plans then hold the values themselves instead of the fit.
     """
-    rows = df.limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"fitted parameters must be one row, got {len(rows)}")
+    rows = df.limit(most + 1).collect()
+    if not 1 <= len(rows) <= most:
+        raise ValueError(f"expected 1 to {most} rows of fitted parameters, got {len(rows)}")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back, so later uses do not recompute.
+
+    Unlike cached blocks the table outlives any executor.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
