@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
+from tracewell.functions.text import fixed
 
 
 def is_normal(label: Column, normal_value: str) -> Column:
@@ -106,7 +107,8 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def round_even(c: Column, digits: int) -> Column:
-    """Round half to even on the scaled value, as the ties of hour gaps need."""
-    scale = float(10 ** digits)
-    return F.rint(c * F.lit(scale)) / F.lit(scale)
+def round_exact(c: Column, digits: int) -> Column:
+    """Round by the exact binary value, as Python does: the fused scores and
+    hour gaps hit decimal ties often, where the usual rounding differs.
+    """
+    return fixed(c, digits).cast("double")

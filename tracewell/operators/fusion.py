@@ -76,12 +76,13 @@ def temporal_rank(pool: DataFrame, k: int = cfg.LOG_K) -> DataFrame:
     scored = (
         pool.withColumn("semantic_score", F.col("score"))
         .withColumn("temporal_score", F.when(known, F.round(closeness, 4)))
-        .withColumn("time_delta_h", F.when(known, S.round_even(gap / 3600.0, 2)))
-        .withColumn("_combined", F.round(combined, SCORE_DIGITS))
+        .withColumn("time_delta_h", F.when(known, S.round_exact(gap / 3600.0, 2)))
+        .withColumn("_raw", combined).withColumn("_combined", F.round("_raw", SCORE_DIGITS))
         .withColumnRenamed("rank", "_dense")
     )
     ranked = top_k(scored, "query_id", "_combined", k, ["_dense"])
-    return ranked.withColumn("score", F.round("_combined", 4)).drop("_combined", "_dense", "query_ts", "median_ts")
+    return ranked.withColumn("score", S.round_exact(F.col("_raw"), 4)).drop(
+        "_raw", "_combined", "_dense", "query_ts", "median_ts")
 
 
 def temporal_top_k(queries: DataFrame, corpus: DataFrame, timed: DataFrame, k: int = cfg.LOG_K,

@@ -91,7 +91,8 @@ def _factor(v: Column, path: str) -> tuple[Column, Column]:
 
 
 def _clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Kept in [0, 1]; null stays null (the bounds alone would swallow it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def parse_response(df: DataFrame, raw: str = "raw") -> DataFrame:

@@ -62,7 +62,7 @@ def _(spark, d):
 
 @query("parse_response_short", V.sql(
     "SELECT id, CASE WHEN j IS NULL OR json_type(j, '$.label') IS NULL THEN 'Normal' ELSE " + _leaf("$.label") + " END AS label, "
-    "coalesce(greatest(0, least(1, TRY_CAST(j ->> '$.confidence' AS DOUBLE))), 0.5::DOUBLE) AS confidence, j IS NULL AS parse_error, "
+    "CASE WHEN TRY_CAST(j ->> '$.confidence' AS DOUBLE) IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, TRY_CAST(j ->> '$.confidence' AS DOUBLE))) END AS confidence, j IS NULL AS parse_error, "
     + ", ".join(f"CASE WHEN j IS NULL THEN '' ELSE {_leaf('$.' + n)} END AS {n}" for n in responses.SHORT_FIELDS) + " FROM pj",
     "responses_v", extra={"pj": PARSED["pj"]}))
 def _(spark, d):

@@ -161,11 +161,11 @@ def _(spark, d):
 _TIMED = {
     "ti": "SELECT log_text AS text, median(log_ts) AS median_ts FROM records_v WHERE log_ts IS NOT NULL GROUP BY 1",
     "tp": "SELECT p.*, i.median_ts, q.query_ts FROM (" + sql_dense(20) + ") p JOIN queries_v q ON p.query_id = q.query_id LEFT JOIN ti i ON p.text = i.text",
-    "tc": "SELECT *, CASE WHEN query_ts IS NULL THEN round(score, 9) ELSE round(0.7::DOUBLE * score + 0.3::DOUBLE * coalesce(exp(-abs(median_ts - query_ts) / 86400.0::DOUBLE), 0.5), 9) END AS combined FROM tp",
+    "tc": "SELECT *, round(combined_raw, 9) AS combined FROM (SELECT *, CASE WHEN query_ts IS NULL THEN score ELSE 0.7::DOUBLE * score + 0.3::DOUBLE * coalesce(exp(-abs(median_ts - query_ts) / 86400.0::DOUBLE), 0.5::DOUBLE) END AS combined_raw FROM tp)",
     "tr": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank) AS trank FROM tc",
-    "th": "SELECT query_id, trank::INT AS rank, item_id, text, label, binary_label, round(combined, 4) AS score, score AS semantic_score, "
+    "th": "SELECT query_id, trank::INT AS rank, item_id, text, label, binary_label, printf('%.4f', combined_raw)::DOUBLE AS score, score AS semantic_score, "
           "CASE WHEN query_ts IS NOT NULL THEN round(coalesce(exp(-abs(median_ts - query_ts) / 86400.0::DOUBLE), 0.5::DOUBLE), 4) END AS temporal_score, "
-          "CASE WHEN query_ts IS NOT NULL THEN round_even((median_ts - query_ts) / 3600.0::DOUBLE * 100, 0) / 100 END AS time_delta_h FROM tr WHERE trank <= 5",
+          "CASE WHEN query_ts IS NOT NULL THEN printf('%.2f', (median_ts - query_ts) / 3600.0::DOUBLE)::DOUBLE END AS time_delta_h FROM tr WHERE trank <= 5",
 }
 
 
