@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewell import config as cfg
 from tracewell.functions.text import order_key
+from tracewell.session import localised
 
 HASH_BUCKET_CHARS = 3  # 16**3 uniform buckets per group
 COARSE, FINE = 16, 16  # value buckets: COARSE * FINE
@@ -53,8 +54,9 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, out: str = "rank",
     counts = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(counts, by, "_b", {"_n": "_off"})
     if limit is not None:
-        offsets = offsets.where(F.col("_off") < limit)
-    if small_domain:
+        # the first buckets of each group: few rows, so the scan can drop the rest
+        offsets = localised(offsets.where(F.col("_off") < limit), most=100_000)
+    elif small_domain:
         offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*by, "_b").orderBy("_ok", key)
     ranked = (
@@ -119,7 +121,7 @@ def value_bucket(df: DataFrame, value: str, out: str = "_b") -> DataFrame:
     """
     n = COARSE * FINE
     shares = [i / n for i in range(1, n)]
-    sketch = df.agg(F.percentile_approx(value, shares, 10_000).alias("q"))
+    sketch = df.agg(F.percentile_approx(value, shares, 1_000).alias("q"))
     v = F.col(value)
     coarse = F.size(F.filter("_steps", lambda q: q < v))
     fine = F.size(F.filter(F.slice("_q", F.col("_c") * FINE + 1, FINE), lambda q: q < v))
@@ -147,19 +149,22 @@ def running_totals(df: DataFrame, by: Sequence[str], value: str, totals: dict[st
     offsets = _offsets(sums, by, "_b", offs, descending)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inner = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, [*by, "_b"])
+    # without groups there are at most COARSE * FINE offsets
+    joined = rows.join(offsets if by else F.broadcast(offsets), [*by, "_b"])
     for c, out in totals.items():
         joined = joined.withColumn(out, F.col(offs[c]) + F.sum(c).over(inner))
     return joined.drop("_b", *offs.values())
 
 
 def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float],
-                      by: Sequence[str] = ()) -> DataFrame:
+                      by: Sequence[str] = (), small_domain: bool = False) -> DataFrame:
     """Linear-interpolated percentiles, exact, one row per group.
 
     ``shares`` maps an output column to a share in [0, 1].  Nulls are left out.
     Also returns ``n``, the number of values.  Bucket totals say which buckets
     hold the wanted ranks; only the values of those buckets are ranked.
+    ``small_domain`` says the groups come from a closed set, so that the list of
+    wanted buckets (two per share and group) may be broadcast.
     """
     by = list(by)
     counts = (
@@ -188,6 +193,8 @@ def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float],
             (p["at"] >= start) & (p["at"] < start + F.col("_bn")))))
         .where(F.size("_w") > 0).select(*by, "_b", "_off", "n", "_w")
     )
+    if small_domain or not by:
+        spots = F.broadcast(spots)
     inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.join(spots, [*by, "_b"]).withColumn("_cum", start + F.sum("_n").over(inner))
     found = ranked.select(*by, "n", "_v", F.explode(F.filter("_w", lambda p: (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tracewell.operators.blockjoin import SCORE_DIGITS
 from tracewell.operators.dense import dense_top_k, multi_top_k, top_k
 from tracewell.operators.keyword import bm25_top_k
 from tracewell.operators.metrics import text_time_index
+from tracewell.session import cut
 
 HIT = ("query_id", "rank", "item_id", "text", "label", "binary_label", "score")
 
@@ -87,8 +90,11 @@ def temporal_rank(pool: DataFrame, k: int = cfg.LOG_K) -> DataFrame:
 
 def temporal_top_k(queries: DataFrame, corpus: DataFrame, timed: DataFrame, k: int = cfg.LOG_K,
                    pool: int = cfg.TEMPORAL_POOL) -> DataFrame:
-    """``timed`` holds ``text, ts`` of all logs; only pooled texts are indexed."""
-    hits = dense_top_k(queries, corpus, pool)
+    """``timed`` holds ``text, ts`` of all logs; only pooled texts are indexed.
+
+    The pool is written once: it selects the texts and is then re-ranked.
+    """
+    hits = cut(dense_top_k(queries, corpus, pool))
     index = text_time_index(timed, "text", "ts", texts=hits)
     with_time = attach_time(hits, index).join(queries.select("query_id", "query_ts"), "query_id")
     return temporal_rank(with_time, k)
@@ -159,11 +165,8 @@ def related_template_counts(queries: DataFrame, edges: DataFrame) -> DataFrame:
 
 def template_vectors(corpus: DataFrame) -> DataFrame:
     """Mean vector of the records of a template: stands for its embedding."""
-    parts = corpus.select(T.template_or_prefix(F.col("text")).alias("template"), F.posexplode("vector").alias("i", "x"))
-    means = parts.groupBy("template", "i").agg(F.avg("x").alias("m"))
-    # one entry per vector dimension
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
-    return means.groupBy("template").agg(F.transform(ordered, lambda e: e["m"]).alias("vector"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector("vector")))
+    return corpus.groupBy(T.template_or_prefix(F.col("text")).alias("template")).agg(mean.alias("vector"))
 
 
 def dedup_keep_first(hits: DataFrame, order: Sequence[str]) -> DataFrame:

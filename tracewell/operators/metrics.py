@@ -11,7 +11,7 @@ from tracewell import config as cfg
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
 from tracewell.functions.ordered import exact_percentiles, grouped_median, running_totals
-from tracewell.session import fitted
+from tracewell.session import fitted, localised
 
 
 def class_balance(df: DataFrame, class_col: str = "is_normal") -> DataFrame:
@@ -126,7 +126,8 @@ def latency_summary(df: DataFrame, where: Column | None = None,
     ])).alias("x")).select("x.part", "x.ms")
     plain = long.groupBy("part").agg(
         F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max"))
-    ranks = exact_percentiles(long, "ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["part"])
+    ranks = exact_percentiles(long, "ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["part"],
+                              small_domain=True)
     known = df.sparkSession.createDataFrame([(p,) for p in parts], "part string")
     joined = known.join(plain, "part", "left").join(ranks.drop("n"), "part", "left")
     return joined.select("part", *[
@@ -141,12 +142,17 @@ def per_sample_latency(df: DataFrame, total_col: str) -> DataFrame:
                   F.round(F.sum(total_col) / F.when(n == 0, 1).otherwise(n), 6).alias("per_sample_ms"))
 
 
+SMALL_TEXTS = 200_000  # looked-up texts that may be broadcast
+
+
 def text_time_index(df: DataFrame, text_col: str = "log_text", ts_col: str = "log_ts",
                     texts: DataFrame | None = None) -> DataFrame:
     """Median time of each text.  With ``texts`` only those are looked up."""
     rows = df.select(F.col(text_col).alias("text"), F.col(ts_col).alias("ts"))
     if texts is not None:
-        rows = rows.join(texts.select("text").distinct(), "text", "left_semi")
+        wanted = texts.select("text").distinct()
+        small = texts.limit(SMALL_TEXTS + 1).count() <= SMALL_TEXTS
+        rows = rows.join(F.broadcast(wanted) if small else wanted, "text", "left_semi")
     return grouped_median(rows, "text", "ts", "median_ts")
 
 
@@ -191,8 +197,8 @@ def route_counts(df: DataFrame, route_col: str = "route") -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int, by: str) -> DataFrame:
     """Equal-width bins between the minimum and maximum of each subset."""
-    span = df.where(F.col(value).isNotNull()).groupBy(by).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = localised(df.where(F.col(value).isNotNull()).groupBy(by).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / bins
     spot = F.when(F.col("_hi") > F.col("_lo"), F.least(
         F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))

@@ -9,6 +9,7 @@ from tracewell.operators import dense, fusion, keyword, metrics, splits
 from tracewell.plans import views as V
 from tracewell.plans.metrics_queries import sql_detection
 from tracewell.plans.registry import query
+from tracewell.session import cut
 
 
 def sides(spark, d):
@@ -181,7 +182,7 @@ def _(spark, d):
     "dense_v", extra={"ti": _TIMED["ti"]}))
 def _(spark, d):
     q, c = sides(spark, d)
-    hits = dense.dense_top_k(q, c)
+    hits = cut(dense.dense_top_k(q, c))
     index = metrics.text_time_index(timed(spark, d), "text", "ts", texts=hits)
     return fusion.attach_time(hits, index).select("query_id", "item_id", "median_ts")
 

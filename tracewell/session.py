@@ -51,6 +51,15 @@ def fitted(df: DataFrame, most: int = 1) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def localised(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A side table of checked size as a local one, which joins by broadcast.
+
+    A larger table is returned as it is, and joins by shuffle.
+    """
+    rows = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, so later uses do not recompute.
 
