@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions.text import fixed
 
+# fixed values: headings of the assembled text
 NONE = "(none)"
+HEAD_LOG = "Log entry to analyze:\n"
+HEAD_SIMILAR = "Retrieved similar logs from knowledge base:\n"
+HEAD_A = "[A] Similar log examples from knowledge base:\n"
+HEAD_B = "[B] System knowledge context:\n"
+HEAD_C = "[C] Role scope reference:\n"
+GAP = "\n\n"
 
 
 def _joined(hits: DataFrame, line: Column, order: Sequence[Column], separator: str, out: str,
@@ -105,18 +112,18 @@ def assemble_context(queries: DataFrame, a: DataFrame, b: DataFrame, c: DataFram
         return F.coalesce(F.col(name), F.lit(NONE))
 
     full = F.concat(
-        note if note is not None else F.lit(""), F.lit("Log entry to analyze:\n"), F.col(text),
-        F.lit("\n\n[A] Similar log examples from knowledge base:\n"), lead, body("_a"),
-        F.lit("\n\n[B] System knowledge context:\n"), body("_b"),
-        F.lit("\n\n[C] Role scope reference:\n"), body("_c"))
+        note if note is not None else F.lit(""), F.lit(HEAD_LOG), F.col(text),
+        F.lit(GAP + HEAD_A), lead, body("_a"),
+        F.lit(GAP + HEAD_B), body("_b"),
+        F.lit(GAP + HEAD_C), body("_c"))
     return joined.select(*queries.columns, full.alias(out))
 
 
 def short_prompt(queries: DataFrame, a: DataFrame, text: str = "text", out: str = "prompt") -> DataFrame:
     """The log and its similar records only."""
     joined = queries.join(a.withColumnRenamed("context", "_a"), "query_id", "left")
-    full = F.concat(F.lit("Log entry to analyze:\n"), F.col(text),
-                    F.lit("\n\nRetrieved similar logs from knowledge base:\n"),
+    full = F.concat(F.lit(HEAD_LOG), F.col(text),
+                    F.lit(GAP + HEAD_SIMILAR),
                     F.coalesce(F.col("_a"), F.lit("")))
     return joined.select(*queries.columns, full.alias(out))
 
