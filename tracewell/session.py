@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,17 @@ def build_session(app: str = "tracewell", cores: str = "*", shuffle_partitions:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="tracewell-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared ``spark.checkpoint.dir`` of the cluster.
 
-    Only where the session names none (unit tests) a local folder is made and
-    recorded on the session.
+    Only where the session names none (unit tests) a local folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return os.path.join(root, f"tracewell-{uuid.uuid4().hex}")
 
 
