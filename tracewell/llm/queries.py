@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat_queries, quality_queries  # noqa: F401  they register themselves
-from tracewell.llm import registry
+from tracewell.llm import (  # noqa: F401  they register themselves
+    chat_queries,
+    language_queries,
+    packing_queries,
+    quality_queries,
+    registry,
+    resharding_queries,
+    substring_dedup_queries,
+    warc_queries,
+)
 
 
 def queries() -> dict[str, registry.Query]:
