@@ -23,6 +23,7 @@ from tracewell.llm.hashing import text_buffers
 DIMENSIONS = 4096
 #: Rows per language to cluster on, languages at most, clusters per language.
 SAMPLE, LANGUAGES, CLUSTERS = 1000, 500, 4
+LEAST_SHARE = 0.05
 #: Share of the similarity of the least typical sample rows under which a text is rejected.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.001
 UNKNOWN = "und"
@@ -91,7 +92,11 @@ def _vectorise(idf: np.ndarray):
 
 
 def cluster(rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Unit centroids by spherical k-means from spread-out first rows."""
+    """Unit centroids by spherical k-means from spread-out first rows.
+
+    A cluster of less than ``LEAST_SHARE`` of the rows is left out: wrong labels would
+    make it a centroid of another language.
+    """
     centres = rows[:1]
     while len(centres) < min(k, len(rows)):
         far = int(np.argmin((rows @ centres.T).max(axis=1)))
@@ -102,7 +107,8 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
         np.add.at(sums, near, rows)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 0, sums / np.where(size == 0, 1, size), centres)
-    return centres
+    held = np.bincount(np.argmax(rows @ centres.T, axis=1), minlength=len(centres))
+    return centres[held >= min(held.max(), LEAST_SHARE * len(rows))]
 
 
 def _fit_language(table: pa.Table) -> pa.Table:
