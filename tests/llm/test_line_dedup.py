@@ -18,7 +18,7 @@ def distance(a, b):
 
 def edited(rng, line, n):
     for _ in range(n):
-        at = rng.randrange(len(line))
+        at = rng.randrange(len(line)) if line else 0
         line = rng.choice((line[:at] + line[at + 1:], line[:at] + rng.choice("abé ") + line[at:], line[:at] + "x" + line[at + 1:]))
     return line
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tracewell.llm import (  # noqa: F401  they register themselves
     chat_queries,
+    decontaminate_queries,
+    jaccard_queries,
     language_queries,
+    line_dedup_queries,
     packing_queries,
     quality_queries,
     registry,
@@ -15,8 +19,9 @@ from tracewell.llm import (  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, registry.Query]:
-    return dict(registry.QUERIES)
+    return registry.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return dict(registry.ORACLES)
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return registry.ORACLES | more
