@@ -49,9 +49,7 @@ LINES = [(1, "generating core.2275"), (2, "data TLB error interrupt"), (3, "data
 WANT = {1: "E1", 2: "E3", 3: "E2", 4: "E4", 5: "E5", 6: "E6", 7: None}
 
 
-@pytest.mark.parametrize("bound", [10_000, 2])
-def test_templates_by_longest_literal(spark, monkeypatch, bound):
-    monkeypatch.setattr(L, "MAX_DICTIONARY", bound)
+def test_templates_by_longest_literal(spark):
     t = spark.createDataFrame(TEMPLATES, "event_id string, event_template string")
     lines = spark.createDataFrame(LINES, "line_id bigint, content string")
     assert {r.line_id: r.assigned for r in L.assign_template(lines, t).collect()} == WANT

@@ -210,19 +210,11 @@ def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float],
     ])
 
 
-HOT_ROWS = 1_000_000  # rows of one group that go through one hash map
-
-
-def grouped_median(df: DataFrame, group: str, value: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def grouped_median(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """Median per group for many groups, of which a few may be huge.
 
-    Ordinary groups use the built-in aggregate, whose memory grows with the
-    group; a group above ``hot_rows`` is ranked in buckets.  At most
-    rows / hot_rows groups can be hot, so their names are broadcast.
+    One plan for all of them: distinct values are counted in the map tasks, a group
+    is cut into buckets of the value, and only the buckets of the middle are ranked.
     """
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
-    hot = F.broadcast(
-        rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(group))
-    plain = rows.join(hot, group, "left_anti").groupBy(group).agg(F.percentile(value, 0.5).alias(out))
-    large = exact_percentiles(rows.join(hot, group, "left_semi"), value, {out: 0.5}, [group])
-    return plain.unionByName(large.select(group, out))
+    return exact_percentiles(rows, value, {out: 0.5}, [group]).select(group, out)

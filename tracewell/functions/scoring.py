@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
-from tracewell.functions.text import fixed
+from tracewell.functions.text import fixed, strip
 
 
 def is_normal(label: Column, normal_value: str) -> Column:
@@ -24,7 +24,7 @@ def hit_label(label: Column) -> Column:
 
 def pred_label(label: Column) -> Column:
     """1 only for the word *anomalous*, in any case."""
-    return F.when(F.lower(F.trim(label)) == "anomalous", 1).otherwise(0)
+    return F.when(F.lower(strip(label)) == "anomalous", 1).otherwise(0)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -43,6 +43,16 @@ def _ids(column) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
+def _one_per_id(scores: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best score of each id, where ids repeat."""
+    distinct, place = np.unique(items, return_inverse=True)
+    if len(distinct) == len(items):
+        return scores, items
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(len(distinct)))
+    return np.maximum.reduceat(scores[:, order], starts, axis=1), distinct
+
+
 class _Best:
     """The k best (score desc, id asc) rows of each query seen so far."""
 
@@ -54,7 +64,7 @@ class _Best:
         self.floor = np.full(n_queries, -np.inf)
 
     def add(self, scores: np.ndarray, items: np.ndarray) -> None:
-        scores = np.round(scores, SCORE_DIGITS)
+        scores, items = _one_per_id(np.round(scores, SCORE_DIGITS), items)
         floor = self.floor
         if scores.shape[1] > self.k:
             kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
@@ -63,6 +73,11 @@ class _Best:
         q = np.concatenate([self.q, q])
         score = np.concatenate([self.score, scores[q[len(self.q):], c]])
         item = items[c] if self.item is None else np.concatenate([self.item, items[c]])
+        by_id = np.lexsort((-score, item, q))
+        q, score, item = q[by_id], score[by_id], item[by_id]
+        new = np.ones(len(q), dtype=bool)
+        new[1:] = (q[1:] != q[:-1]) | (item[1:] != item[:-1])
+        q, score, item = q[new], score[new], item[new]
         order = np.lexsort((item, -score, q))
         q, score, item = q[order], score[order], item[order]
         starts = np.searchsorted(q, np.arange(self.n))
@@ -129,7 +144,8 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, kernel: Kernel,
     Both sides carry their id column and what the kernel reads, nothing else;
     a corpus column ``grp`` asks for the k best of each group, in one scan.
     The payload columns are joined onto the winners from ``wide``, so texts
-    never pass through the kernel.
+    never pass through the kernel.  An id that repeats in the corpus counts once,
+    with its best score and its first payload.
     """
     spark_schema, arrow_schema = _schemas(queries, corpus)
     head = queries.limit(bound + 1).toArrow()
@@ -140,12 +156,16 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, kernel: Kernel,
         found = _grid(queries, corpus, k, kernel, spark_schema, arrow_schema, bound)
     groups = ["grp"] if "grp" in corpus.columns else []
     w = Window.partitionBy("query_id", *groups).orderBy(F.desc("raw_score"), "item_id")
-    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    once = found.groupBy("query_id", *groups, "item_id").agg(F.max("raw_score").alias("raw_score"))
+    best = once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if wide is None:
         return best
     # at most bound * k winners when the queries were shipped
     winners = F.broadcast(best) if shipped else best
-    return wide.select("item_id", *payload).join(winners, "item_id")
+    on = ["item_id", *groups]
+    joined = wide.select(*on, F.struct(*payload).alias("_payload")).join(winners, on)
+    keys = ["query_id", *on, "raw_score", "rank"]
+    return joined.groupBy(*keys).agg(F.min("_payload").alias("_payload")).select(*keys, "_payload.*")
 
 
 def _shipped(head: pa.Table, corpus: DataFrame, k: int, kernel: Kernel, spark_schema, arrow_schema):

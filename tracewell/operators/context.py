@@ -38,8 +38,12 @@ def ordered_context(hits: DataFrame, text: str = "text", out: str = "context") -
 
 
 def knowledge_context(hits: DataFrame, text: str = "text", out: str = "context") -> DataFrame:
-    """``[CATEGORY | section | score=s.sss]`` blocks; texts cut as shown to a reader."""
-    section = F.coalesce(F.col("section"), F.lit(""))
+    """``[CATEGORY | section | score=s.sss]`` blocks; texts cut as shown to a reader.
+
+    A record without a section shows the section of its root-cause entry.
+    """
+    names = [c for c in ("section", "rca_section") if c in hits.columns]
+    section = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in names], F.lit(""))
     tag = F.when(section != "", F.concat(F.lit(" | "), section)).otherwise("")
     line = F.concat(
         F.lit("["), F.upper("category"), tag, F.lit(" | score="), fixed(F.col("score"), 3),

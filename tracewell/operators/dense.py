@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ def _matrix(column) -> np.ndarray:
     flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     if len(flat) == 0:
         return np.zeros((0, 0))
+    sizes = pc.min_max(flat.value_lengths())
+    if flat.null_count or sizes["min"] != sizes["max"]:
+        raise ValueError("vectors must be there and of one length")
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = values.reshape(len(flat), -1)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -46,9 +50,10 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = cfg.LOG_K, label
 
     Ranks by the unrounded score (ties by id) and reports it at four decimals.
     Queries: ``query_id, vector``.  Corpus: ``item_id, vector`` and payload.
+    A null vector finds nothing and is not found; vectors of another length fail.
     """
-    kept = filter_hits(corpus, label, rca_section)
-    hits = best_k(queries.select("query_id", "vector"), kept.select("item_id", "vector"), k, COSINE,
+    kept = filter_hits(corpus, label, rca_section).where("vector is not null")
+    hits = best_k(queries.select("query_id", "vector").where("vector is not null"), kept.select("item_id", "vector"), k, COSINE,
                   kept, payload, **options)
     scored = hits.withColumn("score", F.round("raw_score", 4)).drop("raw_score")
     if "label" in payload:
@@ -69,9 +74,9 @@ def multi_top_k(queries: DataFrame, corpus: DataFrame, collections: Sequence[str
     Ties keep the order of the collections, then the rank inside one.  A
     collection without rows adds nothing.  All collections share one scan.
     """
-    kept = corpus.where(F.col("collection").isin(*collections))
-    narrow = kept.select("item_id", "vector", F.col("collection").alias("grp"))
-    hits = best_k(queries.select("query_id", "vector"), narrow, k, COSINE, kept, payload)
+    kept = corpus.where(F.col("collection").isin(*collections) & F.col("vector").isNotNull()).withColumn("grp", F.col("collection"))
+    narrow = kept.select("item_id", "vector", "grp")
+    hits = best_k(queries.select("query_id", "vector").where("vector is not null"), narrow, k, COSINE, kept, payload)
     hits = hits.withColumn("score", F.round("raw_score", 4)).drop("raw_score").withColumnRenamed("grp", "collection")
     if "label" in payload:
         hits = hits.withColumn("binary_label", hit_label(F.col("label")))

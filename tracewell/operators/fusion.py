@@ -197,17 +197,21 @@ def graph_top_k(queries: DataFrame, corpus: DataFrame, vectors: DataFrame | None
 
 # --- whole context ----------------------------------------------------------------------
 
+LOG_COLLECTION = "bgl_logs"
 SYSTEM_COLLECTIONS = ("bgl_architecture", "bgl_severity", "bgl_rca")
 ROLE_COLLECTIONS = ("role_sre", "role_devops")
 
 
 def retrieve(strategy: str, queries: DataFrame, logs: DataFrame, knowledge: DataFrame | None = None,
              sections: str = "ABC", timed: DataFrame | None = None, merge_knowledge: bool = False,
-             system: Sequence[str] = SYSTEM_COLLECTIONS) -> DataFrame:
+             system: Sequence[str] = SYSTEM_COLLECTIONS, log_collection: str = LOG_COLLECTION) -> DataFrame:
     """Context rows of each query: ``section`` A (logs), B (system), C (roles).
 
     ``sections`` is A, AB or ABC; ``merge_knowledge`` ranks B and C as one list.
+    Section A searches ``log_collection`` alone where ``logs`` holds several.
     """
+    if "collection" in logs.columns:
+        logs = logs.where(F.col("collection") == log_collection)
     if strategy == "dense":
         hits = dense_top_k(queries, logs)
     elif strategy == "hybrid":
@@ -218,7 +222,7 @@ def retrieve(strategy: str, queries: DataFrame, logs: DataFrame, knowledge: Data
         hits = graph_top_k(queries, logs)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    out = hits.select(*HIT).withColumn("section", F.lit("A")).withColumn("collection", F.lit("bgl_logs"))
+    out = hits.select(*HIT).withColumn("section", F.lit("A")).withColumn("collection", F.lit(log_collection))
     if merge_knowledge:
         both = multi_top_k(queries, knowledge, [*system, *ROLE_COLLECTIONS], cfg.KNOWLEDGE_K)
         return out.unionByName(both.select(*HIT, "collection").withColumn("section", F.lit("B")))

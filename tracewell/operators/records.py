@@ -11,8 +11,6 @@ from tracewell.functions import text as T
 from tracewell.operators import splits
 from tracewell.session import cut
 
-MAX_DICTIONARY = 10_000  # entries that may travel as one value
-
 
 def label_flags(df: DataFrame, label_col: str, normal_value: str) -> DataFrame:
     normal = S.is_normal(F.col(label_col), normal_value)
@@ -49,44 +47,22 @@ def build_trace_text(traces: DataFrame, templates: DataFrame, wildcard: str = "<
                      key: str = "block_id") -> DataFrame:
     """Readable text of a trace: templates of its events in first-seen order.
 
-    Event numbers below a bound index one array, read by position, so traces
-    are not shuffled; a dictionary with other numbers is joined event by event.
+    Events are looked up by a join, whatever the size of the dictionary.  The text
+    depends on the features alone, so it is built once per distinct feature list and
+    rows that share an id stay apart.
     """
     words = templates.groupBy("event_id").agg(
         F.max(T.clean_template(F.col("event_template"), wildcard)).alias("t"))
-    number = F.substr("event_id", F.lit(2)).try_cast("int")
-    plain = F.coalesce((F.concat(F.lit("E"), number) == F.col("event_id")) & (number < MAX_DICTIONARY), F.lit(False))
-    odd = templates.where(F.rlike("event_id", F.lit(r"^E\d+$")) & ~plain)
-    ids = T.trace_events(F.coalesce(F.col("features"), F.lit("")))
-    if odd.isEmpty():
-        one = words.where(plain).agg(F.collect_list(F.struct(number.alias("i"), "t")).alias("known")).select(
-            _by_number(F.col("known")).alias("a"))
-
-        def name(e):
-            at = F.substr(e, F.lit(2)).try_cast("int")
-            same = F.concat(F.lit("E"), at) == e
-            return F.coalesce(F.when(same, F.get("_a", at)), e)
-
-        named = traces.withColumn("_a", one.scalar()).withColumn("_seq", F.transform(ids, name))
-        return named.withColumn(
-            "log_text", F.concat(F.lit(cfg.TRACE_PREFIX), F.array_join("_seq", " -> "))).drop("_a", "_seq")
-    steps = traces.select(key, F.posexplode(ids).alias("_pos", "event_id"))
+    features = F.coalesce(F.col("features"), F.lit(""))
+    marked = traces.withColumn("_f", F.md5(features))
+    steps = marked.select("_f", F.posexplode(T.trace_events(features)).alias("_pos", "event_id"))
     named = lookup_or_self(steps, words, "event_id", "t")
     # distinct events of one trace: at most the size of the dictionary
-    texts = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "resolved"))).alias("_seq"))
-    joined = traces.join(texts, key, "left")
-    return joined.withColumn("log_text", F.concat(
+    texts = named.groupBy("_f").agg(F.array_sort(F.collect_set(F.struct("_pos", "resolved"))).alias("_seq"))
+    return marked.join(texts, "_f", "left").withColumn("log_text", F.concat(
         F.lit(cfg.TRACE_PREFIX),
         F.coalesce(F.array_join(F.transform("_seq", lambda s: s["resolved"]), " -> "), F.lit("")),
-    )).drop("_seq")
-
-
-def _by_number(known: Column) -> Column:
-    """Array whose place n holds the text of number n, null where there is none."""
-    table = F.map_from_entries(known)
-    top = F.coalesce(F.array_max(F.transform(known, lambda s: s["i"])), F.lit(-1))
-    places = F.when(top >= 0, F.sequence(F.lit(0), top)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.element_at(table, i))
+    )).drop("_f", "_seq")
 
 
 def standard_payload(df: DataFrame, category: str, dataset: str, source: str) -> DataFrame:
@@ -117,8 +93,8 @@ def log_corpus(records: DataFrame, key: str = "line_id",
         key,
         F.col("log_text").alias("text"),
         F.when(F.col("is_normal"), cfg.NORMAL).otherwise(cfg.ANOMALOUS).alias("label"),
-        F.trim("component").alias("log_component"),
-        F.trim("level").alias("log_level"),
+        T.strip(F.col("component")).alias("log_component"),
+        T.strip(F.col("level")).alias("log_level"),
         F.lit("BGL").alias("dataset"),
     )
 

@@ -102,21 +102,14 @@ def balance_classes(df: DataFrame, key: str, ratio: int = cfg.NORMAL_RATIO,
     return normals.unionByName(df.where(~F.col(class_col)).select(*normals.columns))
 
 
-SMALL_TEST = 100_000  # test rows that may be broadcast
-
-
 def leakage_check(test: DataFrame, corpus: DataFrame, key: str, text_col: str) -> DataFrame:
     """Test rows whose id, or whose text, also stands in the corpus.
 
-    A test side of checked size is broadcast to the corpus scan, so the corpus
-    is not shuffled.
+    Both sides are made distinct before they meet, so a frequent text is one row.
     """
-    small = test.limit(SMALL_TEST + 1).count() <= SMALL_TEST
-
     def shared(col: str, out: str) -> DataFrame:
         wanted = test.select(col)
-        seen = corpus.select(col).join(F.broadcast(wanted) if small else wanted, col, "left_semi").distinct()
-        return wanted.join(seen, col, "left_semi").agg(F.count(F.lit(1)).alias(out))
+        return wanted.join(corpus.select(col).distinct(), col, "left_semi").agg(F.count(F.lit(1)).alias(out))
 
     return test.agg(F.count(F.lit(1)).alias("test_rows")).select(
         "test_rows", shared(key, "shared_ids").scalar().alias("shared_ids"),

@@ -11,6 +11,7 @@ from tracewell.plans import views as V
 from tracewell.plans.metrics_queries import sql_detection
 from tracewell.plans.registry import query
 from tracewell.plans.retrieval_queries import SQL_VOTE, sides, sql_dense
+from tracewell.session import cut, fitted
 
 
 def _fold(c):
@@ -200,22 +201,53 @@ def _(spark, d):
                                 metrics.metric_rows(metrics.detection_metrics(final), _COLS))
 
 
-@query("isolation_forest")
-def _(spark, d):
+def _forest_scores(spark, d):
+    """Scores of the held-out rows, less the offset of the training rows."""
     parts = _parts(spark, d).select("item_id", "split", "vector", "is_normal")
-    forest = oneclass.isolation_forest_fit(parts.where("split = 'train'"), "item_id")
+    train = parts.where("split = 'train'")
+    # written once: the offset and every score read the same trees
+    forest = cut(oneclass.isolation_forest_fit(train, "item_id"))
+    offset = fitted(oneclass.forest_offset(oneclass.isolation_forest_score(train, forest)))
     scored = oneclass.isolation_forest_score(parts.where("split in ('test', 'val')"), forest)
-    return scored.select("item_id", "split", "is_normal", F.round("score", 6).alias("score"))
+    return scored.withColumn("score", F.col("score") - offset.scalar())
 
 
-@query("one_class_svm")
-def _(spark, d):
+def _svm_scores(spark, d):
     parts = _parts(spark, d).select("item_id", "split", "vector", "is_normal")
     moments = vectors.vector_moments(parts.where("split = 'train'"))
     scaled = vectors.standard_scale(parts, moments)
-    # the training side is capped as the sampler caps it
-    train = splits.sample_classes(scaled.where("split = 'train'").withColumn("type", F.lit(None).cast("string")),
-                                  "item_id", cfg.SAMPLE_NORMAL_CAP)
-    model = oneclass.one_class_svm_fit(train)
-    scored = oneclass.one_class_svm_score(scaled.where("split in ('test', 'val')"), model)
-    return scored.select("item_id", "split", "is_normal", F.round("score", 6).alias("score"))
+    # written once: every round of the fit reads it
+    model = oneclass.one_class_svm_fit(cut(scaled.where("split = 'train'").select("scaled")))
+    return oneclass.one_class_svm_score(scaled.where("split in ('test', 'val')"), model)
+
+
+def _detection(scores, percentile):
+    """Threshold from the validation scores, then metrics, area and operating point."""
+    scored = cut(scores.select("item_id", "split", "score", S.binary_label(F.col("is_normal")).alias("true_label")))
+    point = fitted(metrics.fbeta_threshold(scored.where("split = 'val'"), "score", percentile).select("threshold"))
+    test = scored.where("split = 'test'").withColumn("pred_label", S.over_threshold(F.col("score"), point.scalar()))
+    spot = metrics.operating_point(test, "score", point.scalar())
+    return (metrics.detection_metrics(test)
+            .withColumn("threshold", F.round(point.scalar(), 6))
+            .withColumn("auc", metrics.roc_auc(test, "score").select("auc").scalar())
+            .withColumn("point_fpr", spot.select("fpr").scalar()).withColumn("point_tpr", spot.select("tpr").scalar()))
+
+
+@query("isolation_forest")
+def _(spark, d):
+    return _forest_scores(spark, d).select("item_id", "split", "is_normal", F.round("score", 6).alias("score"))
+
+
+@query("one_class_svm")
+def _(spark, d):
+    return _svm_scores(spark, d).select("item_id", "split", "is_normal", F.round("score", 6).alias("score"))
+
+
+@query("isolation_forest_detection")
+def _(spark, d):
+    return _detection(_forest_scores(spark, d), cfg.FOREST_PSEUDO_PERCENTILE)
+
+
+@query("one_class_svm_detection")
+def _(spark, d):
+    return _detection(_svm_scores(spark, d), cfg.SVM_PSEUDO_PERCENTILE)

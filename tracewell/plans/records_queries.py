@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell import config as cfg
 from tracewell.functions import text as T
+from tracewell.functions.scoring import pred_label
 from tracewell.operators import records, splits
 from tracewell.plans import views as V
 from tracewell.plans.registry import query
@@ -89,12 +90,10 @@ def _(spark, d):
 
 
 @query("pred_label", V.sql(
-    "SELECT conv_id, turn, CASE WHEN lower(trim(lab)) = 'anomalous' THEN 1 ELSE 0 END AS pred_label FROM "
-    "(SELECT conv_id, turn, CASE role WHEN 'user' THEN ' ANOMALOUS ' WHEN 'system' THEN 'anomalous!' ELSE 'Normal' END AS lab FROM conversations)"))
+    "SELECT conv_id, turn, CASE WHEN lower(regexp_replace(lab, '^\\s+|\\s+$', '', 'g')) = 'anomalous' THEN 1 ELSE 0 END AS pred_label FROM "
+    "(SELECT conv_id, turn, CASE role WHEN 'user' THEN chr(9) || ' ANOMALOUS ' || chr(10) WHEN 'system' THEN 'anomalous!' ELSE 'Normal' END AS lab FROM conversations)"))
 def _(spark, d):
-    lab = F.expr("CASE role WHEN 'user' THEN ' ANOMALOUS ' WHEN 'system' THEN 'anomalous!' ELSE 'Normal' END")
-    from tracewell.functions.scoring import pred_label
-
+    lab = F.expr("CASE role WHEN 'user' THEN chr(9) || ' ANOMALOUS ' || chr(10) WHEN 'system' THEN 'anomalous!' ELSE 'Normal' END")
     return V.table(spark, d, "conversations").select("conv_id", "turn", pred_label(lab).alias("pred_label"))
 
 

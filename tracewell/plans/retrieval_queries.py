@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
+from tracewell.functions.scoring import pred_label
+from tracewell.functions.text import level_of
 from tracewell.operators import dense, fusion, keyword, metrics, splits
+from tracewell.operators.corpus import build_corpus
 from tracewell.plans import views as V
 from tracewell.plans.metrics_queries import sql_detection
 from tracewell.plans.registry import query
-from tracewell.session import cut
+from tracewell.session import cut, scratch_dir
+from tracewell.sources.collections import read_collection
 
 
 def sides(spark, d):
@@ -296,38 +300,97 @@ def _sections(a: str, b: bool, c: bool) -> str:
 _SECTION = ("section", "collection")
 
 
-@query("retrieve_dense_abc", V.sql(_sections(sql_dense(5), True, True), "dense_v"))
-def _(spark, d):
-    q, c = sides(spark, d)
-    return fusion.retrieve("dense", q, c, c, "ABC").select(*fusion.HIT, *_SECTION)
+# section A searches the log collection alone: its corpus, similarities and statistics
+_LOGS = {
+    "corpus_a": f"SELECT * FROM corpus_v WHERE collection = '{fusion.LOG_COLLECTION}'",
+    "dense_a": "SELECT q.query_id, c.item_id, c.text, c.label, c.binary_label, "
+               "round(list_cosine_similarity(q.vector, c.vector), 9) AS sim FROM queries_v q, corpus_a c",
+}
 
 
-@query("retrieve_hybrid_ab", V.sql(_sections(SQL_HYBRID, True, False), "dense_v", extra=_POOLS))
-def _(spark, d):
-    q, c = sides(spark, d)
-    return fusion.retrieve("hybrid", q, c, c, "AB").select(*fusion.HIT, *_SECTION)
+def _on_logs(text: str) -> str:
+    return text.replace("corpus_v", "corpus_a").replace("dense_v", "dense_a")
 
 
-@query("retrieve_temporal_a", V.sql(_sections(f"SELECT {HITS} FROM th", False, False), "dense_v", extra=_TIMED))
-def _(spark, d):
-    q, c = sides(spark, d)
-    return fusion.retrieve("temporal", q, c, sections="A", timed=timed(spark, d)).select(*fusion.HIT, *_SECTION)
+_STRATEGIES = {
+    "dense": (sql_dense(5), {}),
+    "hybrid": (SQL_HYBRID, _POOLS),
+    "temporal": (f"SELECT {HITS} FROM th", _TIMED),
+    "graph": (SQL_GRAPH, _GRAPH),
+}
 
 
-@query("retrieve_graph_abc", V.sql(_sections(SQL_GRAPH, True, True), "dense_v", extra=_GRAPH))
-def _(spark, d):
-    q, c = sides(spark, d)
-    return fusion.retrieve("graph", q, c, c, "ABC").select(*fusion.HIT, *_SECTION)
+def _register(strategy: str, sections: str) -> None:
+    body, ctes = _STRATEGIES[strategy]
+    oracle = V.sql(_sections(_on_logs(body), "B" in sections, "C" in sections), "dense_v",
+                   extra=_LOGS | {name: _on_logs(text) for name, text in ctes.items()})
+
+    @query(f"retrieve_{strategy}_{sections.lower()}", oracle)
+    def _(spark, d):
+        q, c = sides(spark, d)
+        timed_logs = timed(spark, d) if strategy == "temporal" else None
+        return fusion.retrieve(strategy, q, c, c, sections, timed=timed_logs).select(*fusion.HIT, *_SECTION)
+
+
+for _strategy in _STRATEGIES:
+    for _chosen in ("A", "AB", "ABC"):
+        _register(_strategy, _chosen)
 
 
 @query("retrieve_merged", V.sql(
-    f"SELECT {HITS}, 'A' AS section, 'bgl_logs' AS collection FROM ({sql_dense(5)}) UNION ALL SELECT {HITS}, 'B', collection FROM ("
-    + sql_multi([*fusion.SYSTEM_COLLECTIONS, *fusion.ROLE_COLLECTIONS]) + ")", "dense_v"))
+    f"SELECT {HITS}, 'A' AS section, 'bgl_logs' AS collection FROM ({sql_dense(5, source='dense_a')}) UNION ALL SELECT {HITS}, 'B', collection FROM ("
+    + sql_multi([*fusion.SYSTEM_COLLECTIONS, *fusion.ROLE_COLLECTIONS]) + ")", "dense_v", extra=_LOGS))
 def _(spark, d):
     q, c = sides(spark, d)
     return fusion.retrieve("dense", q, c, c, merge_knowledge=True).select(*fusion.HIT, *_SECTION)
 
 
+# --- a stored corpus -----------------------------------------------------------------------
+
+_PAYLOAD_OF = {"text": "text", "label": "label", "log_component": "component", "log_level": "level", "source": "'events'",
+               "dataset": "CASE WHEN starts_with(collection, 'role_') THEN 'SHARED' ELSE upper(split_part(collection, '_', 1)) END",
+               "category": "CASE WHEN starts_with(collection, 'role_') THEN collection ELSE substr(collection, position('_' IN collection) + 1) END"}
+_STORED_ROWS = (
+    "SELECT *, md5(" + " || chr(1) || ".join(cfg.PAYLOAD_FIELDS) + ") AS item_id FROM (SELECT collection, vector, "
+    + ", ".join(f"coalesce({_PAYLOAD_OF.get(c, chr(39) * 2)}, '') AS {c}" for c in cfg.PAYLOAD_FIELDS) + " FROM corpus_v)")
+_STORED_HITS = {
+    "sc": _STORED_ROWS,
+    "sd": "SELECT q.query_id, c.item_id, c.collection, round(list_cosine_similarity(q.vector, c.vector), 9) AS sim FROM queries_v q, sc c",
+    "s1": "SELECT query_id, item_id, collection, max(sim) AS sim FROM sd GROUP BY ALL",
+    "sr": "SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY sim DESC, item_id) AS r FROM s1",
+    "sp": "SELECT item_id, collection, " + ", ".join(f"min({c}) AS {c}" for c in cfg.PAYLOAD_FIELDS) + " FROM sc GROUP BY 1, 2",
+}
+
+
+def _stored_section(section: str, names, k: int) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    payload = ", ".join(f"p.{c}" for c in cfg.PAYLOAD_FIELDS)
+    return (f"SELECT r.query_id, (row_number() OVER (PARTITION BY r.query_id ORDER BY round(sim, 4) DESC, list_position([{listed}], r.collection), r))::INT AS rank, "
+            f"r.item_id, round(sim, 4) AS score, '{section}' AS section, r.collection, {payload.replace('p.section', 'p.section AS doc_section')} "
+            f"FROM sr r JOIN sp p ON r.item_id = p.item_id AND r.collection = p.collection WHERE r.collection IN ({listed}) AND r <= {k}")
+
+
+@query("stored_corpus_retrieve", V.sql(" UNION ALL ".join((
+    _stored_section("A", [fusion.LOG_COLLECTION], cfg.LOG_K), _stored_section("B", fusion.SYSTEM_COLLECTIONS, cfg.KNOWLEDGE_K),
+    _stored_section("C", fusion.ROLE_COLLECTIONS, cfg.ROLE_K))), "dense_v", extra=_STORED_HITS))
+def _(spark, d):
+    """Build a corpus of all collections, read it back with its vectors, retrieve."""
+    q, c = sides(spark, d)
+    rows = c.select("text", "label", F.col("component").alias("log_component"), F.col("level").alias("log_level"), "vector", "collection")
+    path = scratch_dir(spark)
+    build_corpus({n: (rows.where(F.col("collection") == n).drop("collection"), "events") for n in cfg.COLLECTIONS}, path)
+    names = (fusion.LOG_COLLECTION, *fusion.SYSTEM_COLLECTIONS, *fusion.ROLE_COLLECTIONS)
+    back = None
+    for name in names:
+        one = read_collection(spark, path, name, vectors=True)
+        back = one if back is None else back.unionByName(one)
+    corpus = back.withColumnRenamed("id", "item_id")
+    hits = fusion.retrieve("dense", q, corpus, corpus)
+    payload = corpus.select("item_id", "collection", *cfg.PAYLOAD_FIELDS).dropDuplicates(["item_id", "collection"])
+    kept = hits.select("query_id", "rank", "item_id", "score", F.col("section").alias("_section"), "collection")
+    return kept.join(payload, ["item_id", "collection"]).withColumnRenamed("section", "doc_section").withColumnRenamed("_section", "section")
+
+
 # --- vote and quality --------------------------------------------------------------------
 
 SQL_VOTE = """SELECT query_id, n_normal, n_anomalous, CASE WHEN n_anomalous > n_normal THEN 'Anomalous' WHEN n_normal > n_anomalous THEN 'Normal' ELSE 'tie' END AS majority,
@@ -359,8 +422,6 @@ def dense_vote_detection(spark, d):
     q, c = sides(spark, d)
     votes = metrics.label_vote(dense.dense_top_k(q, c))
     decided = fusion.decide_by_vote(q.select("query_id", "true_label"), votes)
-    from tracewell.functions.scoring import pred_label
-
     return metrics.detection_metrics(decided.withColumn("pred_label", pred_label(F.col("label"))))
 
 
@@ -394,8 +455,6 @@ _LEVEL_RISK = "CASE {l} WHEN 'FATAL' THEN 'High' WHEN 'ERROR' THEN 'Low' ELSE 'L
 def _(spark, d):
     q, c = sides(spark, d)
     hits = dense.dense_top_k(q, c)
-    from tracewell.functions.text import level_of
-
     level = level_of(F.col("text"))
     results = q.select("query_id", "true_label", F.col("text").alias("log_text"),
                        F.when(level == "FATAL", "High").otherwise("Low").alias("risk_level"),

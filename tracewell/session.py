@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: int = 8,
-                  driver_memory: str = "8g") -> SparkSession:
-    """Local session for tests and the bench; a cluster brings its own."""
+                  driver_memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """Local session for tests and the bench; a cluster brings its own.
+
+    ``shared`` names ``spark.checkpoint.dir`` where Spark's defaults do not.
+    """
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -29,17 +31,15 @@ def build_session(app: str = "tracewell", cores: str = "*", shuffle_partitions:
     return spark
 
 
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="tracewell-")
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared ``spark.checkpoint.dir`` of the cluster.
 
-    Only where the session names none (unit tests) a local folder is made.
+    A folder of one machine would lose what other executors write, so there is none
+    to fall back to.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(root, f"tracewell-{uuid.uuid4().hex}")
 
 

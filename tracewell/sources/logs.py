@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tracewell import config as cfg
 from tracewell.operators import records, splits
-from tracewell.operators.records import MAX_DICTIONARY
 
 # fixed values: file schemas and line formats
 LOG_SCHEMA = ("LineId bigint, Label string, Timestamp string, Date string, Node string, Time string, "
@@ -107,25 +106,22 @@ def assign_template(logs: DataFrame, templates: DataFrame, key: str = "line_id",
                     wildcard: str = "<*>") -> DataFrame:
     """Template id of each line: the match with the longest literal text.
 
-    A line is tested only against templates whose rarest word it contains.  A
-    dictionary of proven size travels as one map value; a larger one is joined
-    on that word.  No line meets the whole dictionary.
+    Each distinct content is tested once, and only against templates whose rarest
+    word it contains.  Templates without a whole literal word have no such key: they
+    travel as one list and are tested in place, without a join.
     """
     anchors = _anchored(templates, wildcard)
-    words = F.array_append(F.array_distinct(F.split(content, " ")), F.lit(""))
-    if templates.limit(MAX_DICTIONARY + 1).count() <= MAX_DICTIONARY:
-        entry = F.struct((-F.col("literal")).alias("o"), "event_id", "pattern")
-        table = anchors.groupBy("anchor").agg(F.array_sort(F.collect_list(entry)).alias("t")).agg(
-            F.map_from_entries(F.collect_list(F.struct("anchor", "t"))).alias("m"))
-        none = F.array().cast("array<struct<o:int,event_id:string,pattern:string>>")
-        near = F.flatten(F.transform(words, lambda w: F.coalesce(F.element_at("_m", w), none)))
-        hits = F.filter(near, lambda t: F.rlike(F.col(content), t["pattern"]))
-        return logs.withColumn("_m", table.scalar()).withColumn("_h", F.array_min(hits)).select(
-            *logs.columns, F.col("_h.event_id").alias("assigned"))
-    near = logs.select(key, content, F.explode(words).alias("anchor")).join(anchors, "anchor")
-    best = near.where(F.rlike(F.col(content), F.col("pattern"))).groupBy(key).agg(
-        F.min_by("event_id", F.struct(-F.col("literal"), F.col("event_id"))).alias("assigned"))
-    return logs.join(best, key, "left")
+    contents = logs.select(F.col(content).alias("_c")).where("_c is not null").distinct()
+    near = contents.select("_c", F.explode(F.array_distinct(F.split("_c", " "))).alias("anchor")).join(
+        anchors.where("anchor <> ''"), "anchor")
+    choice = F.struct((-F.col("literal")).alias("o"), "event_id")
+    best = near.where(F.rlike(F.col("_c"), F.col("pattern"))).groupBy("_c").agg(F.min(choice).alias("_best"))
+    loose = anchors.where("anchor = ''").agg(F.collect_list(F.struct((-F.col("literal")).alias("o"), "event_id", "pattern")))
+    fits = F.filter("_loose", lambda t: F.rlike(F.col("_c"), t["pattern"]))
+    also = F.array_min(F.transform(fits, lambda t: F.struct(t["o"].alias("o"), t["event_id"].alias("event_id"))))
+    chosen = contents.join(best, "_c", "left").withColumn("_loose", loose.scalar()).select(
+        "_c", F.array_min(F.array_compact(F.array("_best", also)))["event_id"].alias("assigned"))
+    return logs.join(chosen, logs[content] == chosen["_c"], "left").drop("_c")
 
 
 def dataset_view(name: str, rows: DataFrame, templates: DataFrame, key: str) -> DataFrame:
