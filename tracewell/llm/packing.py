@@ -10,8 +10,8 @@ these exchange documents in fewer partitions, which pack again, until one is lef
 
 from __future__ import annotations
 
+import json
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,57 +26,77 @@ from tracewell.llm.tables import parallelism, stored
 CAPACITY = 2048
 #: Pieces that a partition packs in the first round, and open sequences in later ones.
 PIECES, OPEN = 200_000, 5_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Runs of white space or of other characters that the rank encoder does not get.
+LONG_RUN = 5_000
+#: How byte-level BPE cuts a text before merging: fixed values of that kind of file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_FIELDS = ("_id", "piece", "start", "length", "ids_crc32")
 PIECES_SCHEMA = "_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-TWO_SPACES = re.compile(r"\s\s|<\|")
 
 
 class _Encoder:
-    """Ids of texts by a byte-level BPE file whose pre-tokeniser never joins a
-    character with white space after it.
+    """Ids of texts by a byte-level BPE file.
 
-    A text without two white-space characters in a row is the concatenation of its
-    blank-separated words, each with the blank before it; ids of frequent words are
-    remembered. Any other text, or one that may hold a special token, goes through
-    the tokenizer whole.
+    Where the file is plain byte-level BPE whose ids follow the order of its merges,
+    the same ids come faster from its vocabulary as ranks. Texts that may hold a
+    special token, or runs too long for the ranks' splitter, go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        self.ranks = _ranks(config)
+        self.special = [t["content"] for t in config.get("added_tokens", ())]
+
+    def unfit(self, text: str) -> bool:
+        """Whether a text may hold a special token or a very long run."""
+        if any(x in text for x in self.special):
+            return True
+        if len(text) < LONG_RUN:
+            return False
+        lengths = [len(w) for w in text.split()]
+        return max(lengths, default=0) >= LONG_RUN or len(text) - sum(lengths) - len(lengths) >= LONG_RUN - 1
 
     def whole(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in coded]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain, other = [], []
-        for i, text in enumerate(texts):
-            (other if TWO_SPACES.search(text) else plain).append(i)
+        if self.ranks is None:
+            return self.whole(texts)
+        other = [i for i, text in enumerate(texts) if self.unfit(text)]
+        out = [b""] * len(texts)
         for i, ids in zip(other, self.whole([texts[i] for i in other]), strict=True):
             out[i] = ids
-        # the first word has no blank before it: it gets a key that no word has
-        split = {i: texts[i].split(" ") for i in plain}
-        for tokens in split.values():
-            tokens[0] = " " + tokens[0]
-        new = set().union(*split.values()) - self.known.keys() if split else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split.values())
-        listed = list(new)
-        coded = self.whole([w[1:] if w.startswith(" ") else " " + w for w in listed])
-        self.known.update(zip(listed, coded, strict=True))
-        get = self.known.__getitem__
-        for i, tokens in split.items():
-            out[i] = b"".join(map(get, tokens))
+        for i in set(range(len(texts))).difference(other):
+            out[i] = self.ranks.encode_to_numpy(texts[i], disallowed_special=()).astype("<u4").tobytes()
         return out
 
 
+def _ranks(config: dict):
+    """A rank encoder of the same ids, or None where the file is of another kind."""
+    import tiktoken
+
+    model, before = config["model"], config.get("pre_tokenizer") or {}
+    if (model.get("type") != "BPE" or config.get("normalizer") or before.get("type") != "ByteLevel"
+            or before.get("add_prefix_space") or not before.get("use_regex", True)
+            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token"))):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [model["vocab"][a + b] for a, b in pairs]
+    if merged != sorted(merged):
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in config.get("added_tokens", ())}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
