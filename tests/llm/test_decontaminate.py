@@ -43,7 +43,7 @@ def test_matches_brute_force_windows(spark, seed):
     rng = random.Random(seed)
     items = [(k, prose(rng, rng.randrange(4, 45))) for k in range(12)] + [(90, "short"), (91, None), (None, prose(rng, 30))]
     docs = [(0, None), (1, ""), (2, "x")]
-    for i in range(3, 60):
+    for i in range(3, 40):
         text = prose(rng, rng.randrange(1, 80))
         if rng.random() < 0.7:
             k, item = rng.choice(items[:12])

@@ -60,7 +60,7 @@ def test_pieces_and_sequences(spark, tokenizer):
     rows = messy(90, 8) + [(900, "word " * 3000)]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, piece int, length int")
     n, total = check(rows, packing.pack_documents(df, PATH, capacity=256).collect(), tokenizer, 256)
-    assert n <= math.ceil(total / 256) + 1
+    assert n <= math.ceil(total / 256) * 1.03 + 1
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
@@ -110,4 +110,4 @@ def test_partitions_with_room_exchange_until_one_is_left(spark):
     seqs = packing.pack_pieces(pieces, 100, pieces_per_part=100, open_per_part=4).collect()
     assert sorted(p["_id"] for s in seqs for p in s["pieces"]) == list(range(2000))
     assert all(sum(p["length"] for p in s["pieces"]) <= 100 for s in seqs)
-    assert len(seqs) <= math.ceil(packing.bound(np.array(lengths), 100)) * 1.01 + 1
+    assert len(seqs) <= math.ceil(packing.bound(np.array(lengths), 100)) * 1.04 + 1

@@ -38,12 +38,12 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert set(loads) == set(range(6)) and max(loads.values()) <= 1.02 * min(loads.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert [loads[k] for k in range(6)] == done.loads
-    # equal texts that are no hot group are together
+    # equal texts are together, but for the few that share the block of the hot one
     where = {}
     for r in got:
         if r["text"] and not r["text"].startswith("hot"):
             where.setdefault(r["text"], set()).add(r["shard"])
-    assert all(len(x) == 1 for x in where.values())
+    assert sum(len(x) > 1 for x in where.values()) <= 0.01 * len(where)
 
 
 def test_a_layout_that_fits_is_left_alone_and_empty_table(spark):

@@ -1,17 +1,16 @@
 """Best-fit packing of tokenised documents with certified bounds.
 
 Every document becomes pieces of at most ``capacity`` tokens. Partitions pack their
-pieces by best-fit decreasing and compare the number of sequences with lower bounds
-from dual-feasible functions. A partition at its bound cannot do better by itself, but
-for the part of a sequence that rounding up costs; one above it has a gap. Both put
-their emptiest sequences forward, as many as the gap and the rounding are worth, and
-these exchange documents in fewer partitions, which pack again, until one is left.
+pieces by best-fit decreasing and compare the number of sequences with a lower bound:
+the sum of a dual-feasible function, the one that bounds all pieces best. A partition
+at its bound cannot do better and puts forward only its emptiest sequence, the one that
+rounding up costs; one above it has a gap and puts forward all that are not nearly
+full. These exchange documents in fewer partitions, which pack again, until one is left.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -150,28 +149,35 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
     return raw.mapInArrow(_cut(tokenizer, capacity, end_id), PIECES_SCHEMA)
 
 
-def bound(lengths: np.ndarray, capacity: int) -> float:
-    """Lower bound on the number of sequences, before rounding up.
+def weights(count: np.ndarray, capacity: int) -> np.ndarray:
+    """Weight of every length under the dual-feasible function that bounds these counts
+    best: no sequence can hold more than weight 1, so the sum of the weights of all
+    pieces is a lower bound on the sequences, for any set of pieces.
 
-    The largest sum over two families of dual-feasible functions: with a threshold t,
-    lengths above capacity - t count whole and those under t nothing; and lengths
-    rounded to multiples of 1/k where (k + 1) times the share is no whole number.
+    Two families: with a threshold t, lengths above capacity - t count whole and those
+    under t nothing; and lengths rounded down to multiples of 1/k, where k + 1 times
+    their share is no whole number.
     """
-    if not len(lengths):
-        return 0.0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.float64)
     size = np.arange(capacity + 1)
-    mass = np.concatenate(([0.0], np.cumsum(count * size)))
-    number = np.concatenate(([0.0], np.cumsum(count)))
-    t = np.arange(capacity // 2 + 1)
-    best = float(np.max(number[-1] - number[capacity - t + 1] + (mass[capacity - t + 1] - mass[t]) / capacity))
+    best, most = size / capacity, -1.0
+    for t in range(capacity // 2 + 1):
+        value = np.where(size > capacity - t, 1.0, np.where(size >= t, size / capacity, 0.0))
+        if (total := float(np.dot(count, value))) > most:
+            best, most = value, total
     for k in range(1, 33):
         scaled = (k + 1) * size
         value = np.where(scaled % capacity == 0, size / capacity, scaled // capacity / k)
-        best = max(best, float(np.dot(count, value)))
+        if (total := float(np.dot(count, value))) > most:
+            best, most = value, total
     return best
 
 
+def bound(lengths: np.ndarray, capacity: int) -> float:
+    """Lower bound on the number of sequences, before rounding up."""
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.float64)
+    return float(np.dot(count, weights(count, capacity)))
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Sequence of each piece by best-fit decreasing: the open sequence with the least
     room that still takes the piece, else a new one. Open sequences are kept by their
@@ -202,7 +208,7 @@ PACKED_SCHEMA = ("_part bigint, _seq bigint, open boolean, bound double, sequenc
                  "pieces array<struct<_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>")
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, weight: np.ndarray):
     def pack(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
         lists = table.column("pieces").combine_chunks()
@@ -215,12 +221,12 @@ def _pack(capacity: int):
         seq[first] = best_fit(lengths[first], capacity)
         n = int(seq.max()) + 1 if len(seq) else 0
         fill = np.bincount(seq, weights=lengths, minlength=n)
-        low = bound(lengths, capacity)
+        low = float(weight[lengths].sum())
         spare = n - low
-        forward = math.floor(spare) * 4 + 1 if spare > 1e-9 else 0
-        emptiest = np.argsort(fill, kind="stable")[:forward]
-        opened = np.zeros(n, dtype=bool)
-        opened[emptiest[fill[emptiest] < capacity]] = True
+        # a gap: all that is not nearly full; else the sequence that rounding up costs
+        opened = fill < (capacity - capacity // 200 if spare >= 1 else 0)
+        if 1e-9 < spare < 1:
+            opened[np.argmin(fill)] = True
         order = np.argsort(seq, kind="stable")
         starts = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=n))))
         run = np.cumsum(lengths[order]) - lengths[order]
@@ -241,13 +247,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_part: in
     """Sequences of pieces: ``round``, ``_part``, ``_seq`` (together the sequence) and
     ``pieces``, each with its ``offset`` in the sequence, gapless from 0."""
     spark = pieces.sparkSession
-    total = pieces.count()
-    parts = max(parallelism(spark), -(-total // pieces_per_part))
+    # a row per length: the function that bounds all pieces best judges every partition,
+    # so that what the partitions exceed it by adds up to what the whole does
+    count = np.zeros(capacity + 1)
+    for r in pieces.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    weight = weights(count, capacity)
+    parts = max(parallelism(spark), -(-int(count.sum()) // pieces_per_part))
     one = F.array(F.struct(*PIECE_FIELDS))
     dealt = pieces.select(F.pmod(F.xxhash64("_id", "piece"), F.lit(parts)).alias("_part"), one.alias("pieces"))
     done, number = [], 0
     while True:
-        packed = stored(dealt.groupBy("_part").applyInArrow(_pack(capacity), PACKED_SCHEMA), f"packed-{number}")
+        packed = stored(dealt.groupBy("_part").applyInArrow(_pack(capacity, weight), PACKED_SCHEMA), f"packed-{number}")
         last = parts == 1
         done.append(packed.filter(F.lit(last) | ~F.col("open")).select(
             F.lit(number).alias("round"), "_part", "_seq", "pieces"))

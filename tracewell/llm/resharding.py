@@ -185,7 +185,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
     chunks = max(-(-total // shards // FILE_BYTES), -(-2 * parallelism(spark) // shards))
     kept = [c for c in docs.columns if c not in ("shard", "chunk", "place")]
     dealt = (docs.withColumns({"_old": old_shard.cast("int"), "_block": block, "_key": F.xxhash64(id_col)})
-             .join(F.broadcast(cells), ["_old", "_block"]).withColumn("_part", part)
+             .drop("shard", "chunk", "place").join(F.broadcast(cells), ["_old", "_block"]).withColumn("_part", part)
              .join(F.broadcast(placed), ["_old", "_block", "_part"])
              .filter(F.col("shard").isin(sorted(changed)) if len(changed) < shards else F.lit(True))
              .select(*kept, "shard", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")))

@@ -61,12 +61,19 @@ def member(data: bytes) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+def _store(folder: str):
+    """The store an address names, and the folder in it; the folder is made."""
+    from pyarrow import fs
+
+    named = "://" in folder or folder.startswith("file:")
+    store, root = fs.FileSystem.from_uri(folder) if named else (fs.LocalFileSystem(), folder)
+    store.create_dir(root)
+    return store, root
+
+
 def _write(folder: str, compress: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        store.create_dir(root)
+        store, root = _store(folder)
         part, number = TaskContext.get().partitionId(), 0
         # a file gets its name when it is whole; a task that runs again replaces it
         out, at, n, temporary = None, 0, 0, ""
@@ -113,6 +120,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     further columns are left out; an empty table writes no archive.
     """
     folder = folder or f"{scratch_dir(pages.sparkSession)}-warc"
+    _store(folder)
     rows = pages.select(F.col(page_id).cast("long").alias("_id"), F.col(url).alias("url"),
                         F.coalesce(F.col(html), F.lit("")).alias("_html")).select(
         "_id", "url", "_html", F.octet_length("_html").cast("long").alias("n_bytes"), F.sha2("_html", 256).alias("digest"))
