@@ -25,6 +25,8 @@ from tracewell.llm.tables import let, rendered, stored
 EDITS, PARTS = 1, 4
 #: Lines of fewer characters are list marks, braces and the like, and stay.
 LEAST_CHARS = 24
+#: Bits that tell which lines may have a near one.
+MARK_BITS = 22
 BLANKS = " \t\r\x0b\x0c"
 NO_ID = (1 << 63) - 1
 
@@ -103,6 +105,25 @@ def _trimmed(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
+def _word(h: Column) -> Column:
+    """Word of a fingerprint in the marks."""
+    return F.shiftrightunsigned(h, 64 - MARK_BITS).bitwiseAND(F.lit((1 << MARK_BITS - 6) - 1)).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _marks(wanted: DataFrame) -> DataFrame:
+    """One row: an array of a fixed number of bits, those of the wanted fingerprints
+    set. It spares most lines a shuffle of their text; when many are wanted it only
+    spares fewer."""
+    words = wanted.groupBy(_word(F.col("h")).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("h")))).alias("_m"))
+    every = wanted.sparkSession.range(1 << MARK_BITS - 6).select(F.col("id").cast("int").alias("_w"))
+    filled = every.join(words, "_w", "left").select("_w", F.coalesce("_m", F.lit(0).cast("long")).alias("_m"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_m"))), lambda x: x["_m"]).alias("marks"))
+
+
 def _candidates(lines: DataFrame) -> DataFrame:
     """Pairs (x, y) of distinct lines that meet under a key."""
     index = lines.select("h", F.explode(F.array(*[f"own{i}" for i in range(PARTS)])).alias("key"))
@@ -128,42 +149,40 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     keyed = docs.select(*names, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"))
     line, n = F.col("line"), F.length("line")
     held = keyed.select("_doc", F.explode(_trimmed(rendered(text))).alias("line")).filter(n >= LEAST_CHARS)
-    lines = stored(held.select(
-        "_doc", F.xxhash64("line").alias("h"),
-        *[_around(line, n, n, i).alias(f"own{i}") for i in range(PARTS)],
-        *[_around(line, n, n - F.lit(1), i).alias(f"less{i}") for i in range(PARTS)]), "lines")
-    keys = [f"{kind}{i}" for kind in ("own", "less") for i in range(PARTS)]
-    distinct = lines.groupBy("h").agg(*[F.max(k).alias(k) for k in keys])
-    pairs = _candidates(distinct)
+    lines = stored(held.select("_doc", F.xxhash64("line").alias("h")), "lines")
+    keys = {f"own{i}": _around(line, n, n, i) for i in range(PARTS)} | {f"less{i}": _around(line, n, n - F.lit(1), i) for i in range(PARTS)}
+    distinct = held.groupBy(F.xxhash64("line").alias("h")).agg(*[F.max(key).alias(name) for name, key in keys.items()])
+    pairs = stored(_candidates(distinct), "pairs")
     place = lines.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
 
-    # the texts of lines that meet, from the first document of each
-    meet = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct().join(place, "h").select("h", F.col("first").alias("_doc"))
-    wanted = meet.groupBy("_doc").agg(F.collect_set("h").alias("wanted"))
-    source = keyed.join(wanted, "_doc").select("_doc", "wanted", F.explode(F.array_distinct(_trimmed(rendered(text)))).alias("line"))
-    found = (source.filter(F.array_contains("wanted", F.xxhash64("line"))).select(F.xxhash64("line").alias("h"), "line", "_doc")
-             .dropDuplicates(["h"]))
+    # the texts of lines that meet: a marked line may be another one, the join decides
+    meet = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
+    marked = held.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(meet).scalar()).filter(
+        F.call_function("shiftright", F.get("_marks", _word(F.col("h"))), _bit(F.col("h"))).bitwiseAND(F.lit(1)) == 1)
+    found = (marked.select("h", "line").dropDuplicates(["h"]).join(meet, "h").join(place, "h")
+             .select("h", "line", F.col("first").alias("_doc")))
     sides = [found.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("_doc").alias(f"first_{s}")) for s in "xy"]
     texts = pairs.join(sides[0], "x").join(sides[1], "y")
     # of two lines one edit apart, the first halves or the second halves are equal
     half = F.floor(F.least(F.length("line_x"), F.length("line_y")) / 2).cast("int")
     plausible = (F.left("line_x", half) == F.left("line_y", half)) | (F.right("line_x", half) == F.right("line_y", half))
-    near = texts.filter(plausible & edit_distance_within(F.col("line_x"), F.col("line_y"), EDITS)).select("x", "y", "first_x", "first_y")
+    near = stored(texts.filter(plausible & edit_distance_within(F.col("line_x"), F.col("line_y"), EDITS))
+                  .select("x", "y", "first_x", "first_y"), "near")
 
     both = F.array(F.struct(F.col("x").alias("h"), F.col("first_y").alias("near")), F.struct(F.col("y").alias("h"), F.col("first_x").alias("near")))
     nearest = near.select(F.explode(both).alias("p")).select("p.*").groupBy("h").agg(F.min("near").alias("near"))
     earliest = (place.join(nearest, "h", "left").select("h", "last", F.least("first", F.coalesce("near", "first")).alias("earliest"))
                 .filter("earliest < last").drop("last"))
     gone = (lines.select("_doc", "h").join(earliest, "h").filter("earliest < _doc")
-            .groupBy("_doc").agg(F.collect_set("h").alias("gone")))
+            .groupBy("_doc").agg(F.collect_set("h").alias("_g")))
     inside = (near.filter("first_x = first_y").groupBy(F.col("first_x").alias("_doc"))
-              .agg(F.collect_set(F.struct("x", "y")).alias("inside")))
+              .agg(F.collect_set(F.struct("x", "y")).alias("_i")))
     marks = gone.join(inside, "_doc", "full")
     none, no_pairs = F.array().cast("array<bigint>"), F.array().cast("array<struct<x:bigint,y:bigint>>")
     joined = keyed.join(marks, "_doc", "left").select(
         *names, F.split(rendered(text), "\n").alias("_raw"),
         F.transform(_trimmed(rendered(text)), lambda x: F.when(F.length(x) >= LEAST_CHARS, F.xxhash64(x))).alias("_hashes"),
-        F.coalesce("gone", none).alias("_gone"), F.coalesce("inside", no_pairs).alias("_inside"))
+        F.coalesce("_g", none).alias("_gone"), F.coalesce("_i", no_pairs).alias("_inside"))
     later = F.transform("_inside", lambda p: F.when(
         F.array_position("_hashes", p["x"]) < F.array_position("_hashes", p["y"]), p["y"]).otherwise(p["x"]))
     # per line whether its like stands before it: sorted by fingerprint and place, what is
