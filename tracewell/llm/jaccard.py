@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import exchange
@@ -30,6 +30,8 @@ from tracewell.llm.tables import stored
 
 SHINGLE, PERCENT = 5, 75
 FRAGMENTS = 8
+#: Text of a block: its shingles and their counts are in a worker's memory at once.
+BLOCK_BYTES = 4 << 20
 #: Rounds from pivots at most, before lists that are still split go pair by pair.
 PIVOT_ROUNDS = 6
 FACTS = ("_id bigint, n bigint, set1 bigint, set2 bigint, linkable boolean, prefix int, "
@@ -127,11 +129,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _close(a: str, b: str):
+def _close(a: str, b: str) -> Column:
     """Sizes that two linked sets may have."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _enough(overlap: str | Column, a: str, b: str) -> Column:
+    """Whether an overlap makes sets of two sizes a link."""
+    overlap = F.col(overlap) if isinstance(overlap, str) else overlap
+    return overlap * (100 + PERCENT) >= (F.col(a) + F.col(b)) * PERCENT
+
+
 def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Those of the candidates (a, b, n_a, n_b) that are links. ``segments`` has the
     part of each class that lies in each fragment; overlaps are counted there and
@@ -141,7 +149,7 @@ def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     partial = sides.join(other, ["b", "fragment"]).select(
         "a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    return summed.filter(F.col("overlap") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b")
+    return summed.filter(_enough("overlap", "n_a", "n_b")).select("a", "b")
 
 
 def _link_classes(classes: DataFrame) -> DataFrame:
@@ -163,10 +171,14 @@ def _link_classes(classes: DataFrame) -> DataFrame:
 
     parts = F.array(*[inside(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
     segments = stored(placed.select("cls", F.posexplode(parts).alias("fragment", "part")).filter(F.size("part") > 0), "segments")
-    lists = placed.select("cls", "n", "typical", F.explode(F.slice("grams", 1, F.col("prefix"))).alias("gram"))
-    # a prefix shingle that only one class holds gives no candidate
-    several = lists.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("gram")
-    postings = stored(lists.join(several, "gram"), "postings")
+    # rest: shared shingles from this one on, no fewer than what a pair has in common
+    # from its first common shingle on
+    lists = placed.select("cls", "n", "typical", F.size("grams").alias("m"), F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("i", "gram")
+                          ).select("cls", "n", "typical", "gram", (F.col("m") - F.col("i")).cast("long").alias("rest"))
+    # a prefix shingle gives candidates only where several classes hold it, to a class
+    # only where one of them is small enough for the overlap it can have
+    several = lists.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("n").alias("n_min")).filter("lo < hi")
+    postings = stored(lists.join(several, "gram").filter(_enough("rest", "n", "n_min")).drop("lo", "hi", "n_min"), "postings")
     size = postings.count()
     links = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "v bigint, comp bigint")
@@ -180,14 +192,15 @@ def _link_classes(classes: DataFrame) -> DataFrame:
             break
         now = now.join(split.select("gram"), "gram")
         if number == PIVOT_ROUNDS or number and left <= 4 * size + 1000:
-            x, y = (now.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp")]) for s in "ab")
-            pairs = x.join(y, "gram").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")))
+            x, y = (now.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp", "rest")]) for s in "ab")
+            pairs = x.join(y, "gram").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
+                                             & _enough(F.least("rest_a", "rest_b"), "n_a", "n_b"))
             last = True
         else:
             # the class with the largest shared part first, then any other of another component
             by = F.struct(F.col("typical"), -F.col("cls")) if number == 0 else F.struct(F.xxhash64("cls", F.lit(number)), F.col("cls"))
-            pivots = now.groupBy("gram").agg(F.max_by(F.struct("cls", "n", "comp"), by).alias("p"))
-            both = now.join(pivots, "gram").filter(F.col("comp") != F.col("p.comp"))
+            pivots = now.groupBy("gram").agg(F.max_by(F.struct("cls", "n", "comp", "rest"), by).alias("p"))
+            both = now.join(pivots, "gram").filter((F.col("comp") != F.col("p.comp")) & _enough(F.least("rest", "p.rest"), "n", "p.n"))
             first = F.col("cls") < F.col("p.cls")
             pairs = both.select(
                 F.when(first, F.col("cls")).otherwise(F.col("p.cls")).alias("cls_a"), F.when(first, F.col("n")).otherwise(F.col("p.n")).alias("n_a"),
@@ -213,7 +226,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     with a null id belongs to the component of its set, if that has an id. Further
     columns are left out; an empty table gives no rows.
     """
-    blocks, _, n_buckets = exchange.blocked(docs, id_col, text)
+    blocks, _, n_buckets = exchange.blocked(docs, id_col, text, BLOCK_BYTES)
     answers = exchange.exchange_narrow(blocks, _send(n_buckets))
     facts = stored(blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_facts(n_buckets), FACTS), "facts")
     linkable = facts.filter("linkable")
