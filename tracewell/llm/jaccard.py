@@ -33,7 +33,7 @@ FRAGMENTS = 8
 #: Text of a block: its shingles and their counts are in a worker's memory at once.
 BLOCK_BYTES = 4 << 20
 #: Rounds from pivots at most, before lists that are still split go pair by pair.
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 3
 FACTS = ("_id bigint, n bigint, set1 bigint, set2 bigint, linkable boolean, prefix int, "
          "grams array<bigint>, counts array<bigint>")
 
@@ -190,7 +190,9 @@ def _link_classes(classes: DataFrame) -> DataFrame:
         left = split.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
         if not left:
             break
-        now = now.join(split.select("gram"), "gram")
+        # lists that lie in one component are done, so later rounds read fewer
+        now = stored(now.join(split.select("gram"), "gram"), "split")
+        postings = now.drop("comp")
         if number == PIVOT_ROUNDS or number and left <= 4 * size + 1000:
             x, y = (now.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp", "rest")]) for s in "ab")
             pairs = x.join(y, "gram").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
