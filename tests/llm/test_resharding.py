@@ -51,3 +51,36 @@ def test_a_layout_that_fits_is_left_alone_and_empty_table(spark):
     done = rs.reshard(df, F.pmod("doc_id", F.lit(2)).cast("int"), 2)
     assert done.moved_bytes == 0 and done.rewritten == []
     assert rs.read_shards(spark, rs.reshard(df.limit(0), F.lit(0), 3), "doc_id long, text string").count() == 0
+
+
+def test_shards_left_alone_come_back_with_slots(spark):
+    # shards 0 and 1 are even already, 2 and 3 exchange a document
+    sizes = {0: [92] * 10, 1: [92] * 10, 2: [92] * 12, 3: [92] * 8}
+    rows = [(100 * k + i, f"{k}{i:02d}" + "x" * (n - 3), k) for k, own in sizes.items() for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    done = rs.reshard(df, F.col("shard"), 4)
+    assert 0 < len(done.rewritten) < 4 and done.moved_bytes == 200
+    got = rs.read_shards(spark, done, "doc_id long, text string").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(r[:2] for r in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert {k: sorted(s) for k, s in slots.items()} == {k: list(range(10)) for k in range(4)}
+
+
+def test_two_rows_in_two_shards_come_back(spark):
+    df = spark.createDataFrame([(1, "a" * 80, 3), (2, "b" * 80, 11)], "doc_id long, text string, old int")
+    done = rs.reshard(df, F.col("old"), 24)
+    got = rs.read_shards(spark, done, "doc_id long, text string").collect()
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == [(1, 3, 0), (2, 11, 0)]
+
+
+def test_only_the_hot_text_is_split(spark, monkeypatch):
+    monkeypatch.setattr(rs, "BLOCKS_PER_SHARD", 1)
+    rows = [(i, f"text {i % 300} " + "y" * 50) for i in range(3000)] + [(9000 + i, "hot " * 40) for i in range(1500)]
+    done = rs.reshard(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(0), 6)
+    where = {}
+    for r in rs.read_shards(spark, done, "doc_id long, text string").collect():
+        where.setdefault(r["text"], set()).add(r["shard"])
+    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot"))
+    assert len(where["hot " * 40]) > 1

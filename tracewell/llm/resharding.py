@@ -1,17 +1,19 @@
 """Resharding by minimum-cost flow: the fewest bytes that make shard sizes near equal.
 
 Documents are gathered in blocks by a hash of their text, so equal texts travel
-together; a block too large to move whole (a hot text) is split by a hash of the id.
+together; a block too large to move whole is split by another hash of the text, and
+only a text that is too large itself (a hot one) by a hash of the id.
 Block sizes, a table bounded by parameters, reach the driver. There a flow from old
 shard sizes to new capacities says how many bytes each old shard hands to each new
 one at the least cost (a byte that stays costs nothing), and whole blocks are picked
-to carry it. Only shards that gain or lose a block are written again.
+to carry it. Only shards that gain or lose a block are written again; the others are
+read from where they are.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,13 +135,16 @@ class Reshard:
     """Where the new shards are, and what moved.
 
     ``path`` holds the rewritten shards (Parquet by ``shard`` and ``chunk``);
-    ``rewritten`` lists them, ``moved_bytes`` is what changed its shard.
+    ``rewritten`` lists them, ``moved_bytes`` is what changed its shard. ``stayed``
+    has the documents of the shards left alone, out of the input, with the same
+    columns; None if there are no such shards.
     """
 
     path: str
     rewritten: list[int]
     moved_bytes: int
     loads: list[int]
+    stayed: DataFrame | None = field(default=None, compare=False)
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_id", text: str = "text",
@@ -156,16 +161,37 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
     path = path or f"{scratch_dir(spark)}-shards"
     blocks = shards * BLOCKS_PER_SHARD
     block = F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
-    sized = docs.select(old_shard.cast("int").alias("_old"), block.alias("_block"),
+    sized = docs.select(old_shard.cast("int").alias("_old"), block.alias("_block"), F.xxhash64(text).alias("_hash"),
                         text_size(text).alias("_size"), F.xxhash64(id_col).alias("_key"))
     coarse = sized.groupBy("_old", "_block").agg(F.sum("_size").alias("n")).collect()
     total = sum(r["n"] for r in coarse)
-    share, most = max(1, total // blocks), total // shards // WHOLE_PER_SHARD
-    cells = spark.createDataFrame([(r["_old"], r["_block"], -(-r["n"] // share) if r["n"] > most else 1) for r in coarse],
-                                  "_old int, _block int, _parts long")
-    # at most old shards x blocks rows, and two units per block on average
-    part = F.pmod(F.col("_key"), F.col("_parts")).cast("int").alias("_part")
-    fine = (sized.join(F.broadcast(cells), ["_old", "_block"]).groupBy("_old", "_block", part)
+    share, most = max(1, total // blocks), max(1, total // shards // WHOLE_PER_SHARD)
+    # of blocks too large to move whole, the texts that are so themselves: together they
+    # are no larger than all shards, so there are at most 16 per shard
+    large = [(r["_old"], r["_block"]) for r in coarse if r["n"] > most]
+    hot = (sized.join(F.broadcast(spark.createDataFrame(large, "_old int, _block int")), ["_old", "_block"])
+           .groupBy("_old", "_block", "_hash").agg(F.sum("_size").alias("n")).filter(F.col("n") > most)
+           .orderBy("_old", "_block", "_hash").collect()) if large else []
+    rest = {(r["_old"], r["_block"]): r["n"] for r in coarse}
+    for r in hot:
+        rest[r["_old"], r["_block"]] -= r["n"]
+    parts = {cell: -(-n // share) if n > most else 1 for cell, n in rest.items()}
+    cells = spark.createDataFrame([(*cell, n) for cell, n in parts.items()], "_old int, _block int, _parts long")
+    own, taken = [], dict(parts)
+    for r in hot:
+        cell, n = (r["_old"], r["_block"]), -(-r["n"] // share)
+        own.append((*cell, r["_hash"], taken[cell], n))
+        taken[cell] += n
+    heated = spark.createDataFrame(own, "_old int, _block int, _hash long, _first long, _own long")
+
+    def in_parts(df: DataFrame) -> DataFrame:
+        # at most old shards x blocks rows, and two units per block on average
+        of_text = F.pmod(F.xxhash64("_hash", F.lit(2)), F.col("_parts"))
+        of_id = F.col("_first") + F.pmod(F.col("_key"), F.col("_own"))
+        return (df.join(F.broadcast(cells), ["_old", "_block"]).join(F.broadcast(heated), ["_old", "_block", "_hash"], "left")
+                .withColumn("_part", F.coalesce(of_id, of_text).cast("int")))
+
+    fine = (in_parts(sized).groupBy("_old", "_block", "_part")
             .agg(F.sum("_size").alias("n")).orderBy("_old", "_block", "_part").collect())
     n_old = 1 + max((r["_old"] for r in coarse), default=0)
     weights = capacities or [1.0] * shards
@@ -184,21 +210,29 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_
                                    "_old int, _block int, _part int, shard int")
     chunks = max(-(-total // shards // FILE_BYTES), -(-2 * parallelism(spark) // shards))
     kept = [c for c in docs.columns if c not in ("shard", "chunk", "place")]
-    dealt = (docs.withColumns({"_old": old_shard.cast("int"), "_block": block, "_key": F.xxhash64(id_col)})
-             .drop("shard", "chunk", "place").join(F.broadcast(cells), ["_old", "_block"]).withColumn("_part", part)
+    keyed = docs.withColumns({"_old": old_shard.cast("int"), "_block": block, "_hash": F.xxhash64(text), "_key": F.xxhash64(id_col)})
+
+    def in_chunks(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy("shard", "chunk").orderBy(F.col(id_col).asc_nulls_first())
+        chunk = F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
+        return df.select(*kept, "shard", chunk).withColumn("place", F.row_number().over(order).cast("long") - 1)
+
+    same = sorted({r["_old"] for r in coarse} - changed)
+    stayed = in_chunks(keyed.drop("shard", "chunk", "place").filter(F.col("_old").isin(same)).withColumnRenamed("_old", "shard")) if same else None
+    dealt = (in_parts(keyed.drop("shard", "chunk", "place"))
              .join(F.broadcast(placed), ["_old", "_block", "_part"])
-             .filter(F.col("shard").isin(sorted(changed)) if len(changed) < shards else F.lit(True))
-             .select(*kept, "shard", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")))
-    order = Window.partitionBy("shard", "chunk").orderBy(F.col(id_col).asc_nulls_first())
-    (dealt.withColumn("place", F.row_number().over(order).cast("long") - 1)
-     .write.partitionBy("shard", "chunk").option("compression", "zstd").parquet(path))
+             .filter(F.col("shard").isin(sorted(changed)) if same else F.lit(True)))
+    in_chunks(dealt).write.partitionBy("shard", "chunk").option("compression", "zstd").parquet(path)
     return Reshard(path, sorted(changed & set(range(shards))),
-                   sum(s for (old, s), j in zip(units, target, strict=True) if old != j), loads)
+                   sum(s for (old, s), j in zip(units, target, strict=True) if old != j), loads, stayed)
 
 
 def read_shards(spark, done: Reshard, columns: str) -> DataFrame:
-    """Rewritten shards with ``slot``, a row's number in its shard, gapless from 0."""
+    """All documents of the new layout, of rewritten shards and of those left alone,
+    with ``slot``, a row's number in its shard, gapless from 0."""
     written = spark.read.schema(f"{columns}, place bigint, shard int, chunk int").parquet(done.path)
+    if done.stayed is not None:
+        written = written.unionByName(done.stayed.select(*[F.col(f.name).cast(f.dataType) for f in written.schema]))
     sizes = written.groupBy("shard", "chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("shard", "chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
