@@ -111,3 +111,34 @@ def test_partitions_with_room_exchange_until_one_is_left(spark):
     assert sorted(p["_id"] for s in seqs for p in s["pieces"]) == list(range(2000))
     assert all(sum(p["length"] for p in s["pieces"]) <= 100 for s in seqs)
     assert len(seqs) <= math.ceil(packing.bound(np.array(lengths), 100)) * 1.04 + 1
+
+
+def test_a_gap_of_the_lengths_never_gathers_all_open_sequences(spark):
+    rng = random.Random(6)
+    lengths = [rng.randrange(400, 1000) for _ in range(6000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES_SCHEMA)
+    seqs = packing.pack_pieces(pieces, 2048, pieces_per_part=300, open_per_part=50).collect()
+    assert sorted(p["_id"] for s in seqs for p in s["pieces"]) == list(range(6000))
+    assert all(sum(p["length"] for p in s["pieces"]) <= 2048 for s in seqs)
+    tasks = {}
+    for s in seqs:
+        if s["round"] > 0:
+            tasks[s["round"], s["_part"]] = tasks.get((s["round"], s["_part"]), 0) + 1
+    assert tasks and max(tasks.values()) <= 2 * 50
+    assert len({(s["round"], s["_part"], s["_seq"]) for s in seqs}) == len(seqs)
+    alone = packing.best_fit(np.array(lengths), 2048).max() + 1
+    assert len(seqs) <= 1.02 * alone
+
+
+def test_sequences_that_pack_worse_stay_as_they_came():
+    import pyarrow as pa
+
+    # best fit decreasing takes five sequences of ten for these pieces, four are given
+    came = [[3, 4, 3], [6, 2, 2], [6, 2, 2], [5, 3, 2]]
+    assert packing.best_fit(np.array([n for s in came for n in s]), 10).max() + 1 == 5
+    given = [[dict(_id=10 * k + i, piece=0, start=0, length=n, ids_crc32=0) for i, n in enumerate(s)] for k, s in enumerate(came)]
+    fields = pa.list_(pa.struct([("_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+    table = pa.table({"_part": [0] * len(given), "pieces": pa.array(given, fields)})
+    out = packing._pack(10, packing.weights(np.ones(11), 10), False)(table).to_pylist()
+    assert len(out) == len(came)
+    assert all(sum(p["length"] for p in r["pieces"]) <= 10 for r in out)

@@ -5,7 +5,10 @@ pieces by best-fit decreasing and compare the number of sequences with a lower b
 the sum of a dual-feasible function, the one that bounds all pieces best. A partition
 at its bound cannot do better and puts forward only its emptiest sequence, the one that
 rounding up costs; one above it has a gap and puts forward all that are not nearly
-full. These exchange documents in fewer partitions, which pack again, until one is left.
+full. These are dealt anew to as many partitions as a bound on their size asks for, and
+packed again. A partition that this does not improve has a gap of its lengths, not of
+the dealing, and keeps all but its emptiest sequence. The rounds end with one partition,
+which what is left reaches only when it is no larger than any other.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ from tracewell.llm.tables import parallelism, stored
 CAPACITY = 2048
 #: Pieces that a partition packs in the first round, and open sequences in later ones.
 PIECES, OPEN = 200_000, 5_000
+#: A partition goes on if packing anew spares one sequence in so many; rounds at most.
+WORTH, ROUNDS = 500, 16
 #: Runs of white space or of other characters that the rank encoder does not get.
 LONG_RUN = 5_000
 #: How byte-level BPE cuts a text before merging: fixed values of that kind of file.
@@ -208,7 +214,7 @@ PACKED_SCHEMA = ("_part bigint, _seq bigint, open boolean, bound double, sequenc
                  "pieces array<struct<_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>")
 
 
-def _pack(capacity: int, weight: np.ndarray):
+def _pack(capacity: int, weight: np.ndarray, fresh: bool):
     def pack(table: pa.Table) -> pa.Table:
         part = table.column("_part")[0].as_py()
         lists = table.column("pieces").combine_chunks()
@@ -220,12 +226,19 @@ def _pack(capacity: int, weight: np.ndarray):
         seq = np.empty(len(lengths), dtype=np.int64)
         seq[first] = best_fit(lengths[first], capacity)
         n = int(seq.max()) + 1 if len(seq) else 0
+        if n > len(lists):
+            # no worse than it came: sequences numbered by their first piece
+            came = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            _, begins = np.unique(came[first], return_index=True)
+            seq, n = np.argsort(np.argsort(begins))[came], len(lists)
         fill = np.bincount(seq, weights=lengths, minlength=n)
         low = float(weight[lengths].sum())
         spare = n - low
-        # a gap: all that is not nearly full; else the sequence that rounding up costs
-        opened = fill < (capacity - capacity // 200 if spare >= 1 else 0)
-        if 1e-9 < spare < 1:
+        # a gap that may close: all that is not nearly full; else the sequence that
+        # rounding up costs
+        improves = (len(lists) - n) * WORTH >= len(lists)
+        opened = fill < (capacity - capacity // 200 if spare >= 1 and (fresh or improves) else 0)
+        if spare > 1e-9 and not opened.any():
             opened[np.argmin(fill)] = True
         order = np.argsort(seq, kind="stable")
         starts = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=n))))
@@ -245,7 +258,11 @@ def _pack(capacity: int, weight: np.ndarray):
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_part: int = PIECES,
                 open_per_part: int = OPEN) -> DataFrame:
     """Sequences of pieces: ``round``, ``_part``, ``_seq`` (together the sequence) and
-    ``pieces``, each with its ``offset`` in the sequence, gapless from 0."""
+    ``pieces``, each with its ``offset`` in the sequence, gapless from 0.
+
+    No task gets more than about ``pieces_per_part`` pieces, nor, after the first
+    round, more than about ``open_per_part`` sequences, however many are open.
+    """
     spark = pieces.sparkSession
     # a row per length: the function that bounds all pieces best judges every partition,
     # so that what the partitions exceed it by adds up to what the whole does
@@ -258,19 +275,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_part: in
     dealt = pieces.select(F.pmod(F.xxhash64("_id", "piece"), F.lit(parts)).alias("_part"), one.alias("pieces"))
     done, number = [], 0
     while True:
-        packed = stored(dealt.groupBy("_part").applyInArrow(_pack(capacity, weight), PACKED_SCHEMA), f"packed-{number}")
-        last = parts == 1
+        packed = stored(dealt.groupBy("_part").applyInArrow(_pack(capacity, weight, number == 0), PACKED_SCHEMA), f"packed-{number}")
+        last = parts == 1 or number == ROUNDS - 1
         done.append(packed.filter(F.lit(last) | ~F.col("open")).select(
             F.lit(number).alias("round"), "_part", "_seq", "pieces"))
         if last:
             break
         opened = packed.filter("open")
-        parts = max(1, min(parts // 2, -(-opened.count() // open_per_part)))
-        # one row per old partition: what it puts forward travels together
-        dealt = opened.groupBy("_part").agg(F.flatten(F.collect_list(
-            F.transform("pieces", lambda x: F.struct(*[x[f].alias(f) for f in PIECE_FIELDS])))).alias("pieces")).select(
-            F.pmod(F.xxhash64("_part"), F.lit(parts)).alias("_part"), "pieces")
+        size = opened.agg(F.count("*").alias("n"), F.sum(F.size("pieces")).alias("pieces")).first()
+        parts = max(1, -(-size["n"] // open_per_part), -(-(size["pieces"] or 0) // pieces_per_part))
         number += 1
+        # one row per sequence, which stays as it is where packing anew takes more
+        dealt = opened.select(
+            F.pmod(F.xxhash64(F.lit(number), "_part", "_seq"), F.lit(parts)).alias("_part"),
+            F.transform("pieces", lambda x: F.struct(*[x[f].alias(f) for f in PIECE_FIELDS])).alias("pieces"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
