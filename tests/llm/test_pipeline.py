@@ -95,3 +95,11 @@ def test_every_operator_has_its_query():
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
     assert names["pipeline"] is cp.run and set(oracles()) <= set(names)
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_a_document_with_short_lines_of_its_own_stays(spark):
+    header = "a header that many documents have in common"
+    rows = [(1, header + "\nfirst"), (2, header + "\nroses are red\nviolets are blue"), (3, header + "\n\n \n"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], COLUMNS)
+    got = {r["doc_id"]: r["text"] for r in cp.repeated_lines(spark, docs, "").collect()}
+    assert got == {1: header + "\nfirst", 2: "roses are red\nviolets are blue", 4: "", 5: None}
