@@ -26,10 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that came before; one that keeps no line of its own,
+    """Documents without the lines, short ones too, that came before; one that keeps no line of its own,
     of whatever length, goes."""
     blank = F.btrim(tables.rendered("text"), F.lit(line_dedup.BLANKS + "\n")) == ""
-    left = line_dedup.drop_repeated_lines(docs).filter(~((F.col("n_removed") > 0) & blank))
+    left = line_dedup.drop_repeated_lines(docs, least_chars=1).filter(~((F.col("n_removed") > 0) & blank))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast("long"))
     return left.select(*docs.columns)

@@ -89,3 +89,12 @@ def test_null_ids_come_last_and_other_columns_stay(spark):
     long = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(300))
     got = ld.drop_repeated_lines(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["only_short"] for r in got} == {1: False, 2: True}
+
+
+def test_short_lines_are_judged_for_equal_ones_where_asked(spark):
+    note, near = "All rights reserved.", "All rights reserved!"
+    rows = [(1, f"{note}\n本日は晴天なり。"), (2, f"own\n {note}\n\n本日は晴天なり。\n{near}"), (3, f"{note}\nown"), (4, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in ld.drop_repeated_lines(df, least_chars=1).collect()}
+    assert got == {1: (rows[0][1], 2, 0, False), 2: (f"own\n\n{near}", 4, 2, False), 3: ("", 2, 2, True), 4: ("\n\n", 0, 0, False)}
+    assert all(r["n_lines"] == r["n_removed"] == 0 for r in ld.drop_repeated_lines(df).collect())

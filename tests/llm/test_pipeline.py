@@ -103,3 +103,9 @@ def test_a_document_with_short_lines_of_its_own_stays(spark):
     docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], COLUMNS)
     got = {r["doc_id"]: r["text"] for r in cp.repeated_lines(spark, docs, "").collect()}
     assert got == {1: header + "\nfirst", 2: "roses are red\nviolets are blue", 4: "", 5: None}
+
+
+def test_short_lines_that_came_before_go(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\nmine", "xx", "s", 0), (2, "yours\nAll rights reserved.", "xx", "s", 0)], COLUMNS)
+    got = {r["doc_id"]: r["text"] for r in cp.repeated_lines(spark, docs, "").collect()}
+    assert got == {1: "All rights reserved.\nmine", 2: "yours"}

@@ -2,7 +2,9 @@
 
 A line is removed if an equal line, or one within one edit (a character inserted,
 deleted or replaced), comes before it: in a document with a smaller id, or earlier in
-its own. Lines are judged on the input, not on what is left.
+its own. Lines are judged on the input, not on what is left. The caller says from what
+length on a line is judged for equal ones; for near ones, where an edit means much in a
+short line, it is ``LEAST_CHARS`` at least.
 
 With a threshold of one edit a line is split into two segments, and one of them stays
 as it is. The other is halved again by the same argument, so of four parts all but one
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.tables import let, rendered, stored
 
 EDITS, PARTS = 1, 4
-#: Lines of fewer characters are list marks, braces and the like, and stay.
+#: Lines of fewer characters have no near ones, and by default are not judged at all.
 LEAST_CHARS = 24
 #: Bits that tell which lines may have a near one.
 MARK_BITS = 22
@@ -134,12 +136,15 @@ def _candidates(lines: DataFrame) -> DataFrame:
     return same.unionByName(longer).distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                        least_chars: int = LEAST_CHARS) -> DataFrame:
     """The input with the lines that came before taken out of ``text``, and
-    ``n_lines`` (lines of 24 characters or more), ``n_removed`` and ``only_short``
-    (something was removed and no such line is left).
+    ``n_lines`` (lines of ``least_chars`` characters or more), ``n_removed`` and
+    ``only_short`` (something was removed and no such line is left).
 
-    Blanks around a line do not count. Shorter lines and blank ones stay. A null text
+    Blanks around a line do not count. Shorter lines and blank ones stay; 1 judges
+    every line that is not blank. Lines under 24 characters go only if an equal one
+    came before. A null text
     stays null, with no lines. A null id comes after all others. Rows of one id do not
     remove each other's equal lines. All columns of the input stay; those of the three
     new names are replaced. An empty table gives no rows. Lines are compared by 64-bit
@@ -148,16 +153,18 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "only_short")]
     keyed = docs.select(*names, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"))
     line, n = F.col("line"), F.length("line")
-    held = keyed.select("_doc", F.explode(_trimmed(rendered(text))).alias("line")).filter(n >= LEAST_CHARS)
+    least_chars = max(1, least_chars)
+    held = keyed.select("_doc", F.explode(_trimmed(rendered(text))).alias("line")).filter(n >= least_chars)
+    long = held.filter(n >= LEAST_CHARS)
     lines = stored(held.select("_doc", F.xxhash64("line").alias("h")), "lines")
     keys = {f"own{i}": _around(line, n, n, i) for i in range(PARTS)} | {f"less{i}": _around(line, n, n - F.lit(1), i) for i in range(PARTS)}
-    distinct = held.groupBy(F.xxhash64("line").alias("h")).agg(*[F.max(key).alias(name) for name, key in keys.items()])
+    distinct = long.groupBy(F.xxhash64("line").alias("h")).agg(*[F.max(key).alias(name) for name, key in keys.items()])
     pairs = stored(_candidates(distinct), "pairs")
     place = lines.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
 
     # the texts of lines that meet: a marked line may be another one, the join decides
     meet = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-    marked = held.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(meet).scalar()).filter(
+    marked = long.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(meet).scalar()).filter(
         F.call_function("shiftright", F.get("_marks", _word(F.col("h"))), _bit(F.col("h"))).bitwiseAND(F.lit(1)) == 1)
     found = (marked.select("h", "line").dropDuplicates(["h"]).join(meet, "h").join(place, "h")
              .select("h", "line", F.col("first").alias("_doc")))
@@ -181,7 +188,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     none, no_pairs = F.array().cast("array<bigint>"), F.array().cast("array<struct<x:bigint,y:bigint>>")
     joined = keyed.join(marks, "_doc", "left").select(
         *names, F.split(rendered(text), "\n").alias("_raw"),
-        F.transform(_trimmed(rendered(text)), lambda x: F.when(F.length(x) >= LEAST_CHARS, F.xxhash64(x))).alias("_hashes"),
+        F.transform(_trimmed(rendered(text)), lambda x: F.when(F.length(x) >= least_chars, F.xxhash64(x))).alias("_hashes"),
         F.coalesce("_g", none).alias("_gone"), F.coalesce("_i", no_pairs).alias("_inside"))
     later = F.transform("_inside", lambda p: F.when(
         F.array_position("_hashes", p["x"]) < F.array_position("_hashes", p["y"]), p["y"]).otherwise(p["x"]))
