@@ -69,3 +69,20 @@ def test_very_long_texts_and_neighbours_do_not_make_a_passage(spark):
     assert sorted((str(r["doc_id"]), r["start"]) for r in dc.find_leaks(df, bench).collect()) == [("1", len(far)), ("None", 0)]
     assert sorted(r["doc_id"] for r in dc.drop_contaminated(df, bench).collect()) == [2, 3]
     assert dc.find_leaks(df.limit(0), bench).count() == 0 and dc.find_leaks(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("length", "edits"), [(64, 0), (75, 0), (71, 6)])
+def test_passages_cut_at_every_offset_are_found(spark, length, edits):
+    rng = random.Random(length)
+    item = prose(rng, 60).replace(" ", "-")[:300]  # an edit at a blank may count twice
+    docs = [(a, "~" * 90 + edited(rng, item[a: a + length], edits) + "~" * 90) for a in range(len(item) - length + 1)]
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [i for i, _ in docs]
+
+
+def test_short_items_are_found_where_asked(spark):
+    docs = spark.createDataFrame([(1, "so what is seven times six then"), (2, "what is eight")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is seven times")], "item_id long, text string")
+    assert dc.find_leaks(docs, bench).count() == 0
+    assert [r["doc_id"] for r in dc.find_leaks(docs, bench, least_chars=8).collect()] == [1]

@@ -1,6 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark texts are cut into overlapping windows of ``WINDOW`` characters. A region of
+Benchmark texts are cut into overlapping windows of ``WINDOW`` characters, one every
+``STRIDE``. So a passage of ``WINDOW + STRIDE - 1`` characters, wherever it was cut, holds
+a whole window, and of one of ``WINDOW`` at most ``STRIDE / 2`` characters lie beside the
+nearest window, which the edits allow for. A region of
 a document within k edits of a window of w characters shares at least
 w + 1 - q (k + 1) of its q-grams with it, all on diagonals at most k apart. So q-gram
 hits are counted in overlapping bands of diagonals, each twice as wide as k; bands
@@ -24,11 +27,12 @@ from pyspark.sql import functions as F
 from tracewell.llm.hashing import mix
 from tracewell.llm.tables import let
 
-Q, WINDOW, STRIDE = 8, 64, 32
-#: Edits per hundred characters of a window; texts under ``LEAST`` characters are no evidence.
+Q, WINDOW, STRIDE = 8, 64, 8
+#: Edits per hundred characters of a window; by default texts under ``LEAST`` characters are
+#: no evidence.
 EDIT_PERCENT, LEAST = 10, 24
 #: Benchmark characters that travel at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 _SLICE = 1 << 19
 _FILTER_BITS = 22
 MATCHES = "_id bigint, item_id bigint, n_windows int, start int, edits int"
@@ -72,11 +76,11 @@ class Windows:
         return self.length + 1 - Q * (self.edits + 1)
 
 
-def build_windows(items: list[tuple[int, str | None]]) -> Windows:
+def build_windows(items: list[tuple[int, str | None]], least_chars: int = LEAST) -> Windows:
     owner, rows = [], []
     for item, text in items:
         codes = code_points(plain(text))
-        if len(codes) < LEAST:
+        if len(codes) < max(Q, least_chars):
             continue
         last = max(0, len(codes) - WINDOW)
         for at in sorted({*range(0, last, STRIDE), last}):
@@ -89,8 +93,8 @@ def build_windows(items: list[tuple[int, str | None]]) -> Windows:
     edits = np.minimum(length * EDIT_PERCENT // 100, length // Q - 1)
     found = [grams(r) for r in rows]
     hashes = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-    window = np.repeat(np.arange(len(rows)), [len(g) for g in found])
-    place = np.concatenate([np.arange(len(g)) for g in found]) if found else np.zeros(0, dtype=np.int64)
+    window = np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in found])
+    place = np.concatenate([np.arange(len(g), dtype=np.int16) for g in found]) if found else np.zeros(0, dtype=np.int16)
     order = np.argsort(hashes, kind="stable")
     keys, first = np.unique(hashes[order], return_index=True)
     marks = np.zeros(1 << _FILTER_BITS, dtype=bool)
@@ -142,7 +146,7 @@ def search(codes: np.ndarray, index: Windows) -> tuple[np.ndarray, np.ndarray, n
     if not many.sum():
         return none, none, none
     post = np.repeat(index.first[spot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-    window = index.window[post]
+    window = index.window[post].astype(np.int64)
     diagonal = np.repeat(at, many) - index.place[post] + WINDOW
     step = index.edits[window] + 1
     band = diagonal // step
@@ -214,14 +218,15 @@ def _match(shipped: bytes):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
-               item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+               item_col: str = "item_id", item_text: str = "text", least_chars: int = LEAST) -> DataFrame:
     """One row per document and benchmark item it holds a passage of: ``id_col``,
     ``item_id``, ``n_windows`` (windows of the item found), ``start`` (the first, in
     code points of the text in lower case with single blanks), ``edits`` (the fewest).
 
-    A passage is a window of 64 characters, or a whole shorter item of 24 or more,
-    within 10 edits per hundred characters. Null, empty and shorter texts match
-    nothing; repeated rows give repeated matches; null ids are kept; further columns
+    A passage is a window of 64 characters, or a whole shorter item of ``least_chars``
+    (24, and 8 at least) or more, within 10 edits per hundred characters. Windows start
+    every 8 characters: 64 characters of an item are found wherever they were cut, and
+    71 also within six edits. Null, empty and shorter texts match nothing; repeated rows give repeated matches; null ids are kept; further columns
     are left out; an empty table on either side gives no rows. Items with a null id
     are left out.
     """
@@ -233,14 +238,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = docs.sparkSession.createDataFrame([], MATCHES)
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = build_windows([(r["item"], r["text"]) for r in block.orderBy("item", "text").collect()])
+        index = build_windows([(r["item"], r["text"]) for r in block.orderBy("item", "text").collect()], least_chars)
         if len(index.item):
             out = out.unionByName(raw.mapInArrow(_match(pickle.dumps(index)), MATCHES))
     return out.withColumnRenamed("_id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
-                      item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                      item_col: str = "item_id", item_text: str = "text", least_chars: int = LEAST) -> DataFrame:
     """Documents without a benchmark passage; columns and repeated rows stay."""
-    leaked = find_leaks(docs, benchmark, id_col, text, item_col, item_text).select(F.col(id_col).alias("_leaked")).distinct()
+    leaked = find_leaks(docs, benchmark, id_col, text, item_col, item_text, least_chars).select(F.col(id_col).alias("_leaked")).distinct()
     return docs.join(leaked, docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
