@@ -18,6 +18,9 @@ _STEP = 0xD6E8FEB86659FD93
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters and digits of ASCII and every byte beyond it.
+IS_TERM = np.zeros(256, dtype=bool)
+IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,8 +112,9 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]: at[-1]], at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of every text of an array; ``lower`` reads A-Z as a-z.
+def words_of(texts: pa.Array, lower: bool = False, letters: np.ndarray = IS_WORD) -> Words:
+    """Words of every text of an array; ``lower`` reads A-Z as a-z, ``letters`` says
+    which bytes belong to a word.
 
     Bytes go through in slices of about a megabyte that end between words, so a very
     long text needs no more scratch memory than a short one.
@@ -118,7 +122,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     data, offsets = text_buffers(texts)
     table = _LOWER if lower else _BYTE
     n = len(data)
-    inside = IS_WORD[data]
+    inside = letters[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     starts = offsets[:-1][offsets[:-1] < n]

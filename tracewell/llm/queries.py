@@ -15,6 +15,7 @@ from tracewell.llm import (  # noqa: F401  they register themselves
     resharding_queries,
     substring_dedup_queries,
     warc_queries,
+    whitening_queries,
 )
 
 
