@@ -8,6 +8,7 @@ from tracewell.llm import (  # noqa: F401  they register themselves
     decontaminate_queries,
     jaccard_queries,
     language_queries,
+    lexical_queries,
     licenses_queries,
     line_dedup_queries,
     packing_queries,
