@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -52,11 +53,21 @@ def test_group_without_a_common_centre_is_found_by_later_rounds(spark):
     assert {r[2] for r in got if r[0] < 100} == {21}
 
 
-def test_pairs_go_one_by_one_when_pivots_leave_lists_split(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 0)
-    rows = messy(60, 9)
+def test_lists_whose_classes_do_not_link_are_exhausted(spark):
+    # one rare passage in texts of like size that share too little: many rounds, no link
+    rng = random.Random(4)
+    pool = [" ".join(f"c{j}_{k}" for k in range(12)) for j in range(12)]
+    rows = [(i, " ".join(["a rare passage of some eight words here now", *rng.sample(pool, 6)])) for i in range(40)]
     got = sorted(tuple(r) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows)
+    assert len({r[2] for r in got}) > 10
+
+
+def test_one_centre_with_most_links(spark):
+    base = [f"w{k}" for k in range(80)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[:40] + [f"x{i}"] + base[40:])) for i in range(1, 60)]
+    got = sorted(tuple(r) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows) and {r[2] for r in got} == {0}
 
 
 def test_null_ids_and_empty_table(spark):

@@ -7,9 +7,10 @@ Documents are cut along that order.
    A document can have a link only if three quarters of its shingles are shared.
 2. Documents with equal shingle sets are one class. Two linked classes share a shingle
    among the rarest quarter of each (the prefix), so prefixes give the candidates.
-   A posting list with classes of several components is searched from a pivot, its
-   most typical class: every other class is a candidate with the pivot alone. Lists
-   that stay split after that are listed pair by pair, across components only.
+   A posting list with classes of several components is searched from pivots: every
+   other class is a candidate with these alone. A pivot has then met its whole list and
+   leaves it; lists that lie in one component are done, the others go on with several
+   times as many pivots.
 3. The order is cut into fragments of equal weight; a candidate's overlap is counted in
    every fragment by itself and summed per pair.
 
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import exchange
 from tracewell.llm.hashing import U64, Words, mix, words_of
-from tracewell.llm.tables import stored
+from tracewell.llm.tables import join_hot, stored
 
 SHINGLE, PERCENT = 5, 75
 FRAGMENTS = 8
 #: Text of a block: its shingles and their counts are in a worker's memory at once.
 BLOCK_BYTES = 4 << 20
-#: Rounds from pivots at most, before lists that are still split go pair by pair.
-PIVOT_ROUNDS = 3
+#: A list that is still split gets so many times the pivots in the next round.
+PIVOT_GROWTH = 4
 FACTS = ("_id bigint, n bigint, set1 bigint, set2 bigint, linkable boolean, prefix int, "
          "grams array<bigint>, counts array<bigint>")
 
@@ -113,20 +114,22 @@ def _fact_rows(ids: np.ndarray, null: np.ndarray, rows: list[tuple]) -> pa.Table
 
 def components(links: DataFrame) -> DataFrame:
     """``v`` and the smallest node it reaches, ``comp``, for all nodes of the links
-    (a, b). Each round takes the smallest label next to a node, then that label's own."""
+    (a, b). Each round takes the smallest label next to a node, then that label's own.
+    A node with a large share of all links does not gather them in one task."""
     edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
                    .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = stored(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("comp")), "labels")
+    total = edges.count()
+    labels = stored(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("comp"), F.count("*").alias("held")), "labels")
     while True:
-        near = (edges.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("comp").alias("near")))
-        lower = labels.join(near, "v").select("v", "comp", F.least("comp", "near").alias("low"))
+        near = join_hot(edges, labels.withColumnRenamed("v", "u"), "u", F.col("held"), total).groupBy("v").agg(F.min("comp").alias("near"))
+        lower = labels.join(near, "v").select("v", "comp", "held", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("comp").alias("far"))
         moved = stored(lower.join(jump, "low", "left").select(
-            "v", F.least("low", F.coalesce("far", "low")).alias("comp"),
+            "v", "held", F.least("low", F.coalesce("far", "low")).alias("comp"),
             (F.least("low", F.coalesce("far", "low")) < F.col("comp")).alias("changed")), "labels")
-        labels = moved.select("v", "comp")
+        labels = moved.select("v", "comp", "held")
         if moved.filter("changed").isEmpty():
-            return labels
+            return labels.drop("held")
 
 
 def _close(a: str, b: str) -> Column:
@@ -134,22 +137,22 @@ def _close(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _enough(overlap: str | Column, a: str, b: str) -> Column:
-    """Whether an overlap makes sets of two sizes a link."""
-    overlap = F.col(overlap) if isinstance(overlap, str) else overlap
-    return overlap * (100 + PERCENT) >= (F.col(a) + F.col(b)) * PERCENT
+def _enough(overlap: Column, total: Column) -> Column:
+    """Whether an overlap makes two sets of that many shingles together a link."""
+    return overlap * (100 + PERCENT) >= total * PERCENT
 
 
 def verify(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Those of the candidates (a, b, n_a, n_b) that are links. ``segments`` has the
-    part of each class that lies in each fragment; overlaps are counted there and
-    summed per pair."""
+    """Those of the candidates (a, b, total, comp_a, comp_b) that are links. ``segments``
+    has the part of each class that lies in each fragment; overlaps are counted there
+    and summed per pair."""
+    keys = ["a", "b", "total", "comp_a", "comp_b"]
     sides = pairs.join(segments.select(F.col("cls").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
     other = segments.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b"))
     partial = sides.join(other, ["b", "fragment"]).select(
-        "a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap"))
-    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    return summed.filter(_enough("overlap", "n_a", "n_b")).select("a", "b")
+        *keys, F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap"))
+    return partial.groupBy(*keys).agg(F.sum("overlap").alias("overlap")).filter(
+        _enough(F.col("overlap"), F.col("total"))).drop("overlap", "total")
 
 
 def _link_classes(classes: DataFrame) -> DataFrame:
@@ -177,45 +180,45 @@ def _link_classes(classes: DataFrame) -> DataFrame:
                           ).select("cls", "n", "typical", "gram", (F.col("m") - F.col("i")).cast("long").alias("rest"))
     # a prefix shingle gives candidates only where several classes hold it, to a class
     # only where one of them is small enough for the overlap it can have
-    several = lists.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("n").alias("n_min")).filter("lo < hi")
-    postings = stored(lists.join(several, "gram").filter(_enough("rest", "n", "n_min")).drop("lo", "hi", "n_min"), "postings")
-    size = postings.count()
+    held = lists.groupBy("gram").agg(F.count("*").alias("held"), F.min("n").alias("n_min"))
+    several = stored(held.filter("held > 1"), "several")
+    total = several.agg(F.sum("held")).first()[0] or 0
+    near = join_hot(lists, several, "gram", F.col("held"), total).filter(_enough(F.col("rest"), F.col("n") + F.col("n_min")))
+    left = stored(near.select("gram", "cls", "n", "typical", "rest", F.col("cls").alias("comp")), "postings")
     links = spark.createDataFrame([], "a bigint, b bigint")
-    labels = spark.createDataFrame([], "v bigint, comp bigint")
-    for number in range(PIVOT_ROUNDS + 1):
-        now = postings.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        split = (now.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram")
-                 .agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"))
-                 .filter("comps > 1"))
-        left = split.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
+    wide = 1
+    while True:
+        # lists that lie in one component are done
+        split = left.groupBy("gram").agg(F.count("*").alias("held"), F.min("n").alias("n_min"),
+                                         (F.min("comp") < F.max("comp")).alias("split")).filter("split")
+        split = stored(split.drop("split"), "split")
+        total = split.agg(F.sum("held")).first()[0] or 0
+        near = join_hot(left, split, "gram", F.col("held"), total).filter(_enough(F.col("rest"), F.col("n") + F.col("n_min")))
+        now = stored(near.drop("n_min"), "lists")
+        if now.isEmpty():
             break
-        # lists that lie in one component are done, so later rounds read fewer
-        now = stored(now.join(split.select("gram"), "gram"), "split")
-        postings = now.drop("comp")
-        if number == PIVOT_ROUNDS or number and left <= 4 * size + 1000:
-            x, y = (now.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp", "rest")]) for s in "ab")
-            pairs = x.join(y, "gram").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
-                                             & _enough(F.least("rest_a", "rest_b"), "n_a", "n_b"))
-            last = True
-        else:
-            # the class with the largest shared part first, then any other of another component
-            by = F.struct(F.col("typical"), -F.col("cls")) if number == 0 else F.struct(F.xxhash64("cls", F.lit(number)), F.col("cls"))
-            pivots = now.groupBy("gram").agg(F.max_by(F.struct("cls", "n", "comp", "rest"), by).alias("p"))
-            both = now.join(pivots, "gram").filter((F.col("comp") != F.col("p.comp")) & _enough(F.least("rest", "p.rest"), "n", "p.n"))
-            first = F.col("cls") < F.col("p.cls")
-            pairs = both.select(
-                F.when(first, F.col("cls")).otherwise(F.col("p.cls")).alias("cls_a"), F.when(first, F.col("n")).otherwise(F.col("p.n")).alias("n_a"),
-                F.when(first, F.col("p.cls")).otherwise(F.col("cls")).alias("cls_b"), F.when(first, F.col("p.n")).otherwise(F.col("n")).alias("n_b"))
-            last = False
-        pairs = pairs.filter(_close("n_a", "n_b")).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").distinct()
+        # the class with the largest shared part first; later more of them, by chance
+        slot = F.pmod(F.xxhash64("cls", F.lit(wide)), F.lit(wide))
+        by = F.struct(F.col("typical") if wide == 1 else F.xxhash64("cls", "gram").cast("double"), -F.col("cls"))
+        pivots = stored(now.groupBy("gram", slot.alias("slot")).agg(
+            F.max_by(F.struct("cls", "n", "comp", "rest"), by).alias("p"), F.max("held").alias("held")).drop("slot"), "pivots")
+        both = join_hot(now.drop("held"), pivots, "gram", F.col("held"), total).filter(
+            (F.col("comp") != F.col("p.comp")) & _enough(F.least("rest", "p.rest"), F.col("n") + F.col("p.n")) & _close("n", "p.n"))
+        pairs = both.select(
+            F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), (F.col("n") + F.col("p.n")).alias("total"),
+            F.least("comp", "p.comp").alias("comp_a"), F.greatest("comp", "p.comp").alias("comp_b")).distinct()
         found = stored(verify(pairs, segments), "links")
+        # a pivot has met all others of its list, so it goes
+        spent = pivots.select("gram", F.col("p.cls").alias("cls"))
+        left = now.join(spent, ["gram", "cls"], "left_anti").drop("held")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        if last:
-            break
-    return labels.withColumnRenamed("v", "cls")
+            links = links.unionByName(found.select("a", "b"))
+            joined = components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+            moved = joined.filter("v <> comp").select(F.col("v").alias("comp"), F.col("comp").alias("to"))
+            left = left.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+        left = stored(left, "postings")
+        wide *= PIVOT_GROWTH
+    return components(links).withColumnRenamed("v", "cls")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,6 +41,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of the rows is hot; there are fewer than this many.
+HOT_KEYS = 1024
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, held: Column, total: int) -> DataFrame:
+    """Join ``rows`` with ``side`` so that no key gathers its rows in one task.
+
+    ``held`` tells, from the columns of ``side``, how many of the ``total`` rows have its
+    key. A key with more than ``total / HOT_KEYS`` is dealt into pieces of that many, and
+    its rows of ``side`` go to each; fewer than ``HOT_KEYS`` keys need it, so the list of
+    these is broadcast.
+    """
+    piece = max(1, total // HOT_KEYS)
+    pieces = F.ceil(held / piece).cast("int")
+    hot = F.broadcast(side.filter(held > piece).groupBy(key).agg(F.max(pieces).alias("_pieces")))
+    dealt = rows.join(hot, key, "left").withColumn(
+        "_piece", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_pieces")), F.lit(0)).cast("int")).drop("_pieces")
+    last = F.when(held > piece, pieces - 1).otherwise(F.lit(0))
+    spread = side.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.join(spread, [key, "_piece"]).drop("_piece")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
