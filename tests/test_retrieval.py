@@ -99,6 +99,44 @@ def test_bm25_equals_brute_force(spark, bound):
     assert got == want
 
 
+@pytest.mark.parametrize("string_ids", [False, True])
+def test_a_stored_index_is_searched_again_and_skips_blocks(spark, tmp_path, monkeypatch, string_ids):
+    monkeypatch.setattr(keyword, "BLOCK_DOCS", 8)
+    rng = np.random.default_rng(8)
+    topics = [[f"t{t}w{i}" for i in range(25)] for t in range(6)]
+    docs = {}
+    for i in range(240):
+        words = list(rng.choice(topics[i % 6], rng.integers(3, 30))) + ["common"] * int(rng.integers(0, 3))
+        docs[f"d{i:03d}" if string_ids else i] = " ".join(words)
+    queries = {j: " ".join(rng.choice(topics[j % 6], 5)) + (" common" if j % 2 else "") for j in range(12)}
+    c = spark.createDataFrame(list(docs.items()), f"item_id {'string' if string_ids else 'bigint'}, text string")
+    keyword.build_index(c, str(tmp_path / "index"))
+    index = keyword.open_index(spark, str(tmp_path / "index"))
+    asked = []
+    real = keyword._score_blocks
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(keyword, "_score_blocks", counted)
+    q = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
+    got = {}
+    for r in keyword.bm25_top_k(q, c, 3, payload=(), index=index).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert got == okapi(queries, docs)
+    shared = index.postings.groupBy("block").count().count() * len(queries)
+    assert sum(asked) < 0.6 * shared  # the others hold no word of the query, or too little
+
+
+def test_index_of_repeated_ids_empty_texts_and_nothing(spark):
+    c = spark.createDataFrame([(1, "disk fan"), (1, "disk disk disk"), (2, None), (3, "")], "item_id bigint, text string")
+    q = spark.createDataFrame([(7, "disk"), (8, ""), (9, None)], "query_id bigint, text string")
+    assert [(r.query_id, r.item_id, r["rank"]) for r in keyword.term_join(q, c, 5).collect()] == [(7, 1, 1)]
+    assert keyword.term_join(q, c.where("false"), 5).count() == 0
+    assert keyword.term_join(q.where("false"), c, 5).count() == 0
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id bigint, rank int, item_id bigint, text string, label string")
 

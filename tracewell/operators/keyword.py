@@ -1,22 +1,43 @@
-"""Keyword search with BM25 statistics (Okapi form)."""
+"""Keyword search with BM25 statistics (Okapi form) over an inverted index.
+
+The index is a table of postings by term and block: documents of like words are dealt
+into blocks of ``BLOCK_DOCS``, and a row holds the documents of one block that have one
+term, with the impact of each and the largest of them. A common term is thus many rows
+of bounded size. A search reads the largest impacts of its terms only, adds them up to
+a bound per query and block, scores the most promising blocks, and then those others
+whose bound reaches the k-th score so far. A document that shares no word with a query
+is never looked at.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
 from tracewell.functions import text as T
 from tracewell.functions.scoring import hit_label
-from tracewell.operators.blockjoin import Kernel, best_k
-from tracewell.session import cut, fitted
+from tracewell.session import cut, fitted, scratch_dir
 
-MATRIX_CELLS = 4_000_000  # rows * terms of one scoring step
+#: Documents of a block.
+BLOCK_DOCS = 512
+#: Pieces into which the rows of one term are dealt when the index is written.
+TERM_PIECES = 256
+#: Queries that meet a block in one task.
+QUERY_PART = 2048
+#: Blocks of each query that are scored first.
+FIRST_BLOCKS = 2
+SCORE_DIGITS = 9  # ranking digits: hides the order of summation
+#: A bound may miss by the rounding of its sum.
+SLACK = 1e-7
 
 
 def postings(corpus: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -45,10 +66,14 @@ def _idf(n: Column, df: Column) -> Column:
 def bm25_index(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Term table (term, df, idf) and the fitted row (n, avg_len, mean_idf).
 
-    The counted vocabulary is written once, as an index is.  A negative inverse
-    document frequency is replaced by a share of the mean.
+    The counted vocabulary is written once, as an index is.
     """
-    counted = cut(term_statistics(corpus, text))
+    return _weighed(cut(term_statistics(corpus, text)))
+
+
+def _weighed(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms with their weights, and the sizes, from counts as ``term_statistics`` has
+    them. A negative inverse document frequency is replaced by a share of the mean."""
     sizes = fitted(counted.where(F.col("term").isNull()).agg(
         F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.max("words") / F.max("df")).alias("avg_len")))
     terms = counted.where(F.col("term").isNotNull()).withColumn("_n", sizes.select("n").scalar())
@@ -60,63 +85,185 @@ def bm25_index(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     return idf, stats
 
 
-def _kernel() -> Kernel:
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Tables of an index: ``postings`` (term, block, top, docs, impacts), ``blocks``
+    (block, items), ``terms`` (term, df, idf) and ``stats`` (n, avg_len, mean_idf)."""
+
+    postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+_TABLES = ("postings", "blocks", "terms", "stats")
+
+
+def _inverted(item: pa.DataType):
+    """Task that turns documents (item, tokens), in order, into rows of blocks: one with
+    the items and their number of words, and one for each term."""
+    schema = pa.schema([("block", pa.int64()), ("items", pa.list_(item)), ("words", pa.int64()), ("term", pa.string()),
+                        ("docs", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32()))])
+
+    def invert(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        tokens = docs["tokens"].combine_chunks()
+        length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+        items = pa.array([docs["item_id"].to_pylist()], pa.list_(item))
+        yield pa.RecordBatch.from_arrays([pa.array([block]), items, pa.array([int(length.sum())]),
+                                          *[pa.nulls(1, f.type) for f in list(schema)[3:]]], schema=schema)
+        coded = tokens.flatten().dictionary_encode()
+        code, owner = coded.indices.to_numpy(), pc.list_parent_indices(tokens).to_numpy()
+        cells, tf = np.unique(code.astype(np.int64) * max(1, len(length)) + owner, return_counts=True)
+        if not len(cells):
+            return
+        term, doc = np.divmod(cells, len(length))
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        at = pa.array(np.r_[first, len(term)], pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(first), block)), *[pa.nulls(len(first), schema.field(c).type) for c in ("items", "words")],
+            coded.dictionary.take(pa.array(term[first])).cast(pa.string()),
+            *[pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (doc, tf, length[doc])]], schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, left = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            left = rows if left is None else pa.concat_tables([left, rows])
+            while left.num_rows >= BLOCK_DOCS:
+                yield from invert(block, left.slice(0, BLOCK_DOCS))
+                block, left = block + 1, left.slice(BLOCK_DOCS)
+        if left is not None and left.num_rows:
+            yield from invert(block, left)
+
+    return task
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def build_index(corpus: DataFrame, path: str | None = None, item: str = "item_id", text: str = "text") -> KeywordIndex:
+    """Write the inverted index of a corpus below ``path`` (a scratch folder if none).
+
+    The texts are read once. Documents of like words share a block: they are dealt by
+    the two least hashes of their words, and a partition that comes out too large (many
+    copies of one text) is split again at run time. The rows of a term lie together in
+    the files, those of a common one in up to ``TERM_PIECES`` places.
+    """
+    spark = corpus.sparkSession
+    path = path or scratch_dir(spark)
+    kind = corpus.schema[item].dataType.simpleString()
+    rows = corpus.select(F.col(item).alias("item_id"), T.tokens(F.col(text)).alias("tokens"))
+    hashes = F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
+    signed = rows.withColumn("_like", F.slice(hashes, 1, 2))
+    dealt = signed.hint("rebalance", "_like").sortWithinPartitions("_like", "item_id").select("item_id", "tokens")
+    shape = f"block bigint, items array<{kind}>, words bigint, term string, docs array<int>, tf array<int>, len array<int>"
+    raw = cut(dealt.mapInArrow(_inverted(_ARROW[kind]), shape))
+    # the rows without a term count every document once
+    terms, stats = _weighed(cut(raw.groupBy("term").agg(
+        F.sum(F.when(F.col("docs").isNotNull(), F.size("docs")).otherwise(F.size("items"))).alias("df"), F.sum("words").alias("words"))))
     k1, b = cfg.BM25_K1, cfg.BM25_B
+    avg_len = F.coalesce(stats.select("avg_len").scalar(), F.lit(1.0))
+    impacts = F.zip_with("tf", "len", lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.col("_avg"))))
+    by_term = raw.where("term is not null").withColumn("_avg", avg_len).select("term", "block", "docs", impacts.alias("impacts"))
+    by_term.select("term", "block", F.array_max("impacts").alias("top"), "docs", "impacts").repartition(
+        "term", F.pmod("block", F.lit(TERM_PIECES))).sortWithinPartitions("term", "block").write.parquet(os.path.join(path, "postings"))
+    raw.where("items is not null").select("block", "items").write.parquet(os.path.join(path, "blocks"))
+    terms.write.parquet(os.path.join(path, "terms"))
+    stats.write.parquet(os.path.join(path, "stats"))
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> KeywordIndex:
+    """An index that was written before."""
+    return KeywordIndex(*[spark.read.parquet(os.path.join(path, t)) for t in _TABLES])
+
+
+def _scored(k: int, query: pa.DataType):
+    """Task of one block and query part: the k best of each query, with their ties."""
+    schema = pa.schema([("query_id", query), ("block", pa.int64()), ("doc", pa.int32()), ("raw_score", pa.float64())])
+
+    def task(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        asked = asked.sort_by([("query_id", "ascending"), ("term", "ascending")])
+        coded = asked["query_id"].combine_chunks().dictionary_encode()
+        names, weight = coded.dictionary, asked["weight"].to_numpy()
+        place = pc.index_in(asked["term"].combine_chunks(), held["term"].combine_chunks()).to_numpy(zero_copy_only=False)
+        docs, impacts = held["docs"].combine_chunks(), held["impacts"].combine_chunks()
+        at = docs.offsets.to_numpy()
+        doc, impact = docs.values.to_numpy(), impacts.values.to_numpy()
+        width = int(doc.max()) + 1
+        score, shared = np.zeros((len(names), width)), np.zeros((len(names), width), dtype=bool)
+        for q, w, p in zip(coded.indices.to_numpy(), weight, place, strict=True):
+            if p == p:  # the block holds the term
+                mine = slice(at[int(p)], at[int(p) + 1])
+                score[q, doc[mine]] += w * impact[mine]
+                shared[q, doc[mine]] = True
+        score = np.where(shared, np.round(score, SCORE_DIGITS), -np.inf)
+        floor = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.full(len(names), -np.inf)
+        q, d = np.nonzero(shared & (score >= floor[:, None]))
+        return pa.table([names.take(pa.array(q)), pa.array(np.full(len(q), asked["block"][0].as_py())), pa.array(d, pa.int32()),
+                         pa.array(score[q, d])], schema=schema)
+
+    return task
 
-    def prepare(queries: pa.Table):
-        weights = pa.concat_arrays(queries["weights"].chunks)
-        flat = weights.flatten()
-        term, weight = flat.field("term"), flat.field("weight").to_numpy(zero_copy_only=False)
-        vocabulary = pc.unique(term)
-        column = pc.index_in(term, vocabulary).to_numpy()
-        row = pc.list_parent_indices(weights).to_numpy()
-        matrix = np.zeros((len(weights), max(1, len(vocabulary))))
-        np.add.at(matrix, (row, column), weight)
-        return vocabulary, matrix, queries["avg_len"][0].as_py() or 1.0, bool((weight > 0).all())
-
-    def score(model, rows: pa.Table) -> np.ndarray:
-        vocabulary, matrix, avg_len, positive = model
-        out = np.empty((matrix.shape[0], rows.num_rows))
-        step = max(1, MATRIX_CELLS // matrix.shape[1])
-        for start in range(0, rows.num_rows, step):
-            words = pa.concat_arrays(rows.slice(start, step)["tokens"].chunks)
-            length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(float)
-            known = pc.index_in(words.flatten(), vocabulary)
-            at = pc.list_parent_indices(words).to_numpy()
-            hit = pc.is_valid(known).to_numpy(zero_copy_only=False)
-            cell = at[hit] * matrix.shape[1] + known.drop_null().to_numpy()
-            tf = np.bincount(cell, minlength=len(words) * matrix.shape[1]).reshape(len(words), -1)
-            soft = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / avg_len))[:, None])
-            part = matrix @ soft.T
-            if positive:  # then a score above zero means a shared word
-                shared = part > 0
-            else:
-                shared = (matrix != 0).astype(np.float32) @ (tf > 0).T.astype(np.float32) > 0
-            out[:, start:start + step] = np.where(shared, part, -np.inf)
-        return out
-
-    return Kernel(prepare, score)
-
-
-def _weights(queries: DataFrame, terms: DataFrame, stats: DataFrame, text: str) -> DataFrame:
-    """Per query, its known words with idf times the number of repeats."""
-    words = queries.select("query_id", F.explode(T.tokens(F.col(text))).alias("term")).groupBy(
+
+def _score_blocks(pairs: DataFrame, asked: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
+    """(query_id, item_id, raw_score) for the (query_id, block) pairs that are asked for."""
+    kind = asked.schema["query_id"].dataType.simpleString()
+    needed = pairs.join(asked, "query_id")
+    wanted = needed.select(*[F.col(c).alias(c) for c in ("term", "block", "part")]).distinct()
+    # few of all terms are asked for: the others leave before the shuffle
+    known = index.postings.select("term", "block", "docs", "impacts").join(asked.select("term").distinct(), "term", "left_semi")
+    held = known.join(wanted, ["term", "block"])
+    found = needed.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(
+        _scored(k, _ARROW[kind]), f"query_id {kind}, block bigint, doc int, raw_score double")
+    return found.join(index.blocks, "block").select("query_id", F.get("items", F.col("doc")).alias("item_id"), "raw_score")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The k best items of each query; an id that repeats counts once, with its best score."""
+    once = hits.groupBy("query_id", "item_id").agg(F.max("raw_score").alias("raw_score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "item_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_index(index: KeywordIndex, queries: DataFrame, k: int, query_text: str = "text", bound: int = QUERY_PART) -> DataFrame:
+    """(query_id, item_id, raw_score, rank): the k best of each query, exactly.
+
+    ``bound`` is the number of queries that meet a block in one task.
+    """
+    words = queries.select("query_id", F.explode(T.tokens(F.col(query_text))).alias("term")).groupBy(
         "query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return words.join(terms, "term").groupBy("query_id").agg(
-        F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("weight"))).alias("weights")
-    ).withColumn("avg_len", stats.select("avg_len").scalar())
+    parts = F.ceil(queries.agg(F.count(F.lit(1)) / bound).scalar())
+    asked = cut(words.join(index.terms, "term").select(
+        "query_id", "term", (F.col("n") * F.col("idf")).alias("weight"), F.pmod(F.xxhash64("query_id"), parts).alias("part")))
+    # a term with a negative weight adds nothing to a bound
+    bounds = cut(index.postings.select("term", "block", "top").join(asked, "term").groupBy("query_id", "block").agg(
+        F.sum(F.greatest("weight", F.lit(0.0)) * F.col("top")).alias("most")))
+    best = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
+    first = bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= FIRST_BLOCKS).select("query_id", "block")
+    seeds = cut(_ranked(_score_blocks(first, asked, index, k), k))
+    floor = seeds.where(F.col("rank") == k).select("query_id", F.col("raw_score").alias("floor"))
+    rest = bounds.join(first, ["query_id", "block"], "left_anti").join(floor, "query_id", "left").where(
+        F.col("floor").isNull() | (F.col("most") + SLACK >= F.col("floor"))).select("query_id", "block")
+    others = _score_blocks(rest, asked, index, k)
+    return _ranked(seeds.drop("rank").unionByName(others), k)
 
 
-def term_join(queries: DataFrame, corpus: DataFrame, k: int, query_text: str = "text",
-              wide: DataFrame | None = None, payload: Sequence[str] = (), **options) -> DataFrame:
-    """(query_id, item_id, raw_score, rank) by BM25, only items sharing a word.
+def term_join(queries: DataFrame, corpus: DataFrame, k: int, query_text: str = "text", wide: DataFrame | None = None,
+              payload: Sequence[str] = (), index: KeywordIndex | None = None, bound: int = QUERY_PART) -> DataFrame:
+    """(query_id, item_id, raw_score, rank, *payload) by BM25, only items sharing a word.
 
-    The corpus text is read once for the index and once to be scored in place:
-    (query, item) pairs of a common word are never joined.
+    Without an ``index`` one is built for this search. The payload columns are joined
+    onto the winners from ``wide``; of repeated ids the first payload counts.
     """
-    terms, stats = bm25_index(corpus)
-    rows = corpus.select("item_id", T.tokens(F.col("text")).alias("tokens"))
-    return best_k(_weights(queries, terms, stats, query_text), rows, k, _kernel(), wide, payload, **options)
+    best = search_index(index or build_index(corpus), queries, k, query_text, bound)
+    if wide is None:
+        return best
+    keys = ["query_id", "item_id", "raw_score", "rank"]
+    joined = wide.select("item_id", F.struct(*payload).alias("_payload")).join(best, "item_id")
+    return joined.groupBy(*keys).agg(F.min("_payload").alias("_payload")).select(*keys, "_payload.*")
 
 
 def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int = cfg.LOG_K,

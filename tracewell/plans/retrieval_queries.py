@@ -97,13 +97,28 @@ def _docs(spark, d):
     return q, c
 
 
+def _doc_index(spark, d):
+    """The index of the documents: written once per session, as a search service has it."""
+    return keyword.open_index(spark, V.stored_at(spark, d, "documents_index", lambda path: keyword.build_index(_docs(spark, d)[1], path)))
+
+
+@query("keyword_index", V.sql(
+    "SELECT term, count(*) AS df, round(max(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * len / avg_len))), 6) AS top "
+    "FROM bt, bs GROUP BY term", extra=_DOCS))
+def _(spark, d):
+    """Build the whole index and read back its rows by term."""
+    index = keyword.build_index(_docs(spark, d)[1])
+    return index.postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.round(F.max("top"), 6).alias("top"))
+
+
 @query("bm25_top_k", V.sql(
     "SELECT b.query_id, b.rank::INT AS rank, b.item_id, c.source, round(b.sim, 4) AS score FROM (SELECT *, row_number() OVER ("
     "PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM bx) b JOIN documents c ON b.item_id = c.doc_id WHERE rank <= 5",
     extra=_DOCS))
 def _(spark, d):
     q, c = _docs(spark, d)
-    return keyword.bm25_top_k(q, c, 5, payload=("source",)).select("query_id", "rank", "item_id", "source", "score")
+    hits = keyword.bm25_top_k(q, c, 5, payload=("source",), index=_doc_index(spark, d))
+    return hits.select("query_id", "rank", "item_id", "source", "score")
 
 
 @query("bm25_index", V.sql("SELECT term, df, round(idf, 6) AS idf FROM bj", extra=_DOCS))

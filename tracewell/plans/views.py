@@ -35,14 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table in the shared folder, written once per session."""
+def stored_at(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """Where something derived lies in the shared folder; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_dir(spark)
-        build().write.parquet(path)
+        write(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table in the shared folder, written once per session."""
+    return spark.read.parquet(stored_at(spark, sf_dir, name, lambda path: build().write.parquet(path)))
 
 
 # --- log lines -----------------------------------------------------------------
