@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
-from tracewell.functions.ordered import exact_percentiles, grouped_median, hash_rank, running_totals
+from tracewell.functions import ordered
+from tracewell.functions.ordered import column_percentiles, exact_percentiles, first_in_order, grouped_median, hash_rank, running_totals
 from tracewell.operators import splits
 
 
@@ -94,6 +95,66 @@ def test_running_totals(spark, descending):
         assert got[v] == total
 
 
+def test_prefix_sums_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 40)
+    rows = [("ab"[i % 7 == 0], float(i * 37 % 501), i % 5 + 1) for i in range(501)]
+    df = spark.createDataFrame(rows, "g string, v double, n bigint")
+    got = {(r.g, r.v): (r.cum, r.all) for r in running_totals(df, ["g"], "v", {"n": "cum"}, whole={"n": "all"}).collect()}
+    for g in "ab":
+        total = 0
+        for _, v, n in sorted(r for r in rows if r[0] == g):
+            total += n
+            assert got[g, v][0] == total
+        assert {a for (x, _), (_, a) in got.items() if x == g} == {total}
+    ids = spark.range(300).withColumn("g", F.lit("hot"))
+    ranks = {r.id: r["rank"] for r in hash_rank(ids, ["g"], "id").collect()}
+    assert [ranks[i] for i in sorted(range(300), key=digest)] == list(range(1, 301))
+
+
+@pytest.mark.parametrize("limit", [0, 1, 37, 299, 300, 1000])
+def test_radix_selection_goes_deeper(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "SORTED_ROWS", 3)
+    monkeypatch.setattr(ordered, "RADIX_CHARS", 1)
+    df = spark.range(300).select("id", F.lit("hot").alias("g")).unionByName(spark.range(1000, 1004).select("id", F.lit("cold").alias("g")))
+    got = first_in_order(df, ["g"], "id", limit).collect()
+    assert {r.id for r in got if r.g == "hot"} == set(sorted(range(300), key=digest)[:limit])
+    assert sum(r.g == "cold" for r in got) == min(4, limit)
+
+
+def test_a_repeated_key_counts_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SORTED_ROWS", 3)
+    df = spark.createDataFrame([(7, "g")] * 90 + [(i, "g") for i in range(8, 38)] + [(5, None)], "id bigint, g string")
+    order = sorted([7] * 90 + list(range(8, 38)), key=digest)
+    for limit in (10, 60, 115):
+        assert sorted(r.id for r in first_in_order(df, ["g"], "id", limit).collect()) == sorted(order[:limit])
+
+
+@pytest.mark.parametrize("ranges", [25, 1_000_000])
+def test_percentiles_of_several_columns_with_tight_brackets(spark, monkeypatch, ranges):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(ordered, "ACCURACY", 100)
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.exponential(5, 3000), 1), rng.normal(0, 1, 3000)
+    groups = np.where(np.arange(3000) < 2500, "hot", "cold")
+    rows = [(g, float(x), float(y), None) for g, x, y in zip(groups, a, b, strict=True)] + [("one", 4.0, 2.0, None), (None, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double").repartition(6)
+    shares = {"lo": 0.0, "q": 0.3, "m": 0.5, "p": 0.99, "hi": 1.0}
+    got = {(r.g, r.column): r for r in column_percentiles(df, ["a", "b", "c"], shares, ["g"]).collect()}
+    assert set(got) == {(g, c) for g in ("hot", "cold", "one") for c in "ab"}
+    for (g, c), r in got.items():
+        mine = np.array([row["abc".index(c) + 1] for row in rows if row[0] == g])
+        assert (r.n, r.min, r.max) == (len(mine), mine.min(), mine.max())
+        assert r["mean"] == pytest.approx(mine.mean())
+        for name, share in shares.items():
+            assert r[name] == pytest.approx(np.percentile(mine, share * 100), abs=1e-9)
+
+
+def test_percentiles_of_nothing(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert exact_percentiles(df, "v", {"m": 0.5}, ["g"]).count() == 0
+    assert exact_percentiles(df, "v", {"m": 0.5}).count() == 0
+
+
 def test_cap_and_balance(spark):
     df = spark.createDataFrame([(i, i % 10 != 0, "t" if i % 4 else None) for i in range(200)],
                                "id bigint, is_normal boolean, type string")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
-from tracewell.functions.ordered import exact_percentiles, grouped_median, running_totals
-from tracewell.session import fitted, localised
+from tracewell.functions.ordered import column_percentiles, exact_percentiles, grouped_median, running_totals
+from tracewell.session import cut, fitted
 
 
 def class_balance(df: DataFrame, class_col: str = "is_normal") -> DataFrame:
@@ -97,14 +97,14 @@ def score_percentile(df: DataFrame, score: str, shares: dict[str, float],
 
 
 def fbeta_threshold(df: DataFrame, score: str, percentile: float = cfg.PSEUDO_PERCENTILE,
-                    beta: float = cfg.FBETA, cut: DataFrame | None = None) -> DataFrame:
+                    beta: float = cfg.FBETA, pseudo: DataFrame | None = None) -> DataFrame:
     """Threshold with the best F-beta against scores at or above a percentile.
 
     The lowest threshold wins a tie, as the first maximum of an ascending curve.
     """
-    if cut is None:
-        cut = fitted(exact_percentiles(df, score, {"p": percentile / 100.0}).select("p"))
-    marked = df.where(F.col(score).isNotNull()).withColumn("_cut", cut.scalar()).withColumn(
+    if pseudo is None:
+        pseudo = fitted(exact_percentiles(df, score, {"p": percentile / 100.0}).select("p"))
+    marked = df.where(F.col(score).isNotNull()).withColumn("_cut", pseudo.scalar()).withColumn(
         "_pseudo", F.when(F.col(score) >= F.col("_cut"), 1).otherwise(0))
     curve = pr_curve(marked, score, "_pseudo")
     b2 = beta * beta
@@ -121,15 +121,9 @@ def latency_summary(df: DataFrame, where: Column | None = None,
                     parts: Sequence[str] = LATENCY_PARTS) -> DataFrame:
     """mean, median, p95, p99, min and max per latency part; zeros when empty."""
     rows = df if where is None else df.where(where)
-    long = rows.select(F.explode(F.array(*[
-        F.struct(F.lit(p).alias("part"), F.col(p).cast("double").alias("ms")) for p in parts
-    ])).alias("x")).select("x.part", "x.ms")
-    plain = long.groupBy("part").agg(
-        F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max"))
-    ranks = exact_percentiles(long, "ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["part"],
-                              small_domain=True)
+    ranks = column_percentiles(rows, parts, {"median": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed("column", "part")
     known = df.sparkSession.createDataFrame([(p,) for p in parts], "part string")
-    joined = known.join(plain, "part", "left").join(ranks.drop("n"), "part", "left")
+    joined = known.join(ranks, "part", "left")
     return joined.select("part", *[
         F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c)
         for c in ("mean", "median", "p95", "p99", "min", "max")])
@@ -192,7 +186,7 @@ def route_counts(df: DataFrame, route_col: str = "route") -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int, by: str) -> DataFrame:
     """Equal-width bins between the minimum and maximum of each subset."""
-    span = localised(df.where(F.col(value).isNotNull()).groupBy(by).agg(
+    span = cut(df.where(F.col(value).isNotNull()).groupBy(by).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     width = (F.col("_hi") - F.col("_lo")) / bins
     spot = F.when(F.col("_hi") > F.col("_lo"), F.least(

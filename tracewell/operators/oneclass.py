@@ -26,7 +26,7 @@ def calibrate(val: DataFrame, score: str = "distance", percentile: float = cfg.P
     """One fitted row: threshold, lower band, upper band, from validation scores."""
     cuts = fitted(exact_percentiles(
         val, score, {"lower": cfg.NORMAL_BAND_PERCENTILE / 100.0, "cut": percentile / 100.0}))
-    threshold = fbeta_threshold(val, score, cut=cuts.select("cut")).select("threshold")
+    threshold = fbeta_threshold(val, score, pseudo=cuts.select("cut")).select("threshold")
     return fitted(cuts.select("lower").withColumn("threshold", threshold.scalar()).withColumn(
         "upper", F.col("threshold") * (1.0 + cfg.UPPER_BAND_MARGIN)))
 
@@ -121,7 +121,7 @@ def isolation_forest_fit(train: DataFrame, key: str, vector: str = "vector", tre
     side is reused: every row then serves several trees.
     """
     drawn = hash_rank(train.select(key, vector).withColumn("_g", F.lit(0)), ["_g"], key, "_r",
-                      limit=trees * sample_rows, seed=seed, small_domain=True)
+                      limit=trees * sample_rows, seed=seed)
     size = drawn.agg(F.count(F.lit(1)))
     copies = F.greatest(F.lit(1), F.least(F.lit(trees), F.ceil(
         F.lit(trees * sample_rows) / F.greatest(F.col("_n"), F.lit(1))))).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
-from tracewell.functions.ordered import hash_rank, rank_boundaries
+from tracewell.functions.ordered import first_in_order, hash_rank, rank_boundaries
 from tracewell.functions.text import order_key
 from tracewell.session import fitted
 
@@ -14,7 +14,7 @@ from tracewell.session import fitted
 def seeded_order(df: DataFrame, key: str, seed: int = cfg.SEED,
                  class_col: str = "is_normal") -> DataFrame:
     """Reproducible shuffle per class: the position of each row in hash order."""
-    return hash_rank(df, [class_col], key, "position", seed=seed, small_domain=True)
+    return hash_rank(df, [class_col], key, "position", seed=seed)
 
 
 def split(df: DataFrame, key: str, conf: cfg.SplitConfig = cfg.SplitConfig(),
@@ -59,7 +59,7 @@ def kb_members(df: DataFrame, key: str, conf: cfg.SplitConfig = cfg.SplitConfig(
 
 def cap_per_group(df: DataFrame, n: int, by: str, key: str, seed: int = cfg.SEED) -> DataFrame:
     """At most n rows per group, the first in hash order; null groups drop."""
-    return hash_rank(df, [by], key, "_rank", limit=n, seed=seed).drop("_rank")
+    return first_in_order(df, [by], key, n, seed)
 
 
 def sample_classes(df: DataFrame, key: str, normal_cap: int | None = cfg.SAMPLE_NORMAL_CAP,
@@ -97,8 +97,7 @@ def balance_classes(df: DataFrame, key: str, ratio: int = cfg.NORMAL_RATIO,
                     class_col: str = "is_normal", seed: int = cfg.SEED) -> DataFrame:
     """Keep all anomalies and at most ``ratio`` times as many normals."""
     room = df.where(~F.col(class_col)).agg(F.count(F.lit(1)) * ratio)
-    normals = hash_rank(df.where(F.col(class_col)), [class_col], key, "_rank",
-                        limit=room.scalar(), seed=seed, small_domain=True).drop("_rank")
+    normals = first_in_order(df.where(F.col(class_col)), [class_col], key, room.scalar(), seed)
     return normals.unionByName(df.where(~F.col(class_col)).select(*normals.columns))
 
 

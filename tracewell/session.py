@@ -6,7 +6,6 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tracewell", cores: str = "*", shuffle_partitions: int = 8,
@@ -43,36 +42,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(root, f"tracewell-{uuid.uuid4().hex}")
 
 
-def _head(df: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """The first ``most + 1`` rows as a local relation of known size, and their number."""
-    table = df.limit(most + 1).toArrow()
-    return df.sparkSession.createDataFrame(table, df.schema), table.num_rows
-
-
 def fitted(df: DataFrame, most: int = 1) -> DataFrame:
     """The row (or the few rows) of fitted parameters, computed now and kept local.
 
     Later plans then hold the values themselves instead of the fit.
     """
-    local, n = _head(df, most)
-    if not 1 <= n <= most:
-        raise ValueError(f"expected 1 to {most} rows of fitted parameters, got {n}")
-    return local
-
-
-def localised(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """A side table of checked size as a local one, to be broadcast.
-
-    A larger table is returned as it is, and joins by shuffle.
-    """
-    local, n = _head(df, most)
-    return F.broadcast(local) if n <= most else df
+    table = df.limit(most + 1).toArrow()
+    if not 1 <= table.num_rows <= most:
+        raise ValueError(f"expected 1 to {most} rows of fitted parameters, got {table.num_rows}")
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, so later uses do not recompute.
 
-    Unlike cached blocks the table outlives any executor.
+    Unlike cached blocks the table outlives any executor, and its real size lets the
+    optimiser decide whether a join with it is a broadcast.
     """
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
