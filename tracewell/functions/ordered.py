@@ -96,14 +96,14 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, out: str = "rank",
 
 
 def _at_ranks(df: DataFrame, by: list[str], key: str, positions: dict[str, Column], seed: int) -> tuple[DataFrame, DataFrame]:
-    """Groups with ``class_size``, and (by, name, _at, _room): the (hash, key) at each
-    wanted rank, and which of the rows with that very key it is."""
+    """Groups with ``class_size``, and (by, name, _at, _room, _tied): the (hash, key) at
+    each wanted rank, and which of how many rows with that very key it is."""
     keyed = cut(df.select(*by, F.col(key).alias("_k"), order_key(F.col(key), seed).alias("_ok")).dropna(subset=by))
-    groups = cut(keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("class_size")))
+    groups = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("class_size"))
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), p.cast("bigint").alias("pos")) for n, p in positions.items()]))
     spots = groups.withColumn("_p", wanted).select(
         *by, "_p.name", "_p.pos", F.lit("").alias("_prefix"), F.lit(0).cast("bigint").alias("_off"), F.col("class_size").alias("_n"))
-    spots = cut(spots.where((F.col("pos") >= 1) & (F.col("pos") <= F.col("_n"))))
+    spots = spots.where((F.col("pos") >= 1) & (F.col("pos") <= F.col("_n")))
     depth = 0
     while depth < HASH_CHARS and (spots.agg(F.max("_n")).first()[0] or 0) > SORTED_ROWS:
         place = [*by, "_prefix"]
@@ -123,7 +123,8 @@ def _at_ranks(df: DataFrame, by: list[str], key: str, positions: dict[str, Colum
     ranked = spots.join(keys.withColumn("_upto", F.sum("_c").over(upto)), place)
     last = F.col("_off") + F.col("_upto")
     found = ranked.where((F.col("pos") > last - F.col("_c")) & (F.col("pos") <= last)).select(
-        *by, "name", F.struct(F.col("_ok"), F.col("_k").alias(key)).alias("_at"), (F.col("pos") - last + F.col("_c")).alias("_room"))
+        *by, "name", F.struct(F.col("_ok"), F.col("_k").alias(key)).alias("_at"), (F.col("pos") - last + F.col("_c")).alias("_room"),
+        F.col("_c").alias("_tied"))
     return groups, found
 
 
@@ -152,10 +153,13 @@ def first_in_order(df: DataFrame, by: Sequence[str], key: str, limit: int | Colu
     ends = cut(groups.join(found.drop("name"), by, "left").where(room >= 1).drop("class_size"))
     here = F.struct(order_key(F.col(key), seed).alias("_ok"), F.col(key))
     placed = df.join(ends, by)
-    inside = placed.where(F.col("_at").isNull() | (here < F.col("_at"))).drop("_at", "_room")
+    extra = ["_at", "_room", "_tied"]
+    if ends.where("_tied > _room").isEmpty():
+        return placed.where(F.col("_at").isNull() | (here <= F.col("_at"))).drop(*extra)
+    inside = placed.where(F.col("_at").isNull() | (here < F.col("_at"))).drop(*extra)
     tied = placed.where(here == F.col("_at")).withColumn(
         "_tie", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))).where(F.col("_tie") <= F.col("_room"))
-    return inside.unionByName(tied.drop("_at", "_room", "_tie"))
+    return inside.unionByName(tied.drop(*extra, "_tie"))
 
 
 # --- bracketed selection --------------------------------------------------------------------

@@ -14,7 +14,7 @@ from tracewell.functions import scoring as S
 from tracewell.functions import text as T
 from tracewell.operators.blockjoin import SCORE_DIGITS
 from tracewell.operators.dense import dense_top_k, multi_top_k, top_k
-from tracewell.operators.keyword import bm25_top_k
+from tracewell.operators.keyword import KeywordIndex, bm25_top_k
 from tracewell.operators.metrics import text_time_index
 from tracewell.session import cut
 
@@ -55,8 +55,10 @@ def fuse(merged: DataFrame, k: int = cfg.LOG_K) -> DataFrame:
 
 
 def hybrid_top_k(queries: DataFrame, corpus: DataFrame, k: int = cfg.LOG_K,
-                 pool: int = cfg.HYBRID_POOL) -> DataFrame:
-    return fuse(merge_ranked(dense_top_k(queries, corpus, pool), bm25_top_k(queries, corpus, pool)), k)
+                 pool: int = cfg.HYBRID_POOL, index: KeywordIndex | None = None) -> DataFrame:
+    """``index`` is the keyword index of the corpus, where there is one."""
+    found = bm25_top_k(queries, corpus, pool, index=index)
+    return fuse(merge_ranked(dense_top_k(queries, corpus, pool), found), k)
 
 
 # --- time-aware ----------------------------------------------------------------------

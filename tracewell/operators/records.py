@@ -103,9 +103,8 @@ def trace_corpus(traces: DataFrame, templates: DataFrame, key: str = "block_id",
                  conf: cfg.SplitConfig = cfg.SplitConfig()) -> DataFrame:
     """Members outside the test slice, each class capped, then turned into text."""
     members = splits.kb_members(label_flags(traces, "label", "Success").drop("label"), key, conf)
-    capped = splits.cap_per_group(members.where("is_normal"), cfg.TRACE_NORMAL_CAP, "is_normal", key)
-    capped = capped.unionByName(splits.cap_per_group(
-        members.where("not is_normal"), cfg.TRACE_ANOMALY_CAP, "is_normal", key))
+    cap = F.when(F.col("is_normal"), cfg.TRACE_NORMAL_CAP).otherwise(cfg.TRACE_ANOMALY_CAP)
+    capped = splits.cap_per_group(members, cap, "is_normal", key)
     return build_trace_text(capped, templates, key=key).select(
         key,
         F.col("log_text").alias("text"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions.ordered import first_in_order, hash_rank, rank_boundaries
 from tracewell.functions.text import order_key
-from tracewell.session import fitted
+from tracewell.session import cut
 
 
 def seeded_order(df: DataFrame, key: str, seed: int = cfg.SEED,
@@ -30,21 +30,19 @@ def split(df: DataFrame, key: str, conf: cfg.SplitConfig = cfg.SplitConfig(),
     test = few + F.when(normal, conf.test_normal_cap).otherwise(conf.test_anomaly_cap)
     pool = F.greatest(F.col("class_size") - test, F.lit(0))
     val = test + F.floor(pool * conf.validation_ratio)
-    ends = rank_boundaries(
+    # one row per class of a boolean column
+    ends = cut(rank_boundaries(
         df, class_col, key,
         {"_few": F.least(few, F.col("class_size")), "_test": F.least(test, F.col("class_size")),
          "_val": F.least(val, F.col("class_size"))},
         conf.seed,
-    ).drop("class_size")
-    if df.isEmpty():
-        return df.withColumn("split", F.lit("train"))
-    ends = fitted(ends, most=2)  # one row per class of a boolean column
+    ).drop("class_size"))
     here = F.struct(order_key(F.col(key), conf.seed).alias("_ok"), F.col(key))
 
     def upto(name: str) -> Column:
         return F.coalesce(here <= F.col(name), F.lit(False))
 
-    placed = df.join(F.broadcast(ends), class_col)
+    placed = df.join(ends, class_col)
     return placed.withColumn(
         "split",
         F.when(upto("_few"), "few_shot").when(upto("_test"), "test")
@@ -57,8 +55,9 @@ def kb_members(df: DataFrame, key: str, conf: cfg.SplitConfig = cfg.SplitConfig(
     return split(df, key, conf).where(F.col("split") != "test")
 
 
-def cap_per_group(df: DataFrame, n: int, by: str, key: str, seed: int = cfg.SEED) -> DataFrame:
-    """At most n rows per group, the first in hash order; null groups drop."""
+def cap_per_group(df: DataFrame, n: int | Column, by: str, key: str, seed: int = cfg.SEED) -> DataFrame:
+    """At most n rows per group (a number, or an expression of the group), the first in
+    hash order; null groups drop."""
     return first_in_order(df, [by], key, n, seed)
 
 

@@ -175,7 +175,8 @@ SQL_HYBRID = ("SELECT query_id, rank::INT AS rank, item_id, text, label, CASE WH
 @query("hybrid_top_k", V.sql(SQL_HYBRID, "dense_v", extra=_POOLS))
 def _(spark, d):
     q, c = sides(spark, d)
-    return fusion.hybrid_top_k(q, c).select(*fusion.HIT)
+    index = keyword.open_index(spark, V.stored_at(spark, d, "items_index", lambda path: keyword.build_index(c, path)))
+    return fusion.hybrid_top_k(q, c, index=index).select(*fusion.HIT)
 
 
 _TIMED = {
