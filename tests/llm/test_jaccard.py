@@ -75,3 +75,12 @@ def test_null_ids_and_empty_table(spark):
     assert sorted((tuple(r) for r in jaccard.link_documents(df).collect()), key=str) == sorted(
         [(None, 2, 3), (3, 2, 3), (None, 0, None), (None, 1, None)], key=str)
     assert jaccard.link_documents(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_sets(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, one), (5, two), (6, two + " z"), (None, one + " z"), (9, one)]
+    got = sorted((tuple(r) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 36, 5), (5, 36, 5), (6, 37, 5), (None, 37, 5), (9, 36, 5)], key=str)
+    apart = jaccard.link_documents(spark.createDataFrame([(5, one), (5, two), (4, two + " z"), (9, one)], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in apart.collect()) == [(4, 37, 4), (5, 36, 4), (5, 36, 5), (9, 36, 5)]

@@ -90,9 +90,24 @@ def test_repeated_rows_leave_one_and_empty_tables_pass(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_each(spark):
+    leaked, clean = "the quick brown fox jumps over the lazy dog and then runs far away from here", "a text of its own that nobody else has written so far, not even once"
+    copy = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, leaked), (5, clean), (None, leaked + " x"), (None, clean + " y"), (7, copy), (None, copy), (7, copy + " z"), (8, copy)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], COLUMNS)
+    bench = spark.createDataFrame([(1, leaked)], "item_id long, text string")
+    left = leaks.dc.drop_contaminated(docs, bench)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted((i or 0, t) for i, t in rows if not t.startswith(leaked))
+    kept = {(r["doc_id"], r["text"]) for r in cp.near_copies(spark, docs, "").collect()}
+    # the two leaked texts have a near copy each; of the copies one row of the smallest id stays
+    assert sorted(i for i, t in kept if t.startswith("w0 ")) == [7]
+    assert (5, clean) in kept and (5, leaked) in kept and (None, leaked + " x") not in kept
+    assert cp.near_copies(spark, docs, "").count() == len(kept) == 3
+
+
 def test_every_operator_has_its_query():
     names = queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert names["pipeline"] is cp.run and set(oracles()) <= set(names)
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
 

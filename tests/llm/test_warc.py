@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,36 @@ def test_salvage_of_plain_archives_and_wrong_digests():
     assert read(b"") == [] and [x[3] for x in read(b"nothing here")] == ["cut short"]
     member = warc.member(rec(1).replace(b"WARC-Type: response", b"WARC-Type: revisit"))
     assert [x[0] for x in read(b"front" + member)] == [None, 1]
+
+
+def test_damaged_archives_never_fail_and_lose_no_byte(spark, tmp_path):
+    rng = random.Random(12)
+    odd = [b"Content-Length: \xc2\xb2", b"Content-Length: 99999999999999999999", b"Content-Length: -4", b"Content-Length: "]
+    for kind in ("warc", "warc.gz"):
+        for n in range(30):
+            parts = [rec(i, bytes(rng.randrange(32, 127) for _ in range(9))) for i in range(5)]
+            k = rng.randrange(5)
+            if n % 3 == 0:
+                parts[k] = parts[k].replace(b"Content-Length: 450", rng.choice(odd), 1)
+            if n % 3 == 1:
+                parts[k] = parts[k].replace(b"<urn:page:%d>" % k, rng.choice([b"<urn:page:--5>", b"<urn:page:\xc2\xb2>", b"<urn:page:99999999999999999999>", b"x"]))
+            raw = bytearray(b"".join(warc.member(p) if kind.endswith("gz") else p for p in parts))
+            for _ in range(n % 4):
+                raw[rng.randrange(len(raw))] = rng.randrange(256)
+            (tmp_path / f"d{n}.{kind}").write_bytes(bytes(raw))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    back = warc.read_archives(spark, str(tmp_path)).cache()
+    total = sum(f.stat().st_size for f in tmp_path.glob("*.warc*"))
+    assert back.agg(F.sum("length")).first()[0] == total
+    gaps = warc.quarantined(back)
+    assert gaps.count() > 0 and gaps.columns == ["file", "offset", "length", "reason"]
+    assert back.filter("reason is null").count() > 150
+
+
+def test_files_of_an_attempt_that_does_not_count_are_not_read(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    folder, files = warc.write_archives(df, folder=str(tmp_path / "w"))
+    (tmp_path / "w" / "pages-000000-99999999-0000.warc.gz").write_bytes(warc.member(rec(77)))
+    assert warc.read_archives(spark, folder, files).count() == len(ROWS)
+    assert warc.read_archives(spark, folder).count() == len(ROWS) + 1
+    assert folder.startswith("file:///")

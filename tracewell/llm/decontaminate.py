@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.hashing import mix
-from tracewell.llm.tables import let
+from tracewell.llm.tables import let, valid
 
 Q, WINDOW, STRIDE = 8, 64, 8
 #: Edits per hundred characters of a window; by default texts under ``LEAST`` characters are
@@ -230,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     are left out; an empty table on either side gives no rows. Items with a null id
     are left out.
     """
-    raw = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    raw = docs.select(F.col(id_col).cast("long").alias("_id"), valid(F.col(text)).alias("_text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).filter(
         "item is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -246,6 +246,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
                       item_col: str = "item_id", item_text: str = "text", least_chars: int = LEAST) -> DataFrame:
-    """Documents without a benchmark passage; columns and repeated rows stay."""
-    leaked = find_leaks(docs, benchmark, id_col, text, item_col, item_text, least_chars).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
+    """Documents without a benchmark passage; columns and repeated rows stay.
+
+    Every row is judged by itself: rows that share an id, or have none, stay apart by a
+    fingerprint of id and text. Null and empty texts stay; an empty table gives no rows.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text)))
+    leaked = find_leaks(keyed.select("_row", text), benchmark, "_row", text, item_col, item_text, least_chars).select("_row").distinct()
+    return keyed.join(leaked, "_row", "left_anti").select(*docs.columns)

@@ -11,4 +11,4 @@ from tracewell.llm.registry import query
 @query("op5_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.find_leaks(docs, tables.read(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(docs, tables.read(spark, sf_dir, "benchmark"), least_chars=8)

@@ -236,16 +236,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     facts = stored(blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(_facts(n_buckets), FACTS), "facts")
     linkable = facts.filter("linkable")
     # arrays come once per block, ids are combined in the map tasks
-    names = linkable.groupBy("set1", "set2", "n").agg(F.min("_id").alias("cls")).filter("cls is not null")
+    names = linkable.groupBy("set1", "set2", "n").agg(F.min("_id").alias("low"), F.count("*").alias("held"))
     one = linkable.filter(F.col("grams").isNotNull())
     rank = Window.partitionBy("set1", "set2", "n").orderBy(F.coalesce("_id", F.lit(exchange.NO_ID)))
     first = one.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank", "_id")
-    classes = stored(first.join(names, ["set1", "set2", "n"]).withColumn("typical", F.size("grams") / F.col("n")), "classes")
+    classes = stored(first.join(names, ["set1", "set2", "n"]).select("*", F.col("set1").alias("cls"), (F.size("grams") / F.col("n")).alias("typical")), "classes")
     comps = _link_classes(classes)
-    of_set = (classes.select("set1", "set2", "n", "cls").join(comps, "cls", "left")
-              .select("set1", "set2", "n", F.coalesce("comp", "cls").alias("comp")))
-    joined = linkable.select("_id", "n", "set1", "set2").join(of_set, ["set1", "set2", "n"], "left").select(
-        "_id", "n", F.coalesce("comp", "_id").alias("comp"))
+    of_set = stored(classes.select("set1", "set2", "n", "cls", "low", "held").join(comps, "cls", "left")
+                    .withColumn("comp", F.coalesce("comp", "cls")), "sets")
+    # the smallest id of a component, for all sets in it; then for all rows of a set
+    lows = of_set.groupBy("comp").agg(F.min("low").alias("lowest"), F.count("*").alias("sets"))
+    told = join_hot(of_set.select("comp", "set1", "set2", "n", "held"), lows, "comp", F.col("sets"), of_set.count())
+    told = told.select("set1", F.col("set2").alias("_set2"), F.col("n").alias("_n"), "held", "lowest")
+    joined = join_hot(linkable.select("_id", "n", "set1", "set2"), told, "set1", F.col("held"), facts.count()).filter(
+        "set2 = _set2 and n = _n").select("_id", "n", F.coalesce("lowest", "_id").alias("comp"))
     alone = facts.filter("not linkable").select("_id", "n", F.col("_id").alias("comp"))
     return joined.unionByName(alone).select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.hashing import text_buffers
 
 DIMENSIONS = 4096
-#: Rows per language to cluster on, languages at most, clusters per language.
-SAMPLE, LANGUAGES, CLUSTERS = 1000, 500, 4
+#: Rows per language to cluster on, clusters per language.
+SAMPLE, CLUSTERS = 1000, 4
 LEAST_SHARE = 0.05
 #: Share of the similarity of the least typical sample rows under which a text is rejected.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.001
@@ -157,7 +157,7 @@ def fit(rows: DataFrame, text: Column, lang: Column, key: Column, sample: int =
     """
     known = rows.select(text.alias("_text"), lang.alias("_lang"), F.xxhash64(key).alias("_key")).filter(
         F.col("_text").isNotNull() & F.col("_lang").isNotNull())
-    per_lang = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    per_lang = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").collect()
     gram = {r["_gram"]: r["_n"] for r in known.select("_text").mapInArrow(_frequencies, "_gram int, _n bigint")
             .groupBy("_gram").agg(F.sum("_n").alias("_n")).collect()}
     n = gram.pop(-1, 0)

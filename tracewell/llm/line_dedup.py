@@ -14,7 +14,7 @@ probes the index of its own length and of lines one shorter. Lines that meet are
 verified by the bit-parallel edit distance of a band of diagonals.
 
 Equal lines are combined in the map tasks before anything is joined, so a line that
-a third of all documents holds is one row here.
+a third of all documents holds is one row of the index, and its places are dealt out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import let, rendered, stored
+from tracewell.llm.tables import join_hot, let, rendered, stored
 
 EDITS, PARTS = 1, 4
 #: Lines of fewer characters have no near ones, and by default are not judged at all.
@@ -160,7 +160,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     keys = {f"own{i}": _around(line, n, n, i) for i in range(PARTS)} | {f"less{i}": _around(line, n, n - F.lit(1), i) for i in range(PARTS)}
     distinct = long.groupBy(F.xxhash64("line").alias("h")).agg(*[F.max(key).alias(name) for name, key in keys.items()])
     pairs = stored(_candidates(distinct), "pairs")
-    place = lines.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
+    place = lines.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.count("*").alias("held"))
 
     # the texts of lines that meet: a marked line may be another one, the join decides
     meet = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
@@ -178,9 +178,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
     both = F.array(F.struct(F.col("x").alias("h"), F.col("first_y").alias("near")), F.struct(F.col("y").alias("h"), F.col("first_x").alias("near")))
     nearest = near.select(F.explode(both).alias("p")).select("p.*").groupBy("h").agg(F.min("near").alias("near"))
-    earliest = (place.join(nearest, "h", "left").select("h", "last", F.least("first", F.coalesce("near", "first")).alias("earliest"))
+    earliest = (place.join(nearest, "h", "left").select("h", "last", "held", F.least("first", F.coalesce("near", "first")).alias("earliest"))
                 .filter("earliest < last").drop("last"))
-    gone = (lines.select("_doc", "h").join(earliest, "h").filter("earliest < _doc")
+    # a line of very many rows does not gather them in one task
+    gone = (join_hot(lines.select("_doc", "h"), earliest, "h", F.col("held"), lines.count()).filter("earliest < _doc")
             .groupBy("_doc").agg(F.collect_set("h").alias("_g")))
     inside = (near.filter("first_x = first_y").groupBy(F.col("first_x").alias("_doc"))
               .agg(F.collect_set(F.struct("x", "y")).alias("_i")))

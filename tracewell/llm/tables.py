@@ -23,6 +23,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def valid(text: Column) -> Column:
+    """A text whose bytes are no valid UTF-8 with U+FFFD in their place; Spark's strings and
+    Parquet may hold such, Arrow and Python do not."""
+    return F.make_valid_utf8(text)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where ``body`` uses it inside
     a function over array elements."""

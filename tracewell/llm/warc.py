@@ -10,6 +10,7 @@ goes on from there, and reports the bytes between as a quarantined gap.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 16
+#: Numbers as they are written, within 64 bits.
+NUMBER, NUMBER_BYTES = re.compile(r"[0-9]{1,18}"), re.compile(rb"[0-9]{1,18}")
+URN = re.compile(r"<urn:page:(-?[0-9]{1,18})>")
 
 
 # -- writing
@@ -61,12 +65,19 @@ def member(data: bytes) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The address of a folder with the scheme that the session's settings give it, so that
+    executors write to the very store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
 def _store(folder: str):
-    """The store an address names, and the folder in it; the folder is made."""
+    """The store a qualified address names, and the folder in it; the folder is made."""
     from pyarrow import fs
 
-    named = "://" in folder or folder.startswith("file:")
-    store, root = fs.FileSystem.from_uri(folder) if named else (fs.LocalFileSystem(), folder)
+    store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
     return store, root
 
@@ -74,8 +85,9 @@ def _store(folder: str):
 def _write(folder: str, compress: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
-        part, number = TaskContext.get().partitionId(), 0
-        # a file gets its name when it is whole; a task that runs again replaces it
+        part, attempt, number = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
+        # every attempt has names of its own; the table of archives lists those of the one
+        # that counts, and only these are read
         out, at, n, temporary = None, 0, 0, ""
         done: list[tuple[str, int, int]] = []
 
@@ -84,7 +96,7 @@ def _write(folder: str, compress: bool):
             if out is None:
                 return
             out.close()
-            name = f"pages-{part:06d}-{number:04d}.warc{'.gz' if compress else ''}"
+            name = f"pages-{part:06d}-{attempt:08d}-{number:04d}.warc{'.gz' if compress else ''}"
             store.move(temporary, f"{root}/{name}")
             done.append((name, n, at))
             out, number = None, number + 1
@@ -119,7 +131,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     id is written as an empty one and never revisited; repeated rows are written each;
     further columns are left out; an empty table writes no archive.
     """
-    folder = folder or f"{scratch_dir(pages.sparkSession)}-warc"
+    folder = qualified(pages.sparkSession, folder or f"{scratch_dir(pages.sparkSession)}-warc")
     _store(folder)
     rows = pages.select(F.col(page_id).cast("long").alias("_id"), F.col(url).alias("url"),
                         F.coalesce(F.col(html), F.lit("")).alias("_html")).select(
@@ -165,7 +177,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         if not colon:
             raise BadRecord("broken header line")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not fields.get("content-length", "").isdigit():
+    if not NUMBER.fullmatch(fields.get("content-length", "")):
         raise BadRecord("no length")
     n = int(fields["content-length"])
     if len(body) != n + 4 or body[n:] != b"\r\n\r\n":
@@ -214,7 +226,7 @@ def _plain_end(raw: bytes, at: int) -> int:
         raise BadRecord("no version line" if stop >= 0 else "cut short")
     for line in raw[at:stop].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+        if name.strip().lower() == b"content-length" and NUMBER_BYTES.fullmatch(value.strip()):
             end = stop + 4 + int(value) + 4
             if end > len(raw):
                 raise BadRecord("cut short")
@@ -246,8 +258,8 @@ def salvage(raw: bytes) -> Iterator[Found]:
 
 
 def page_number(urn: str | None) -> int | None:
-    digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits.lstrip("-").isdigit() else None
+    found = URN.fullmatch(urn or "")
+    return int(found[1]) if found else None
 
 
 READ_SCHEMA = ("file string, offset bigint, length bigint, reason string, page_id bigint, url string, "
@@ -271,7 +283,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = f.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(x.payload).hexdigest()
                 n = f.get("warc-payload-length", "") if revisit else str(len(x.payload))
                 rows.append((path, x.offset, x.length, x.reason, page_number(f.get("warc-record-id")), f.get("warc-target-uri"),
-                             f.get("warc-type"), None if x.reason else digest, int(n) if n.isdigit() and not x.reason else None,
+                             f.get("warc-type"), None if x.reason else digest, int(n) if NUMBER.fullmatch(n) and not x.reason else None,
                              page_number(f.get("warc-refers-to")), x.payload))
                 held += len(x.payload)
                 if held > 8 << 20 or len(rows) == 5000:
@@ -281,8 +293,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(rows)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record and gap of the archives in a folder.
+def read_archives(spark: SparkSession, folder: str, archives: DataFrame | None = None) -> DataFrame:
+    """Every record and gap of the archives in a folder: of those that ``archives`` (as
+    ``write_archives`` returns it) lists, or of all.
 
     Records have a null ``reason``; a gap has one, with ``file``, ``offset`` and
     ``length`` of the quarantined bytes. A revisit has the digest and size of the
@@ -290,7 +303,12 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     were written; a folder without archives gives no rows.
     """
     files = (spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-             .option("pathGlobFilter", "*.warc*").load(folder))
+             .option("pathGlobFilter", "*.warc*"))
+    # a name per archive, each of up to FILE_BYTES
+    names = [folder] if archives is None else [f"{folder}/{r['file']}" for r in archives.select("file").toLocalIterator()]
+    if not names:
+        return spark.createDataFrame([], READ_SCHEMA)
+    files = files.load(names)
     return files.select("path", "content").mapInArrow(_read, READ_SCHEMA)
 
 

@@ -22,6 +22,6 @@ FROM p LEFT JOIN f USING (digest)
 @query("op7_warc", SQL)
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tables.read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    folder, _ = warc.write_archives(pages)
-    back = warc.read_archives(spark, folder).filter(F.col("reason").isNull())
+    folder, archives = warc.write_archives(pages)
+    back = warc.read_archives(spark, folder, archives).filter(F.col("reason").isNull())
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
