@@ -20,7 +20,12 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; a missing label is filled in."""
+    """Documents in a known language; a missing label is filled in.
+
+    Rows are judged each by its text: a null text or one without a letter goes, repeated
+    rows and rows without an id stay as others do. Columns of other names stay; an
+    empty table gives no rows.
+    """
     found = language.identify(docs, fitted(docs)).filter(~F.col("rejected"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
@@ -36,19 +41,30 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    stay = (jaccard.link_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_stays")).distinct())
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """The document with the smallest id of each group of near copies.
+
+    Rows are linked by a fingerprint of id and text, so rows that share an id, or have
+    none, are judged each by itself; of rows equal in both one stays. A row without an
+    id stays only in a group where none has one. Texts without words are linked with
+    nothing and stay. An empty table gives no rows.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    group = jaccard.link_documents(keyed.select("_row", "text"), "_row").select("_row", "component_id")
+    ids = keyed.select("_row", "doc_id").join(group, "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_f"))
+    kept = keyed.join(first.select(F.col("_f._row").alias("_row")), "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, each row judged by itself; null and
+    empty texts stay, and everything does where the benchmark is empty."""
     return decontaminate.drop_contaminated(docs, tables.read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, a row per piece; a null text is
+    an empty one, and an empty table gives no rows."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
