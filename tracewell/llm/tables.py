@@ -49,17 +49,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 #: A key with more than this share of the rows is hot; there are fewer than this many.
 HOT_KEYS = 1024
+#: Rows of a piece of a hot key at least.
+PIECE_ROWS = 1000
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str, held: Column, total: int) -> DataFrame:
     """Join ``rows`` with ``side`` so that no key gathers its rows in one task.
 
     ``held`` tells, from the columns of ``side``, how many of the ``total`` rows have its
-    key. A key with more than ``total / HOT_KEYS`` is dealt into pieces of that many, and
+    key. A key with more than ``total / HOT_KEYS`` (and ``PIECE_ROWS``) is dealt into pieces of that many, and
     its rows of ``side`` go to each; fewer than ``HOT_KEYS`` keys need it, so the list of
     these is broadcast.
     """
-    piece = max(1, total // HOT_KEYS)
+    piece = max(PIECE_ROWS, total // HOT_KEYS)
     pieces = F.ceil(held / piece).cast("int")
     hot = F.broadcast(side.filter(held > piece).groupBy(key).agg(F.max(pieces).alias("_pieces")))
     dealt = rows.join(hot, key, "left").withColumn(
