@@ -178,7 +178,8 @@ def column_percentiles(df: DataFrame, values: Sequence[str], shares: dict[str, f
     ends = sorted({min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-margin, margin)})
     low = [ends.index(max(0.0, s - margin)) for s in shares.values()]
     high = [ends.index(min(1.0, s + margin)) for s in shares.values()]
-    sketch = narrow.groupBy(*by).agg(*[F.percentile_approx(f"_v{i}", ends, ACCURACY).alias(f"_q{i}") for i in range(len(values))])
+    sketch = narrow.groupBy(*by).agg(*[F.percentile_approx(f"_v{i}", ends, ACCURACY).alias(f"_q{i}") for i in range(len(values))],
+                                     *[F.avg(f"_v{i}").alias(f"_a{i}") for i in range(len(values))])
     if by:
         rows = narrow.join(sketch, by)
     else:
@@ -192,11 +193,11 @@ def column_percentiles(df: DataFrame, values: Sequence[str], shares: dict[str, f
             inside = inside | one
         # the gap between brackets, or the value inside one
         return F.struct(F.lit(i).alias("i"), v.alias("v"), F.size(F.filter(q, lambda b: b < v)).alias("zone"),
-                        F.when(inside, v).alias("key"))
+                        F.when(inside, v).alias("key"), F.col(f"_a{i}").alias("mean"))
 
     placed = rows.select(*by, F.explode(F.array(*[place(i) for i in range(len(values))])).alias("_x")).select(*by, "_x.*")
     held = placed.where("v is not null").groupBy(*by, "i", "zone", "key").agg(
-        F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("v").alias("sum"))
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.max("mean").alias("mean"))
     run = running_totals(held, [*by, "i"], "least", {"c": "_upto"}, whole={"c": "n"})
     first, last = F.col("_upto") - F.col("c"), F.col("_upto") - 1
 
@@ -213,7 +214,7 @@ def column_percentiles(df: DataFrame, values: Sequence[str], shares: dict[str, f
         floor = F.floor(spot)
         picks += [at(floor).alias(f"_l_{name}"), at(F.least(floor + 1, F.col("n") - 1)).alias(f"_h_{name}")]
     found = run.groupBy(*by, "i").agg(
-        F.max("n").alias("n"), (F.sum("sum") / F.sum("c")).alias("mean"), F.min("least").alias("min"), F.max("most").alias("max"), *picks)
+        F.max("n").alias("n"), F.max("mean").alias("mean"), F.min("least").alias("min"), F.max("most").alias("max"), *picks)
     names = F.array(*[F.lit(v) for v in values])
     part = {name: F.lit(float(s)) * (F.col("n") - 1) - F.floor(F.lit(float(s)) * (F.col("n") - 1)) for name, s in shares.items()}
     return found.select(*by, F.get(names, F.col("i")).alias("column"), "n", "mean", "min", "max", *[
