@@ -144,11 +144,10 @@ def _(spark, d):
 @query("consistency_score", V.sql(
     "SELECT sum(n)::BIGINT AS n, round(avg(1 - greatest(0, least(1, sd / 1.35::DOUBLE))), 6) AS consistency_score FROM ("
     "SELECT event_template AS t, count(*) AS n, stddev_pop(CASE level WHEN 'FATAL' THEN 3.6::DOUBLE WHEN 'ERROR' THEN 1.8 ELSE 0.0 END) AS sd "
-    "FROM records_v WHERE binary_label = 1 OR level <> 'INFO' OR event_template IS NULL GROUP BY 1)", "records_v"))
+    "FROM records_v GROUP BY 1)", "records_v"))
 def _(spark, d):
     risk = F.when(F.col("level") == "FATAL", 3.6).when(F.col("level") == "ERROR", 1.8).otherwise(0.0)
-    df = V.log_records(spark, d).where("binary_label = 1 OR level <> 'INFO' OR event_template IS NULL")
-    return metrics.consistency_score(df.withColumn("risk_total_score", risk))
+    return metrics.consistency_score(V.log_records(spark, d).withColumn("risk_total_score", risk))
 
 
 _ROUTE = "CASE WHEN score < 40 THEN 'clearly_normal' WHEN score > {hi} THEN 'clearly_anomalous' ELSE 'uncertain' END"
@@ -181,9 +180,9 @@ def _(spark, d):
 
 @query("value_counts_filled", V.sql(
     "SELECT f::INT AS factor, count(factor) AS n FROM (SELECT unnest([1, 2, 3, 4]) AS f) LEFT JOIN "
-    "(SELECT factor FROM scores_v WHERE factor <> 3) ON f = factor GROUP BY f", "scores_v"))
+    "(SELECT factor FROM scores_v) ON f = factor GROUP BY f", "scores_v"))
 def _(spark, d):
-    return metrics.value_counts_filled(V.scores(spark, d).where("factor <> 3"), "factor")
+    return metrics.value_counts_filled(V.scores(spark, d), "factor")
 
 
 _DELTA_COLS = ("accuracy", "precision", "recall", "f1", "fpr", "fnr")
