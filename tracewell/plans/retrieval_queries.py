@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell import config as cfg
 from tracewell.functions.scoring import pred_label
 from tracewell.functions.text import level_of
-from tracewell.operators import dense, fusion, keyword, metrics, splits
+from tracewell.operators import clustered, dense, fusion, keyword, metrics, splits
 from tracewell.operators.corpus import build_corpus
 from tracewell.plans import views as V
 from tracewell.plans.metrics_queries import sql_detection
@@ -63,6 +63,41 @@ def _(spark, d):
     return dense.dense_top_k(q, c, bound=64).select(*fusion.HIT)
 
 
+def _clustered(spark, d):
+    """Queries and the clustered index of the corpus, written once per session."""
+    q, c = sides(spark, d)
+    path = V.stored_at(spark, d, "clustered_index", lambda path: clustered.build_index(c, path))
+    return q, clustered.open_index(spark, path)
+
+
+@query("clustered_top_k", V.sql(sql_dense(5), "dense_v"))
+def _(spark, d):
+    """All cells of the clustered index, so the exact result."""
+    q, index = _clustered(spark, d)
+    return clustered.search(q, index, probes=index.cells).select(*fusion.HIT)
+
+
+@query("approximate_top_k")
+def _(spark, d):
+    """As many of the nearest cells as give 0.95 of the exact neighbours."""
+    q, index = _clustered(spark, d)
+    probes = clustered.probes_for(clustered.recall_curve(q, index), 0.95)
+    return clustered.search(q, index, probes=probes).select(*fusion.HIT)
+
+
+@query("approximate_recall", V.sql(
+    "SELECT count(DISTINCT query_id) AS queries, count(*) AS hits, TRUE AS recall_reached FROM (" + sql_dense(5) + ")", "dense_v"))
+def _(spark, d):
+    """Whether the approximate hits hold 0.9 of the exact ones, over all queries."""
+    q, index = _clustered(spark, d)
+    probes = clustered.probes_for(clustered.recall_curve(q, index), 0.95)
+    found = clustered.search(q, index, probes=probes).select("query_id", "item_id", F.lit(1).alias("found"))
+    exact = clustered.search(q, index, probes=index.cells).select("query_id", "item_id")
+    return exact.join(found, ["query_id", "item_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), F.count("*").alias("hits"),
+        (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @query("top_k", V.sql(
     "SELECT kind, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rank "
     "FROM scores_v) WHERE rank <= 5", "scores_v"))
