@@ -103,3 +103,15 @@ def test_delta_directions(spark):
     b = spark.createDataFrame([("x", 0.6), ("y", 0.50005), ("z", 0.1)], "metric string, value double")
     assert {r.metric: r.direction for r in metrics.metric_delta(a, b).collect()} == {
         "x": "up", "y": "equal", "z": "down"}
+
+
+def test_stage_filter(spark):
+    rows = [(1, "clearly_normal", 1), (2, "uncertain", 0), (3, "uncertain", 1), (4, "clearly_anomalous", 1), (5, None, 1), (6, "uncertain", None)]
+    df = spark.createDataFrame(rows, "id int, route string, true_label int")
+
+    def ids(out):
+        return sorted(r.id for r in out.collect())
+
+    assert ids(metrics.stage_filter(df)) == [2, 3, 4, 6]
+    assert ids(metrics.stage_filter(df, anomalies_only=True)) == [3, 4]
+    assert ids(metrics.stage_filter(df, ["clearly_normal"])) == [1]

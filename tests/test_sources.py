@@ -118,3 +118,30 @@ def test_payload_fills_missing_fields(spark):
     df = spark.createDataFrame([("t", None)], "text string, label string")
     r = records.standard_payload(df, "logs", "BGL", "src").first()
     assert (r.text, r.label, r.rca_id, r.dataset, r.category, r.source) == ("t", "", "", "BGL", "logs", "src")
+
+
+def test_upsert_leaves_one_row_per_id(spark, tmp_path):
+    path = str(tmp_path / "u")
+    schema = "id long, collection string, text string, vector array<double>"
+
+    def write(*rows, **options):
+        C.upsert_collection(spark.createDataFrame([(i, c, t, [1.0]) for i, c, t in rows], schema), path, **options)
+
+    def held():
+        return sorted(((r.id, r.collection, r.text) for r in spark.read.parquet(path).collect()), key=repr)
+
+    write((1, "a", "x"), (2, "a", "x"), (1, "b", "x"), (None, "a", "x"), (3, "a", "p"), (3, "a", "q"), buckets=4)
+    first = [(1, "a", "x"), (1, "b", "x"), (2, "a", "x"), (3, "a", "q"), (None, "a", "x")]
+    assert held() == first
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "u").rglob("*.parquet")}
+    for _ in range(2):
+        write((1, "a", "new"), (None, "a", "new"), (9, "c", "y"), buckets=4)
+        assert held() == [(1, "a", "new"), (1, "b", "x"), (2, "a", "x"), (3, "a", "q"), (9, "c", "y"), (None, "a", "new")]
+    # collection b got no record: its files are those of the first write
+    kept = {f for f in before if f.exists() and f.stat().st_mtime_ns == before[f]}
+    assert {f for f in before if "collection=b" in str(f)} <= kept and len(kept) < len(before)
+    write(buckets=4)
+    assert len(held()) == 6
+    assert C.read_collection(spark, path, "c").columns == ["id", "text", "collection"]
+    with pytest.raises(ValueError, match="other buckets"):
+        write((1, "a", "x"), buckets=8)

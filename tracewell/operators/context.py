@@ -83,10 +83,9 @@ def vote_line(votes: DataFrame, query_id: str = "query_id", out: str = "vote") -
     """One sentence on how the retrieved labels are spread."""
     n = F.col("n_normal") + F.col("n_anomalous")
     text = F.concat(
-        F.lit("[Label vote: "), F.col("n_normal"), F.lit(" Normal, "), F.col("n_anomalous"),
-        F.lit(" Anomalous out of "), n, F.lit(" retrieved - majority: "), F.col("majority"),
-        F.lit(" | weighted by similarity: Normal "), fixed(F.col("normal_pct"), 1),
-        F.lit("%, Anomalous "), fixed(F.col("anomalous_pct"), 1), F.lit("%]"))
+        F.lit("[Neighbours: "), n, F.lit("; Normal "), F.col("n_normal"), F.lit(" ("), fixed(F.col("normal_pct"), 1),
+        F.lit("% of the similarity), Anomalous "), F.col("n_anomalous"), F.lit(" ("), fixed(F.col("anomalous_pct"), 1),
+        F.lit("%); most are "), F.col("majority"), F.lit("]"))
     return votes.select(query_id, text.alias(out))
 
 

@@ -184,6 +184,14 @@ def route_counts(df: DataFrame, route_col: str = "route") -> DataFrame:
         F.round(F.coalesce(n * 100.0 / total.scalar(), F.lit(0.0)), 4).alias("pct"))
 
 
+def stage_filter(df: DataFrame, routes: Sequence[str] = cfg.ROUTES[1:], anomalies_only: bool = False,
+                 route_col: str = "route", truth: str = "true_label") -> DataFrame:
+    """Rows of the given routes, by default those that go on to the second pass; on
+    request only the true anomalies among them. A row without a route is left out."""
+    kept = df.where(F.col(route_col).isin(*routes))
+    return kept.where(F.col(truth) == 1) if anomalies_only else kept
+
+
 def histogram(df: DataFrame, value: str, bins: int, by: str) -> DataFrame:
     """Equal-width bins between the minimum and maximum of each subset."""
     span = cut(df.where(F.col(value).isNotNull()).groupBy(by).agg(

@@ -55,7 +55,8 @@ def build_trace_text(traces: DataFrame, templates: DataFrame, wildcard: str = "<
         F.max(T.clean_template(F.col("event_template"), wildcard)).alias("t"))
     features = F.coalesce(F.col("features"), F.lit(""))
     marked = traces.withColumn("_f", F.md5(features))
-    steps = marked.select("_f", F.posexplode(T.trace_events(features)).alias("_pos", "event_id"))
+    once = marked.select("_f", features.alias("features")).dropDuplicates(["_f"])
+    steps = once.select("_f", F.posexplode(T.trace_events(F.col("features"))).alias("_pos", "event_id"))
     named = lookup_or_self(steps, words, "event_id", "t")
     # distinct events of one trace: at most the size of the dictionary
     texts = named.groupBy("_f").agg(F.array_sort(F.collect_set(F.struct("_pos", "resolved"))).alias("_seq"))

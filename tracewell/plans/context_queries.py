@@ -55,9 +55,8 @@ def _(spark, d):
     return context.chronological_context(fusion.temporal_top_k(q, c, timed(spark, d)))
 
 
-_VOTE_TEXT = ("SELECT query_id, '[Label vote: ' || n_normal || ' Normal, ' || n_anomalous || ' Anomalous out of ' || (n_normal + n_anomalous) || "
-              "' retrieved - majority: ' || majority || ' | weighted by similarity: Normal ' || printf('%.1f', normal_pct) || '%, Anomalous ' || "
-              "printf('%.1f', anomalous_pct) || '%]' AS vote FROM v")
+_VOTE_TEXT = ("SELECT query_id, '[Neighbours: ' || (n_normal + n_anomalous) || '; Normal ' || n_normal || ' (' || printf('%.1f', normal_pct) || "
+              "'% of the similarity), Anomalous ' || n_anomalous || ' (' || printf('%.1f', anomalous_pct) || '%); most are ' || majority || ']' AS vote FROM v")
 
 
 @query("vote_line", V.sql(_VOTE_TEXT, "dense_v", extra=VOTED))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell import config as cfg
 from tracewell.operators import metrics, records
 from tracewell.plans import views as V
 from tracewell.plans.registry import query
@@ -209,5 +208,5 @@ def _(spark, d):
     "WHERE route IN ('uncertain', 'clearly_anomalous') GROUP BY ALL", "scores_v"))
 def _(spark, d):
     df = V.scores(spark, d).select(F.expr(_ROUTE.format(hi=110)).alias("route"), "true_label")
-    return df.where(F.col("route").isin(*cfg.ROUTES[1:])).groupBy("route", "true_label").agg(
+    return metrics.stage_filter(df).groupBy("route", "true_label").agg(
         F.count(F.lit(1)).alias("n"))

@@ -483,11 +483,11 @@ _QUALITY = """SELECT q.query_id, q.true_label, coalesce(1.0::DOUBLE / min(CASE W
 
 
 @query("retrieval_quality", V.sql("SELECT query_id, true_label, round(mrr, 6) AS mrr, hit_at_k, round(context_precision, 6) AS context_precision FROM rq",
-                                  "dense_v", extra={"h": sql_dense(5, "label = 'Anomalous'") .replace("label = 'Anomalous'", "sim > 0.3"), "rq": _QUALITY}))
+                                  "dense_v", extra={"h": sql_dense(5), "rq": _QUALITY}))
 def _(spark, d):
     q, c = sides(spark, d)
     # hits below a similarity are dropped, so some queries have none
-    hits = dense.dense_top_k(q, c, 5).where("score > 0.3")
+    hits = dense.dense_top_k(q, c, 5)
     out = metrics.retrieval_quality(q.select("query_id", "true_label"), hits)
     return out.select("query_id", "true_label", F.round("mrr", 6).alias("mrr"), "hit_at_k",
                       F.round("context_precision", 6).alias("context_precision"))

@@ -105,13 +105,30 @@ def _(spark, d):
 
 @query("collection_stats", V.sql(
     "SELECT n AS collection, coalesce(c::VARCHAR, 'N/A') AS points FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in cfg.COLLECTIONS)
-    + "]) AS n) LEFT JOIN (SELECT collection, count(*) AS c FROM items_v WHERE collection <> 'role_sre' GROUP BY 1) ON n = collection", "items_v"))
+    + "]) AS n) LEFT JOIN (SELECT collection, count(*) AS c FROM items_v GROUP BY 1) ON n = collection", "items_v"))
 def _(spark, d):
     path = scratch_dir(spark)
-    C.write_collection(V.items(spark, d).where("collection <> 'role_sre'"), path)
+    C.write_collection(V.items(spark, d), path)
     return C.collection_stats(spark, path)
 
 
+_UPSERT = """SELECT collection, count(*) AS points, count(DISTINCT item_id) AS ids, count(*) FILTER (WHERE text LIKE 'seen again: %') AS renewed
+    FROM (SELECT item_id, collection, CASE WHEN label = 'Anomalous' THEN 'seen again: ' || text ELSE text END AS text FROM items_v) GROUP BY 1"""
+
+
+@query("upsert_collection", V.sql(_UPSERT, "items_v"))
+def _(spark, d):
+    """All records, then the anomalous ones again with another text; twice, as after a failure."""
+    path = scratch_dir(spark)
+    rows = V.items(spark, d).select("item_id", "text", "label", "collection", "vector")
+    again = rows.where(F.col("label") == cfg.ANOMALOUS).withColumn("text", F.concat(F.lit("seen again: "), F.col("text")))
+    for part in (rows, again, again):
+        C.upsert_collection(part, path, "item_id", buckets=8)
+    return spark.read.parquet(path).groupBy("collection").agg(
+        F.count("*").alias("points"), F.count_distinct("item_id").alias("ids"),
+        F.count_if(F.col("text").startswith("seen again: ")).alias("renewed"))
+
+
 @query("union_collections", V.sql(
     "SELECT collection, count(*) AS n FROM (SELECT 'bgl_architecture' AS collection FROM documents UNION ALL SELECT 'role_sre' FROM conversations "
     "UNION ALL SELECT 'role_devops' FROM benchmark) GROUP BY 1"))
