@@ -98,3 +98,34 @@ def test_short_lines_are_judged_for_equal_ones_where_asked(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in ld.drop_repeated_lines(df, least_chars=1).collect()}
     assert got == {1: (rows[0][1], 2, 0, False), 2: (f"own\n\n{near}", 4, 2, False), 3: ("", 2, 2, True), 4: ("\n\n", 0, 0, False)}
     assert all(r["n_lines"] == r["n_removed"] == 0 for r in ld.drop_repeated_lines(df).collect())
+
+
+def test_numbered_lines_across_and_within_documents(spark):
+    rng = random.Random(7)
+    numbers = rng.sample(range(1000, 3000), 160)
+    entry = [f"entry no. {k} of the long catalogue" + rng.choice(("", "s")) for k in numbers]
+    rows = [(i, "\n".join(entry[8 * i:8 * i + 8])) for i in range(20)]
+    got = sorted((tuple(r) for r in ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=lambda r: r[0])
+    assert [(i, n, gone) for i, _, n, gone, _ in got] == [(i, n, gone) for i, _, n, gone, _ in brute(rows)]
+    assert [r[1] for r in got] == [r[1] for r in brute(rows)]
+
+
+def test_candidates_of_a_group_grow_with_its_lines(spark):
+    def pairs(n):
+        lines = spark.range(n).select(F.format_string("entry no. %07d of the long catalogue", "id").alias("line"))
+        length = F.length("line")
+        keys = {f"own{i}": ld._around(F.col("line"), length, length, i) for i in range(4)}
+        keys |= {f"less{i}": ld._around(F.col("line"), length, length - F.lit(1), i) for i in range(4)}
+        distinct = lines.select(F.xxhash64("line").alias("h"), *[k.alias(name) for name, k in keys.items()])
+        met = ld._met(distinct, 8 * n)
+        found = lines.select(F.xxhash64("line").alias("h"), "line", F.lit(1).alias("first"), F.lit(0).alias("pos")).join(met, "h")
+        return ld._candidates(found).count()
+
+    # a line is paired with at most one other per digit; all pairs would be 124,750 and 1,999,000
+    assert pairs(500) <= 7 * 500 and pairs(2000) <= 7 * 2000
+
+
+def test_lines_of_rows_without_an_id_do_not_remove_each_other(spark):
+    rows = [(None, "a line that is long enough to be judged", 1), (None, "a line that is long enough to be judged.", 2)]
+    got = ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert {r["row"]: r["text"] for r in got} == {1: rows[0][1], 2: rows[1][1]}

@@ -10,7 +10,9 @@ With a threshold of one edit a line is split into two segments, and one of them
 as it is. The other is halved again by the same argument, so of four parts all but one
 stay: the text before that part from the start, the text after it from the end. Each
 distinct line is indexed under its four (length, part, text around the part), and
-probes the index of its own length and of lines one shorter. Lines that meet are
+probes the index of its own length and of lines one shorter. Many lines may meet under
+such a key (numbered ones, say), so their pairs are not listed: lines that meet get a
+second round of keys that leave out one character of the part. What agrees there is
 verified by the bit-parallel edit distance of a band of diagonals.
 
 Equal lines are combined in the map tasks before anything is joined, so a line that
@@ -19,12 +21,14 @@ a third of all documents holds is one row of the index, and its places are dealt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.tables import join_hot, let, rendered, stored
 
 EDITS, PARTS = 1, 4
+#: Pieces of a part in the second round of keys.
+FINE = 16
 #: Lines of fewer characters have no near ones, and by default are not judged at all.
 LEAST_CHARS = 24
 #: Bits that tell which lines may have a near one.
@@ -126,14 +130,85 @@ def _marks(wanted: DataFrame) -> DataFrame:
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_m"))), lambda x: x["_m"]).alias("marks"))
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Pairs (x, y) of distinct lines that meet under a key."""
-    index = lines.select("h", F.explode(F.array(*[f"own{i}" for i in range(PARTS)])).alias("key"))
-    probe = lines.select(F.col("h").alias("y"), F.explode(F.array(*[f"less{i}" for i in range(PARTS)])).alias("key"))
-    x, y = index.withColumnRenamed("h", "x"), index.withColumnRenamed("h", "y")
-    same = x.join(y, "key").filter("x < y").select("x", "y")
-    longer = x.join(probe, "key").filter("x != y").select("x", "y")
-    return same.unionByName(longer).distinct()
+def _met(distinct: DataFrame, total: int) -> DataFrame:
+    """(h, met): the places where a line meets others under a key, bit 4 * role + part.
+
+    A line of the same length under its own key is role 0, a longer one role 1; a line
+    that probes and finds a shorter one is role 2. Only counts of a key are taken, so a
+    key of very many lines costs as many rows, not their pairs.
+    """
+    own, less = [f"own{i}" for i in range(PARTS)], [f"less{i}" for i in range(PARTS)]
+    keys = distinct.select("h", F.posexplode(F.array(*own, *less)).alias("slot", "key"))
+    probes = F.col("slot") >= PARTS
+    sizes = (keys.groupBy("key").agg(F.count_if(~probes).alias("own"), F.count_if(probes).alias("less"))
+             .filter("own > 1 or (own = 1 and less > 0)"))
+
+    def bit(role: int, where: Column) -> Column:
+        at = F.pmod("slot", F.lit(PARTS)) + F.lit(PARTS * role)
+        return F.when(where, F.call_function("shiftleft", F.lit(1), at)).otherwise(0)
+
+    bits = bit(0, ~probes & (F.col("own") > 1)).bitwiseOR(bit(1, ~probes & (F.col("less") > 0))).bitwiseOR(bit(2, probes))
+    return (join_hot(keys, sizes, "key", F.col("own") + F.col("less"), total)
+            .groupBy("h").agg(F.bit_or(bits).alias("met")).filter("met <> 0"))
+
+
+def _fine(line: Column, met: Column) -> Column:
+    """Per place where a line met others, the keys that leave out one character only.
+
+    The part that may differ is cut into ``FINE`` pieces; the pieces around one stay as they
+    are, and of the piece itself each character is left out in turn. Lines of one length
+    that agree then differ in that character alone (role 0); a longer line without a
+    character agrees with a whole shorter one (role 2 and 1).
+    """
+    n, none = F.length(line), F.array().cast("array<struct<role:int,key:bigint>>")
+
+    def pieces(at: Column) -> Column:
+        role = F.floor(at / PARTS).cast("int")
+        more = F.when(role == 2, 1).otherwise(0)
+        length = n - more
+        part = F.pmod(at, F.lit(PARTS))
+        start = F.floor(length * part / PARTS).cast("int")
+        size = F.floor(length * (part + 1) / PARTS).cast("int") - start
+        whole = F.struct(role.alias("role"), more.alias("more"), size.alias("size"),
+                         F.substring(line, start + F.lit(1), size + more).alias("text"),
+                         _around(line, n, length, part).alias("around"))
+        return let(whole, lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda j: piece(w, j))))
+
+    def piece(w: Column, j: Column) -> Column:
+        low = F.floor(w["size"] * j / FINE).cast("int")
+        high = F.floor(w["size"] * (j + F.lit(1)) / FINE).cast("int") + w["more"]
+        cut = F.struct(F.substring(w["text"], low + F.lit(1), high - low).alias("text"), (high - low).alias("size"),
+                       F.xxhash64(w["around"], j, F.substring(w["text"], F.lit(1), low),
+                                  F.substring(w["text"], high + F.lit(1), F.length(w["text"]))).alias("around"))
+        return let(cut, lambda c: F.when(w["role"] == 1, F.array(key(w, F.xxhash64(c["around"], F.lit(0), c["text"]))))
+                   .when(c["size"] == 0, none)
+                   .otherwise(F.transform(F.sequence(F.lit(1), c["size"]), lambda k: key(w, without(w, c, k)))))
+
+    def without(w: Column, c: Column, k: Column) -> Column:
+        rest = F.concat(F.substring(c["text"], F.lit(1), k - F.lit(1)), F.substring(c["text"], k + F.lit(1), c["size"]))
+        return F.xxhash64(c["around"], F.when(w["role"] == 0, k).otherwise(0), rest)
+
+    def key(w: Column, k: Column) -> Column:
+        return F.struct(w["role"].alias("role"), k.alias("key"))
+
+    places = F.filter(F.sequence(F.lit(0), F.lit(3 * PARTS - 1)),
+                      lambda at: F.call_function("shiftright", met, at).bitwiseAND(F.lit(1)) == 1)
+    return F.flatten(F.transform(places, pieces))
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of distinct lines that agree but for one character.
+
+    Of lines that all differ in one place only, each is paired with the first of them:
+    what comes before any of them is known from that one. So the pairs grow with the
+    lines, however many share a key.
+    """
+    fine = found.select("h", "first", "pos", F.explode(_fine(F.col("line"), F.col("met"))).alias("f")).select("h", "first", "pos", "f.*")
+    head = F.min(F.struct("first", "pos", "h")).over(Window.partitionBy("key"))
+    same = fine.filter("role = 0").withColumn("_m", head).select(F.col("_m.h").alias("a"), F.col("h").alias("b")).filter("a <> b")
+    longer = (fine.filter("role = 1").select("key", F.col("h").alias("a"))
+              .join(fine.filter("role = 2").select("key", F.col("h").alias("b")), "key").select("a", "b"))
+    return same.unionByName(longer).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -145,8 +220,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     Blanks around a line do not count. Shorter lines and blank ones stay; 1 judges
     every line that is not blank. Lines under 24 characters go only if an equal one
     came before. A null text
-    stays null, with no lines. A null id comes after all others. Rows of one id do not
-    remove each other's equal lines. All columns of the input stay; those of the three
+    stays null, with no lines. A null id comes after all others. Rows of one id, or
+    without one, do not remove each other's lines, and a line near others of its row goes
+    there only if the first of its like stands in that row, too. All columns of the input stay; those of the three
     new names are replaced. An empty table gives no rows. Lines are compared by 64-bit
     fingerprints where they are equal, and in full where they are near.
     """
@@ -154,21 +230,21 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     keyed = docs.select(*names, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"))
     line, n = F.col("line"), F.length("line")
     least_chars = max(1, least_chars)
-    held = keyed.select("_doc", F.explode(_trimmed(rendered(text))).alias("line")).filter(n >= least_chars)
+    held = keyed.select("_doc", F.posexplode(_trimmed(rendered(text))).alias("pos", "line")).filter(n >= least_chars)
     long = held.filter(n >= LEAST_CHARS)
     lines = stored(held.select("_doc", F.xxhash64("line").alias("h")), "lines")
     keys = {f"own{i}": _around(line, n, n, i) for i in range(PARTS)} | {f"less{i}": _around(line, n, n - F.lit(1), i) for i in range(PARTS)}
     distinct = long.groupBy(F.xxhash64("line").alias("h")).agg(*[F.max(key).alias(name) for name, key in keys.items()])
-    pairs = stored(_candidates(distinct), "pairs")
+    met = stored(_met(distinct, 2 * PARTS * lines.count()), "met")
     place = lines.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.count("*").alias("held"))
 
     # the texts of lines that meet: a marked line may be another one, the join decides
-    meet = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-    marked = long.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(meet).scalar()).filter(
+    marked = long.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(met).scalar()).filter(
         F.call_function("shiftright", F.get("_marks", _word(F.col("h"))), _bit(F.col("h"))).bitwiseAND(F.lit(1)) == 1)
-    found = (marked.select("h", "line").dropDuplicates(["h"]).join(meet, "h").join(place, "h")
-             .select("h", "line", F.col("first").alias("_doc")))
-    sides = [found.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("_doc").alias(f"first_{s}")) for s in "xy"]
+    found = stored(marked.groupBy("h").agg(F.min(F.struct("_doc", "pos", "line")).alias("_f")).join(met, "h")
+                   .select("h", "met", F.col("_f._doc").alias("first"), "_f.pos", "_f.line"), "found")
+    pairs = stored(_candidates(found), "pairs")
+    sides = [found.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "xy"]
     texts = pairs.join(sides[0], "x").join(sides[1], "y")
     # of two lines one edit apart, the first halves or the second halves are equal
     half = F.floor(F.least(F.length("line_x"), F.length("line_y")) / 2).cast("int")
@@ -191,8 +267,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         *names, F.split(rendered(text), "\n").alias("_raw"),
         F.transform(_trimmed(rendered(text)), lambda x: F.when(F.length(x) >= least_chars, F.xxhash64(x))).alias("_hashes"),
         F.coalesce("_g", none).alias("_gone"), F.coalesce("_i", no_pairs).alias("_inside"))
-    later = F.transform("_inside", lambda p: F.when(
-        F.array_position("_hashes", p["x"]) < F.array_position("_hashes", p["y"]), p["y"]).otherwise(p["x"]))
+    at = [lambda p, s=s: F.array_position("_hashes", p[s]) for s in "xy"]
+    both_here = F.filter("_inside", lambda p: (at[0](p) > 0) & (at[1](p) > 0))
+    later = F.transform(both_here, lambda p: F.when(at[0](p) < at[1](p), p["y"]).otherwise(p["x"]))
     # per line whether its like stands before it: sorted by fingerprint and place, what is
     # gone at place -1, a line is repeated if the entry before has its fingerprint
     entries = F.array_sort(F.concat(
