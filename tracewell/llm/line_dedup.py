@@ -31,8 +31,8 @@ EDITS, PARTS = 1, 4
 FINE = 16
 #: Lines of fewer characters have no near ones, and by default are not judged at all.
 LEAST_CHARS = 24
-#: Bits that tell which lines may have a near one.
-MARK_BITS = 22
+#: The marks that tell which lines may have a near one take a bit per line, within 2 ** these.
+LEAST_BITS, MOST_BITS = 20, 27
 BLANKS = " \t\r\x0b\x0c"
 NO_ID = (1 << 63) - 1
 
@@ -99,38 +99,48 @@ def edit_distance_within(pattern: Column, text: Column, edits: int) -> Column:
     return let(both, lambda x: run(x["p"], x["t"]))
 
 
-def _around(line: Column, chars: Column, length: Column, part: int) -> Column:
-    """Fingerprint of a line without one part, the parts being those of ``length``."""
+def _around(line: Column, chars: Column, length: Column, part: int | Column) -> Column:
+    """Fingerprint of a line without one part, the parts being those of ``length``.
+
+    Characters of one byte each are cut from the bytes, without a walk over the text;
+    equal bytes have one fingerprint either way.
+    """
     before = F.floor(length * part / PARTS).cast("int")
     after = (length - F.floor(length * (part + 1) / PARTS)).cast("int")
-    return F.xxhash64(F.lit(part), length, F.substring(line, F.lit(1), before),
-                      F.substring(line, chars - after + F.lit(1), after))
+
+    def sides(x: Column) -> Column:
+        return F.xxhash64(F.lit(part), length, F.substring(x, F.lit(1), before), F.substring(x, chars - after + F.lit(1), after))
+
+    return F.when(F.octet_length(line) == chars, sides(line.cast("binary"))).otherwise(sides(line))
 
 
 def _trimmed(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
-def _word(h: Column) -> Column:
+def _word(h: Column, bits: int) -> Column:
     """Word of a fingerprint in the marks."""
-    return F.shiftrightunsigned(h, 64 - MARK_BITS).bitwiseAND(F.lit((1 << MARK_BITS - 6) - 1)).cast("int")
+    return F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit((1 << bits - 6) - 1)).cast("int")
 
 
 def _bit(h: Column) -> Column:
     return h.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _marks(wanted: DataFrame) -> DataFrame:
-    """One row: an array of a fixed number of bits, those of the wanted fingerprints
-    set. It spares most lines a shuffle of their text; when many are wanted it only
-    spares fewer."""
-    words = wanted.groupBy(_word(F.col("h")).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("h")))).alias("_m"))
-    every = wanted.sparkSession.range(1 << MARK_BITS - 6).select(F.col("id").cast("int").alias("_w"))
+def _marks(wanted: DataFrame, h: str, bits: int) -> Column:
+    """An array of ``2 ** bits`` bits, those of the wanted fingerprints set. It spares
+    most rows a shuffle; when many are wanted it only spares fewer."""
+    words = wanted.groupBy(_word(F.col(h), bits).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col(h)))).alias("_m"))
+    every = wanted.sparkSession.range(1 << bits - 6).select(F.col("id").cast("int").alias("_w"))
     filled = every.join(words, "_w", "left").select("_w", F.coalesce("_m", F.lit(0).cast("long")).alias("_m"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_m"))), lambda x: x["_m"]).alias("marks"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_m"))), lambda x: x["_m"]).alias("marks")).scalar()
+
+
+def _is_marked(marks: Column, h: Column, bits: int) -> Column:
+    return F.call_function("shiftright", F.get(marks, _word(h, bits)), _bit(h)).bitwiseAND(F.lit(1)) == 1
 
 
-def _met(distinct: DataFrame, total: int) -> DataFrame:
+def _met(distinct: DataFrame, total: int, bits: int = LEAST_BITS) -> DataFrame:
     """(h, met): the places where a line meets others under a key, bit 4 * role + part.
 
     A line of the same length under its own key is role 0, a longer one role 1; a line
@@ -147,9 +157,12 @@ def _met(distinct: DataFrame, total: int) -> DataFrame:
         at = F.pmod("slot", F.lit(PARTS)) + F.lit(PARTS * role)
         return F.when(where, F.call_function("shiftleft", F.lit(1), at)).otherwise(0)
 
-    bits = bit(0, ~probes & (F.col("own") > 1)).bitwiseOR(bit(1, ~probes & (F.col("less") > 0))).bitwiseOR(bit(2, probes))
-    return (join_hot(keys, sizes, "key", F.col("own") + F.col("less"), total)
-            .groupBy("h").agg(F.bit_or(bits).alias("met")).filter("met <> 0"))
+    places = bit(0, ~probes & (F.col("own") > 1)).bitwiseOR(bit(1, ~probes & (F.col("less") > 0))).bitwiseOR(bit(2, probes))
+    shared = (distinct.withColumn("_marks", _marks(sizes, "key", bits))
+              .select("h", F.posexplode(F.transform(F.array(*own, *less), lambda k: F.when(_is_marked(F.col("_marks"), k, bits), k))).alias("slot", "key"))
+              .filter("key IS NOT NULL"))
+    return (join_hot(shared, sizes, "key", F.col("own") + F.col("less"), total)
+            .groupBy("h").agg(F.bit_or(places).alias("met")).filter("met <> 0"))
 
 
 def _fine(line: Column, met: Column) -> Column:
@@ -235,12 +248,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     lines = stored(held.select("_doc", F.xxhash64("line").alias("h")), "lines")
     keys = {f"own{i}": _around(line, n, n, i) for i in range(PARTS)} | {f"less{i}": _around(line, n, n - F.lit(1), i) for i in range(PARTS)}
     distinct = long.groupBy(F.xxhash64("line").alias("h")).agg(*[F.max(key).alias(name) for name, key in keys.items()])
-    met = stored(_met(distinct, 2 * PARTS * lines.count()), "met")
+    total = lines.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, total.bit_length()))
+    met = stored(_met(distinct, 2 * PARTS * total, bits), "met")
     place = lines.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.count("*").alias("held"))
 
     # the texts of lines that meet: a marked line may be another one, the join decides
-    marked = long.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(met).scalar()).filter(
-        F.call_function("shiftright", F.get("_marks", _word(F.col("h"))), _bit(F.col("h"))).bitwiseAND(F.lit(1)) == 1)
+    marked = long.withColumn("h", F.xxhash64("line")).withColumn("_marks", _marks(met, "h", bits)).filter(
+        _is_marked(F.col("_marks"), F.col("h"), bits))
     found = stored(marked.groupBy("h").agg(F.min(F.struct("_doc", "pos", "line")).alias("_f")).join(met, "h")
                    .select("h", "met", F.col("_f._doc").alias("first"), "_f.pos", "_f.line"), "found")
     pairs = stored(_candidates(found), "pairs")
@@ -257,7 +272,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     earliest = (place.join(nearest, "h", "left").select("h", "last", "held", F.least("first", F.coalesce("near", "first")).alias("earliest"))
                 .filter("earliest < last").drop("last"))
     # a line of very many rows does not gather them in one task
-    gone = (join_hot(lines.select("_doc", "h"), earliest, "h", F.col("held"), lines.count()).filter("earliest < _doc")
+    gone = (join_hot(lines.select("_doc", "h"), earliest, "h", F.col("held"), total).filter("earliest < _doc")
             .groupBy("_doc").agg(F.collect_set("h").alias("_g")))
     inside = (near.filter("first_x = first_y").groupBy(F.col("first_x").alias("_doc"))
               .agg(F.collect_set(F.struct("x", "y")).alias("_i")))
