@@ -40,7 +40,7 @@ def blocked(docs: DataFrame, id_col: str, text: str, block_bytes: int = BLOCK_BY
     The block follows from id and text, so a task that runs again deals alike.
     """
     n_blocks = text_blocks(docs, text, block_bytes)
-    n_buckets = min(max(parallelism(docs.sparkSession), n_blocks // 4), 1 << 24)
+    n_buckets = min(max(parallelism(docs.sparkSession), n_blocks // 2), 1 << 24)
     raw = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
     dealt = raw.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(n_blocks)).alias("_block"), "_id", "_text")
     return dealt.mapInArrow(_pack_texts, BLOCKED), n_blocks, n_buckets
@@ -95,6 +95,13 @@ def _from_five(raw: bytes, bucket: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8") | (np.uint64(bucket) << np.uint64(40))
 
 
+def _buffers(column: pa.ChunkedArray) -> Iterator[pa.Buffer | None]:
+    """Bytes of each value of a binary column, where they lie."""
+    return (value.as_buffer() for chunk in column.chunks for value in chunk)
+
+
+#: Bits beside a key that name its sender in a bucket; blocks are no more than that many.
+SENDER = np.uint64(24)
 SENT = "_bucket bigint, _block bigint, _keys binary, _values binary"
 
 
@@ -123,27 +130,42 @@ def read_narrow(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def answer_narrow(table: pa.Table) -> pa.Table:
     """For one bucket: to each block, those of its keys that another block sent too,
-    with the sum of the values over all blocks."""
+    with the sum of the values over all blocks.
+
+    A key and the place of its sender are one number, so one order is held beside it;
+    what follows is as long as the shared keys.
+    """
     blocks = table.column("_block").to_pylist()
     bucket = table.column("_bucket")[0].as_py()
-    sent = [_from_five(k, bucket) for k in table.column("_keys").to_pylist()]
-    values = np.concatenate([np.frombuffer(v, dtype="<u4") for v in table.column("_values").to_pylist()])
-    keys = np.concatenate(sent)
-    origin = np.repeat(np.arange(len(blocks)), [len(k) for k in sent])
-    order = np.argsort(keys, kind="stable")
-    lo, hi = runs(keys[order])
-    shared = hi > lo
-    total = np.add.reduceat(values[order].astype(np.int64), lo) if len(lo) else np.zeros(0, dtype=np.int64)
-    in_run = np.repeat(np.arange(len(lo)), hi - lo + 1)
-    pick = shared[in_run]
-    back, sums = order[pick], np.minimum(total[in_run[pick]], (1 << 32) - 1)
-    by_origin = np.argsort(origin[back], kind="stable")
-    back, sums = back[by_origin], sums[by_origin]
-    lo, hi = runs(origin[back])
+    counts = [0 if k is None else len(k) // 5 for k in _buffers(table.column("_keys"))]
+    tagged, at = np.empty(sum(counts), dtype=np.uint64), 0
+    for place, raw in enumerate(_buffers(table.column("_keys"))):
+        if counts[place]:
+            tagged[at: at + counts[place]] = (_from_five(raw, 0) << SENDER) | np.uint64(place)
+            at += counts[place]
+    values = np.empty(len(tagged), dtype=np.uint32)
+    at = 0
+    for place, raw in enumerate(_buffers(table.column("_values"))):
+        if counts[place]:
+            values[at: at + counts[place]] = np.frombuffer(raw, dtype="<u4")
+            at += counts[place]
+    order = np.argsort(tagged)
+    tagged = tagged[order]
+    repeats = np.zeros(len(tagged) + 1, dtype=bool)  # the key before is the same one
+    np.less(tagged[1:] ^ tagged[:-1], np.uint64(1) << SENDER, out=repeats[1:-1])
+    shared = repeats[1:] | repeats[:-1]
+    first = ~repeats[:-1][shared]
+    tagged, values = tagged[shared], values[order[shared]].astype(np.int64)
+    del order, repeats, shared
+    sums = np.minimum(np.add.reduceat(values, np.flatnonzero(first)), (1 << 32) - 1)[np.cumsum(first) - 1] if len(values) else values
+    origin = (tagged & ((np.uint64(1) << SENDER) - np.uint64(1))).astype(np.int64)
+    by_origin = np.argsort(origin, kind="stable")
+    keys, sums, origin = (tagged >> SENDER)[by_origin], sums[by_origin], origin[by_origin]
+    lo, hi = runs(origin)
     return pa.table({
         "_bucket": pa.array(np.full(len(lo), bucket), pa.int64()),
-        "_block": pa.array([blocks[origin[back[a]]] for a in lo], pa.int64()),
-        "_keys": pa.array([_five_bytes(keys[back[a: b + 1]]) for a, b in zip(lo, hi, strict=True)], pa.binary()),
+        "_block": pa.array([blocks[origin[a]] for a in lo], pa.int64()),
+        "_keys": pa.array([_five_bytes(keys[a: b + 1]) for a, b in zip(lo, hi, strict=True)], pa.binary()),
         "_values": pa.array([sums[a: b + 1].astype("<u4").tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
     })
 

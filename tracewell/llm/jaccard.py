@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import exchange
-from tracewell.llm.hashing import U64, Words, mix, words_of
+from tracewell.llm.hashing import SLICE, U64, Words, mix, text_buffers, words_of
 from tracewell.llm.tables import join_hot, stored
 
 SHINGLE, PERCENT = 5, 75
@@ -56,10 +56,24 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], docs[new]
 
 
+def block_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of the texts of a block. Whole texts go through in slices of about a
+    megabyte: what lies beside the shingles is bounded by these, not by the block."""
+    _, offsets = text_buffers(texts)
+    keys, docs, a = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, side="right")) - 1)
+        found, owner = shingles(words_of(texts.slice(a, b - a), lower=True))
+        keys.append(found)
+        docs.append(owner + a)
+        a = b
+    return np.concatenate(keys), np.concatenate(docs)
+
+
 def _send(n_buckets: int):
     def send(table: pa.Table) -> pa.Table:
         _, texts, _ = exchange.unpack(table)
-        keys, docs = shingles(words_of(texts, lower=True))
+        keys, _ = block_shingles(texts)
         cut = exchange.narrow(keys, n_buckets)
         distinct, counts = np.unique(cut, return_counts=True)
         return exchange.send_narrow(table.column("_block")[0].as_py(), distinct, counts)
@@ -72,7 +86,7 @@ def _facts(n_buckets: int):
         if not docs.num_rows:
             return _fact_rows(np.zeros(0, np.int64), np.zeros(0, bool), [])
         ids, texts, null = exchange.unpack(docs)
-        keys, owner = shingles(words_of(texts, lower=True))
+        keys, owner = block_shingles(texts)
         cut = exchange.narrow(keys, n_buckets)
         distinct, inverse, local = np.unique(cut, return_inverse=True, return_counts=True)
         told, sums = exchange.read_narrow(answers)

@@ -34,18 +34,28 @@ _FOLD[ord("A"):ord("Z") + 1] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 0x20
 
 
-def _codes(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of folded bytes and the text each is of; blanks count once."""
+#: Bytes whose n-grams are hashed and counted at once.
+_PIECE = 1 << 17
+
+
+def _count(data: np.ndarray, owner: np.ndarray, out: np.ndarray, dimensions: int) -> None:
+    """Add the hashed n-grams of folded bytes to the rows of the texts they are of;
+    blanks count once. What is held beside the bytes is as long as a piece of them."""
     data = _FOLD[data]
     keep = np.ones(len(data), dtype=bool)
     keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
-    data, owner = data[keep].astype(np.uint32), owner[keep]
-    two = data[:-1] * np.uint32(256) + data[1:]
-    three = two[:-1] * np.uint32(256) + data[2:]
-    codes = np.concatenate((two * np.uint32(0x9E3779B1), three * np.uint32(0x85EBCA77) + np.uint32(1)))
-    same = np.concatenate((owner[:-1] == owner[1:], owner[:-2] == owner[2:]))
-    who = np.concatenate((owner[:-1], owner[:-2]))
-    return (codes[same] >> np.uint32(20)).astype(np.int64), who[same]
+    data, owner = data[keep], owner[keep]
+    for a in range(0, len(data), _PIECE):
+        part, who = data[a: a + _PIECE + 2].astype(np.uint32), owner[a: a + _PIECE + 2]
+        two = part[:-1] * np.uint32(256) + part[1:]
+        three = two[:-1] * np.uint32(256) + part[2:]
+        low = int(who[0])
+        for gram, codes in ((2, two[:_PIECE] * np.uint32(0x9E3779B1)), (3, three[:_PIECE] * np.uint32(0x85EBCA77) + np.uint32(1))):
+            whole = who[: len(codes)] == who[gram - 1: gram - 1 + len(codes)]
+            cell = (codes[whole] >> np.uint32(20)) % np.uint32(dimensions) + (who[: len(codes)][whole] - low) * np.int64(dimensions)
+            if len(cell):
+                found = np.bincount(cell)
+                out[low * dimensions: low * dimensions + len(found)] += found.astype(np.float32)
 
 
 def counts(texts: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[np.ndarray]:
@@ -58,9 +68,8 @@ def counts(texts: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[np.ndarray
         out = np.zeros((b - a) * dimensions, dtype=np.float32)
         for lo in range(int(offsets[a]), int(offsets[b]), 1 << 20):
             hi = min(int(offsets[b]), lo + (1 << 20) + 2)
-            owner = np.searchsorted(offsets[a: b + 1], np.arange(lo, hi), side="right") - 1 if b - a > 1 else np.zeros(hi - lo, dtype=np.int64)
-            codes, who = _codes(data[lo:hi], owner)
-            out += np.bincount(who * dimensions + codes % dimensions, minlength=len(out)).astype(np.float32)
+            inner = np.diff(np.clip(offsets[a: b + 1], lo, hi))
+            _count(data[lo:hi], np.repeat(np.arange(b - a, dtype=np.int32), inner), out, dimensions)
         yield out.reshape(b - a, dimensions)
         a = b
 
