@@ -51,15 +51,17 @@ def build_trace_text(traces: DataFrame, templates: DataFrame, wildcard: str = "<
     depends on the features alone, so it is built once per distinct feature list and
     rows that share an id stay apart.
     """
-    words = templates.groupBy("event_id").agg(
-        F.max(T.clean_template(F.col("event_template"), wildcard)).alias("t"))
+    # written once: its real size lets the optimiser broadcast a small dictionary, and then
+    # the events of a trace never leave the task that has the trace
+    words = cut(templates.groupBy("event_id").agg(
+        F.max(T.clean_template(F.col("event_template"), wildcard)).alias("t")))
     features = F.coalesce(F.col("features"), F.lit(""))
-    marked = traces.withColumn("_f", F.md5(features))
+    marked = traces.withColumn("_f", F.unhex(F.md5(features)))
     once = marked.select("_f", features.alias("features")).dropDuplicates(["_f"])
     steps = once.select("_f", F.posexplode(T.trace_events(F.col("features"))).alias("_pos", "event_id"))
     named = lookup_or_self(steps, words, "event_id", "t")
     # distinct events of one trace: at most the size of the dictionary
-    texts = named.groupBy("_f").agg(F.array_sort(F.collect_set(F.struct("_pos", "resolved"))).alias("_seq"))
+    texts = named.groupBy("_f").agg(F.sort_array(F.collect_list(F.struct("_pos", "resolved"))).alias("_seq"))
     return marked.join(texts, "_f", "left").withColumn("log_text", F.concat(
         F.lit(cfg.TRACE_PREFIX),
         F.coalesce(F.array_join(F.transform("_seq", lambda s: s["resolved"]), " -> "), F.lit("")),

@@ -69,8 +69,9 @@ _TRACE_TEXT = """SELECT s.block_id, 'HDFS Block Trace | ' || coalesce(string_agg
     "SELECT t.block_id, coalesce(x.log_text, 'HDFS Block Trace | ') AS log_text FROM traces_v t "
     "LEFT JOIN x ON t.block_id = x.block_id", "traces_v", "templates_v", extra={"x": _TRACE_TEXT}))
 def _(spark, d):
-    return records.build_trace_text(V.traces(spark, d), V.templates(spark, d)).select(
-        "block_id", "log_text")
+    # the operator reads the traces twice: they are encoded once
+    traces = V.stored(spark, d, "traces", lambda: V.traces(spark, d))
+    return records.build_trace_text(traces, V.templates(spark, d)).select("block_id", "log_text")
 
 
 _PAYLOAD = ", ".join(
