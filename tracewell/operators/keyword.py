@@ -153,7 +153,7 @@ def build_index(corpus: DataFrame, path: str | None = None, item: str = "item_id
     path = path or scratch_dir(spark)
     kind = corpus.schema[item].dataType.simpleString()
     rows = corpus.select(F.col(item).alias("item_id"), T.tokens(F.col(text)).alias("tokens"))
-    hashes = F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
+    hashes = F.sort_array(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
     signed = rows.withColumn("_like", F.slice(hashes, 1, 2))
     dealt = signed.hint("rebalance", "_like").sortWithinPartitions("_like", "item_id").select("item_id", "tokens")
     shape = f"block bigint, items array<{kind}>, words bigint, term string, docs array<int>, tf array<int>, len array<int>"
