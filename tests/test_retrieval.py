@@ -1,4 +1,6 @@
 import math
+import uuid
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -129,6 +131,41 @@ def test_a_stored_index_is_searched_again_and_skips_blocks(spark, tmp_path, monk
     assert sum(asked) < 0.6 * shared  # the others hold no word of the query, or too little
 
 
+def test_a_search_reads_the_stored_postings_once(spark, tmp_path):
+    c = spark.createDataFrame([(i, f"disk fan{i % 7} node{i}") for i in range(60)], "item_id bigint, text string")
+    index = keyword.build_index(c, str(tmp_path / "index"))
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def counted(batches):
+        for batch in batches:
+            (seen / f"{uuid.uuid4().hex}-{batch.num_rows}").touch()
+            yield batch
+
+    n, known = index.postings.count(), index.postings
+    index = replace(index, postings=known.mapInArrow(counted, known.schema))
+    q = spark.createDataFrame([(1, "disk fan3"), (2, "node5 fan5")], "query_id bigint, text string")
+    assert keyword.search_index(index, q, 3).count() == 6
+    assert sum(int(f.name.split("-")[1]) for f in seen.iterdir()) == n
+
+
+def test_words_of_an_index_are_those_of_the_text(spark):
+    texts = ["  Disk  FAN-7, na\u00efve", "\u0130zmir \u212aelvin \ud83d\ude00fan", "\t\n ", "", None, "caf\u00e9 9\x00z"]
+    texts = [t if t is None else t.encode("utf-16", "surrogatepass").decode("utf-16") for t in texts]
+    c = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    got = keyword.build_index(c).postings.select("term", F.size("docs").alias("df"))
+    want = keyword.term_statistics(c).where("term is not null").select("term", F.col("df").cast("int"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_copies_of_an_id_do_not_crowd_out_others_of_their_block(spark):
+    rows = [(i, "disk " * (6 - i) + "fan") for i in (1, 1, 1, 1, 2, 2, 3, 4)] + [(None, "disk disk disk fan")] * 2
+    c = spark.createDataFrame(rows + [(9, "node")] * 20, "item_id bigint, text string")
+    q = spark.createDataFrame([(7, "disk")], "query_id bigint, text string")
+    got = keyword.search_index(keyword.build_index(c), q, 3).orderBy("rank")
+    assert [r.item_id for r in got.collect()] == [1, 2, None]
+
+
 def test_index_of_repeated_ids_empty_texts_and_nothing(spark):
     c = spark.createDataFrame([(1, "disk fan"), (1, "disk disk disk"), (2, None), (3, "")], "item_id bigint, text string")
     q = spark.createDataFrame([(7, "disk"), (8, ""), (9, None)], "query_id bigint, text string")

@@ -12,6 +12,7 @@ is never looked at.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -96,33 +97,77 @@ class KeywordIndex:
     stats: DataFrame
 
 
-_TABLES = ("postings", "blocks", "terms", "stats")
+#: Every byte but those of [a-z0-9] becomes a blank.
+_BLANKS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
-def _inverted(item: pa.DataType):
-    """Task that turns documents (item, tokens), in order, into rows of blocks: one with
-    the items and their number of words, and one for each term."""
-    schema = pa.schema([("block", pa.int64()), ("items", pa.list_(item)), ("words", pa.int64()), ("term", pa.string()),
-                        ("docs", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())), ("len", pa.list_(pa.int32()))])
+def _blanked(text: pa.Array) -> pa.Array:
+    """Lower-case texts with blanks for all that is not of [a-z0-9]: as ``text.tokens``
+    does, only that a wide character leaves more than one blank, which part words the same."""
+    _, offsets, data = text.buffers()
+    data = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(_BLANKS))
+    return pa.Array.from_buffers(text.type, len(text), [None, offsets, data], offset=text.offset)
+
+
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of blanked texts, in order, and the text that each stands in."""
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text))
+    word, owner = words.flatten(), pc.list_parent_indices(words)
+    real = pc.greater(pc.binary_length(word), 0)
+    if not pc.all(real).as_py():  # a blank text has one empty word
+        word, owner = word.filter(real), owner.filter(real)
+    return word, owner.to_numpy()
+
+
+def _signed(item: pa.DataType):
+    """Task that blanks lower-case texts, counts their words, and signs each with the two
+    least hashes of its words."""
+    schema = pa.schema([("item_id", item), ("text", pa.string()), ("words", pa.int64()), ("like", pa.int64())])
+    most = (1 << 31) - 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = _blanked(batch["text"])
+            word, owner = _words(text)
+            count = np.bincount(owner, minlength=len(text))
+            like, full = np.full(len(text), -1, np.int64), np.flatnonzero(count)
+            if len(full):
+                coded = word.dictionary_encode()
+                hashes = np.array([zlib.crc32(w) >> 1 for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+                found, at = hashes[coded.indices.to_numpy()], np.cumsum(count)[full] - count[full]
+                least = np.minimum.reduceat(found, at)
+                second = np.minimum.reduceat(np.where(found == np.repeat(least, count[full]), most, found), at)
+                like[full] = least << 31 | second
+            yield pa.RecordBatch.from_arrays(
+                [batch["item_id"].cast(item), text.cast(pa.string()), pa.array(count, pa.int64()), pa.array(like)], schema=schema)
+
+    return task
+
+
+def _inverted(item: pa.DataType, avg_len: float):
+    """Task that turns documents (item, blanked text), in order, into rows of blocks: one
+    with the items, and one for each term."""
+    schema = pa.schema([("block", pa.int64()), ("items", pa.list_(item)), ("term", pa.string()), ("top", pa.float64()),
+                        ("docs", pa.list_(pa.int32())), ("impacts", pa.list_(pa.float64()))])
+    k1, b = cfg.BM25_K1, cfg.BM25_B
 
     def invert(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
-        tokens = docs["tokens"].combine_chunks()
-        length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
         items = pa.array([docs["item_id"].to_pylist()], pa.list_(item))
-        yield pa.RecordBatch.from_arrays([pa.array([block]), items, pa.array([int(length.sum())]),
-                                          *[pa.nulls(1, f.type) for f in list(schema)[3:]]], schema=schema)
-        coded = tokens.flatten().dictionary_encode()
-        code, owner = coded.indices.to_numpy(), pc.list_parent_indices(tokens).to_numpy()
-        cells, tf = np.unique(code.astype(np.int64) * max(1, len(length)) + owner, return_counts=True)
-        if not len(cells):
+        yield pa.RecordBatch.from_arrays([pa.array([block]), items, *[pa.nulls(1, f.type) for f in list(schema)[2:]]], schema=schema)
+        word, owner = _words(docs["text"].combine_chunks())
+        if not len(word):
             return
+        length = np.bincount(owner, minlength=docs.num_rows)
+        coded = word.dictionary_encode()
+        cells, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(length) + owner, return_counts=True)
         term, doc = np.divmod(cells, len(length))
+        impacts = tf * (k1 + 1) / (tf + (length[doc] * b / avg_len + (1 - b)) * k1)
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
         at = pa.array(np.r_[first, len(term)], pa.int32())
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(first), block)), *[pa.nulls(len(first), schema.field(c).type) for c in ("items", "words")],
-            coded.dictionary.take(pa.array(term[first])).cast(pa.string()),
-            *[pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (doc, tf, length[doc])]], schema=schema)
+            pa.array(np.full(len(first), block)), pa.nulls(len(first), schema.field("items").type),
+            coded.dictionary.take(pa.array(term[first])).cast(pa.string()), pa.array(np.maximum.reduceat(impacts, first)),
+            pa.ListArray.from_arrays(at, pa.array(doc, pa.int32())), pa.ListArray.from_arrays(at, pa.array(impacts))], schema=schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, left = TaskContext.get().partitionId() << 32, None
@@ -144,30 +189,31 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 def build_index(corpus: DataFrame, path: str | None = None, item: str = "item_id", text: str = "text") -> KeywordIndex:
     """Write the inverted index of a corpus below ``path`` (a scratch folder if none).
 
-    The texts are read once. Documents of like words share a block: they are dealt by
-    the two least hashes of their words, and a partition that comes out too large (many
-    copies of one text) is split again at run time. The rows of a term lie together in
-    the files, those of a common one in up to ``TERM_PIECES`` places.
+    The texts are read once and their words shuffled as texts. Documents of like words
+    share a block: they are dealt by the two least hashes of their words, and a partition
+    that comes out too large (many copies of one text) is split again at run time. The
+    rows of a term lie together in the files, those of a common one in up to
+    ``TERM_PIECES`` places.
     """
     spark = corpus.sparkSession
     path = path or scratch_dir(spark)
     kind = corpus.schema[item].dataType.simpleString()
-    rows = corpus.select(F.col(item).alias("item_id"), T.tokens(F.col(text)).alias("tokens"))
-    hashes = F.sort_array(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
-    signed = rows.withColumn("_like", F.slice(hashes, 1, 2))
-    dealt = signed.hint("rebalance", "_like").sortWithinPartitions("_like", "item_id").select("item_id", "tokens")
-    shape = f"block bigint, items array<{kind}>, words bigint, term string, docs array<int>, tf array<int>, len array<int>"
-    raw = cut(dealt.mapInArrow(_inverted(_ARROW[kind]), shape))
-    # the rows without a term count every document once
-    terms, stats = _weighed(cut(raw.groupBy("term").agg(
-        F.sum(F.when(F.col("docs").isNotNull(), F.size("docs")).otherwise(F.size("items"))).alias("df"), F.sum("words").alias("words"))))
-    k1, b = cfg.BM25_K1, cfg.BM25_B
-    avg_len = F.coalesce(stats.select("avg_len").scalar(), F.lit(1.0))
-    impacts = F.zip_with("tf", "len", lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.col("_avg"))))
-    by_term = raw.where("term is not null").withColumn("_avg", avg_len).select("term", "block", "docs", impacts.alias("impacts"))
-    by_term.select("term", "block", F.array_max("impacts").alias("top"), "docs", "impacts").repartition(
+    lowered = corpus.select(F.col(item).alias("item_id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    # written once: the mean length must be known before an impact is
+    signed = cut(lowered.mapInArrow(_signed(_ARROW[kind]), f"item_id {kind}, text string, words bigint, like bigint"))
+    sizes = fitted(signed.agg(F.lit(None).cast("string").alias("term"), F.count(F.lit(1)).alias("df"), F.sum("words").alias("words")))
+    counts = sizes.first()
+    avg_len = (counts["words"] or 0) / (counts["df"] or 1) or 1.0
+    # ties by text: a task that runs again makes the same blocks
+    dealt = signed.hint("rebalance", "like").sortWithinPartitions("like", "item_id", "text").select("item_id", "text")
+    shape = f"block bigint, items array<{kind}>, term string, top double, docs array<int>, impacts array<double>"
+    dealt.mapInArrow(_inverted(_ARROW[kind], avg_len), shape).repartition(
         "term", F.pmod("block", F.lit(TERM_PIECES))).sortWithinPartitions("term", "block").write.parquet(os.path.join(path, "postings"))
-    raw.where("items is not null").select("block", "items").write.parquet(os.path.join(path, "blocks"))
+    rows = spark.read.parquet(os.path.join(path, "postings"))
+    rows.where("items is not null").select("block", "items").write.parquet(os.path.join(path, "blocks"))
+    # the rows of blocks have no term; nor has the row that counts every document once
+    counted = rows.where("term is not null").groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.lit(None).cast("bigint").alias("words"))
+    terms, stats = _weighed(cut(counted.unionByName(sizes)))
     terms.write.parquet(os.path.join(path, "terms"))
     stats.write.parquet(os.path.join(path, "stats"))
     return open_index(spark, path)
@@ -175,15 +221,16 @@ def build_index(corpus: DataFrame, path: str | None = None, item: str = "item_id
 
 def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     """An index that was written before."""
-    return KeywordIndex(*[spark.read.parquet(os.path.join(path, t)) for t in _TABLES])
+    rows, *others = [spark.read.parquet(os.path.join(path, t)) for t in ("postings", "blocks", "terms", "stats")]
+    return KeywordIndex(rows.where("term is not null").select("term", "block", "top", "docs", "impacts"), *others)
 
 
 def _scored(k: int, query: pa.DataType):
-    """Task of one block and query part: the k best of each query, with their ties."""
+    """Task of one block and query part: the k best items of each query, with their ties."""
     schema = pa.schema([("query_id", query), ("block", pa.int64()), ("doc", pa.int32()), ("raw_score", pa.float64())])
 
     def task(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows or not held.num_rows:
+        if not asked.num_rows or held["docs"].null_count == held.num_rows:
             return schema.empty_table()
         asked = asked.sort_by([("query_id", "ascending"), ("term", "ascending")])
         coded = asked["query_id"].combine_chunks().dictionary_encode()
@@ -193,32 +240,41 @@ def _scored(k: int, query: pa.DataType):
         at = docs.offsets.to_numpy()
         doc, impact = docs.values.to_numpy(), impacts.values.to_numpy()
         width = int(doc.max()) + 1
+        repeats = held["items"].combine_chunks().flatten()  # none, or the ids of all places
         score, shared = np.zeros((len(names), width)), np.zeros((len(names), width), dtype=bool)
         for q, w, p in zip(coded.indices.to_numpy(), weight, place, strict=True):
             if p == p:  # the block holds the term
                 mine = slice(at[int(p)], at[int(p) + 1])
                 score[q, doc[mine]] += w * impact[mine]
                 shared[q, doc[mine]] = True
-        score = np.where(shared, np.round(score, SCORE_DIGITS), -np.inf)
+        score, place = np.where(shared, np.round(score, SCORE_DIGITS), -np.inf), np.arange(width)
+        if len(repeats):  # an id counts once among the k best
+            ids = repeats.dictionary_encode(null_encoding="encode").indices.to_numpy()[:width]
+            _, place, ids = np.unique(ids, return_index=True, return_inverse=True)
+            best = np.full((len(place), len(names)), -np.inf)
+            np.maximum.at(best, ids, score.T)
+            score, width = best.T, len(place)
         floor = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.full(len(names), -np.inf)
-        q, d = np.nonzero(shared & (score >= floor[:, None]))
-        return pa.table([names.take(pa.array(q)), pa.array(np.full(len(q), asked["block"][0].as_py())), pa.array(d, pa.int32()),
+        q, d = np.nonzero((score > -np.inf) & (score >= floor[:, None]))
+        return pa.table([names.take(pa.array(q)), pa.array(np.full(len(q), asked["block"][0].as_py())), pa.array(place[d], pa.int32()),
                          pa.array(score[q, d])], schema=schema)
 
     return task
 
 
-def _score_blocks(pairs: DataFrame, asked: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
-    """(query_id, item_id, raw_score) for the (query_id, block) pairs that are asked for."""
+def _score_blocks(pairs: DataFrame, asked: DataFrame, known: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, raw_score) for the (query_id, block) pairs that are asked for,
+    from the postings ``known`` of the terms that are."""
     kind = asked.schema["query_id"].dataType.simpleString()
     needed = pairs.join(asked, "query_id")
     wanted = needed.select(*[F.col(c).alias(c) for c in ("term", "block", "part")]).distinct()
-    # few of all terms are asked for: the others leave before the shuffle
-    known = index.postings.select("term", "block", "docs", "impacts").join(asked.select("term").distinct(), "term", "left_semi")
-    held = known.join(wanted, ["term", "block"])
+    held = known.select("term", "block", "docs", "impacts").join(wanted, ["term", "block"])
+    # of blocks where an id repeats, the ids come along in a row without a term
+    repeats = blocks.where(F.size("items") > F.size(F.array_distinct("items"))).join(wanted.select("block", "part").distinct(), "block")
+    held = held.unionByName(repeats.select("block", "part", "items"), allowMissingColumns=True)
     found = needed.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(
         _scored(k, _ARROW[kind]), f"query_id {kind}, block bigint, doc int, raw_score double")
-    return found.join(index.blocks, "block").select("query_id", F.get("items", F.col("doc")).alias("item_id"), "raw_score")
+    return found.join(blocks, "block").select("query_id", F.get("items", F.col("doc")).alias("item_id"), "raw_score")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -238,16 +294,18 @@ def search_index(index: KeywordIndex, queries: DataFrame, k: int, query_text: st
     parts = F.ceil(queries.agg(F.count(F.lit(1)) / bound).scalar())
     asked = cut(words.join(index.terms, "term").select(
         "query_id", "term", (F.col("n") * F.col("idf")).alias("weight"), F.pmod(F.xxhash64("query_id"), parts).alias("part")))
+    # few of all terms are asked for: one pass over the index takes their rows out
+    known = cut(index.postings.join(asked.select("term").distinct(), "term", "left_semi"))
     # a term with a negative weight adds nothing to a bound
-    bounds = cut(index.postings.select("term", "block", "top").join(asked, "term").groupBy("query_id", "block").agg(
+    bounds = cut(known.select("term", "block", "top").join(asked, "term").groupBy("query_id", "block").agg(
         F.sum(F.greatest("weight", F.lit(0.0)) * F.col("top")).alias("most")))
     best = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
     first = bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= FIRST_BLOCKS).select("query_id", "block")
-    seeds = cut(_ranked(_score_blocks(first, asked, index, k), k))
+    seeds = cut(_ranked(_score_blocks(first, asked, known, index.blocks, k), k))
     floor = seeds.where(F.col("rank") == k).select("query_id", F.col("raw_score").alias("floor"))
     rest = bounds.join(first, ["query_id", "block"], "left_anti").join(floor, "query_id", "left").where(
         F.col("floor").isNull() | (F.col("most") + SLACK >= F.col("floor"))).select("query_id", "block")
-    others = _score_blocks(rest, asked, index, k)
+    others = _score_blocks(rest, asked, known, index.blocks, k)
     return _ranked(seeds.drop("rank").unionByName(others), k)
 
 
