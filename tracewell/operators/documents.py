@@ -23,11 +23,18 @@ TAG = r"<[^>]+>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+def trimmed(c: Column) -> Column:
+    """What ``strip`` leaves, without a search through the whole text; ``c`` is read several
+    times. To a regular expression the end is also before a last line separator."""
+    odd = F.endswith(c, F.lit("\u0085")) | F.endswith(c, F.lit("\u2028")) | F.endswith(c, F.lit("\u2029"))
+    return F.when(odd, strip(c)).otherwise(F.btrim(c, F.lit(" \t\n\u000b\f\r")))
+
+
 def paragraphs_from_text(df: DataFrame, text: str = "text", out: str = "paragraphs",
                          heading_max: int = HEADING_MAX_CHARS) -> DataFrame:
     """Lines as paragraphs; a short line is a heading."""
     parts = F.transform(F.split(text, "\n"), lambda x: F.struct(
-        (F.length(strip(x)) < heading_max).alias("is_heading"), x.alias("text")))
+        (F.length(trimmed(x)) < heading_max).alias("is_heading"), x.alias("text")))
     return df.withColumn(out, parts)
 
 
@@ -44,10 +51,10 @@ def paragraphs_from_html(df: DataFrame, html: str = "html", out: str = "paragrap
         body = F.regexp_replace(F.substring_index(F.substr(x, F.lit(2)), "\u0002", 1), TAG, " ")
         for name, char in ENTITIES:
             body = F.replace(body, F.lit(name), F.lit(char))
-        return F.struct(x.startswith("H").alias("is_heading"),
-                        strip(F.regexp_replace(body, r"\s+", " ")).alias("text"))
+        return F.struct(x.startswith("H").alias("is_heading"), F.regexp_replace(body, r"\s+", " ").alias("text"))
 
-    return df.withColumn(out, F.transform(pieces, resolve))
+    return df.withColumn(out, F.transform(F.transform(pieces, resolve), lambda p: F.struct(
+        p["is_heading"].alias("is_heading"), trimmed(p["text"]).alias("text"))))
 
 
 def paragraph_rows(df: DataFrame, key: str, paragraphs: str = "paragraphs") -> DataFrame:
@@ -67,7 +74,7 @@ def chunk_sections(df: DataFrame, key: str, paragraphs: str = "paragraphs",
     long = cfg.LONG_PARAGRAPH_FACTOR * max_chars
     stripped = F.filter(
         F.transform(paragraphs, lambda p: F.struct(
-            p["is_heading"].alias("is_heading"), strip(p["text"]).alias("text"))),
+            p["is_heading"].alias("is_heading"), trimmed(p["text"]).alias("text"))),
         lambda p: p["text"] != "")
     units = F.flatten(F.transform(stripped, lambda p: F.when(
         ~p["is_heading"] & (F.length(p["text"]) > long),
@@ -81,9 +88,9 @@ def chunk_sections(df: DataFrame, key: str, paragraphs: str = "paragraphs",
                         used.cast("int").alias("used"), chunks.alias("chunks"))
 
     def closed(s: Column) -> Column:
-        body = F.concat(F.lit("["), s["section"], F.lit("] "), strip(s["buffer"]))
+        body = F.concat(F.lit("["), s["section"], F.lit("] "), trimmed(s["buffer"]))
         one = F.array(F.struct(s["section"].alias("section"), body.alias("text")))
-        return F.when(strip(s["buffer"]) != "", F.concat(s["chunks"], one)).otherwise(s["chunks"])
+        return F.when(trimmed(s["buffer"]) != "", F.concat(s["chunks"], one)).otherwise(s["chunks"])
 
     def step(s: Column, u: Column) -> Column:
         size = F.length(u["text"])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewell import config as cfg
 from tracewell.functions import text as T
+from tracewell.functions import words
 from tracewell.functions.scoring import hit_label
 from tracewell.session import cut, fitted, scratch_dir
 
@@ -97,28 +98,6 @@ class KeywordIndex:
     stats: DataFrame
 
 
-#: Every byte but those of [a-z0-9] becomes a blank.
-_BLANKS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
-
-
-def _blanked(text: pa.Array) -> pa.Array:
-    """Lower-case texts with blanks for all that is not of [a-z0-9]: as ``text.tokens``
-    does, only that a wide character leaves more than one blank, which part words the same."""
-    _, offsets, data = text.buffers()
-    data = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(_BLANKS))
-    return pa.Array.from_buffers(text.type, len(text), [None, offsets, data], offset=text.offset)
-
-
-def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of blanked texts, in order, and the text that each stands in."""
-    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text))
-    word, owner = words.flatten(), pc.list_parent_indices(words)
-    real = pc.greater(pc.binary_length(word), 0)
-    if not pc.all(real).as_py():  # a blank text has one empty word
-        word, owner = word.filter(real), owner.filter(real)
-    return word, owner.to_numpy()
-
-
 def _signed(item: pa.DataType):
     """Task that blanks lower-case texts, counts their words, and signs each with the two
     least hashes of its words."""
@@ -127,8 +106,8 @@ def _signed(item: pa.DataType):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = _blanked(batch["text"])
-            word, owner = _words(text)
+            text = words.blanked(batch["text"])
+            word, owner = words.cut_words(text)
             count = np.bincount(owner, minlength=len(text))
             like, full = np.full(len(text), -1, np.int64), np.flatnonzero(count)
             if len(full):
@@ -154,7 +133,7 @@ def _inverted(item: pa.DataType, avg_len: float):
     def invert(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
         items = pa.array([docs["item_id"].to_pylist()], pa.list_(item))
         yield pa.RecordBatch.from_arrays([pa.array([block]), items, *[pa.nulls(1, f.type) for f in list(schema)[2:]]], schema=schema)
-        word, owner = _words(docs["text"].combine_chunks())
+        word, owner = words.cut_words(docs["text"].combine_chunks())
         if not len(word):
             return
         length = np.bincount(owner, minlength=docs.num_rows)

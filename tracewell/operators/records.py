@@ -89,9 +89,16 @@ def standard_payload(df: DataFrame, category: str, dataset: str, source: str) ->
 def log_corpus(records: DataFrame, key: str = "line_id",
                conf: cfg.SplitConfig = cfg.SplitConfig()) -> DataFrame:
     """Members outside the test slice, one per template and class, balanced."""
-    members = splits.kb_members(records, key, conf)
+    keep = [key, "log_text", "component", "level"]
+    # what decides, written once; the texts are made for the rows that may come first only
+    there = [F.when(F.col(c).isNotNull(), True).alias(c) for c in keep[1:]]
+    narrow = cut(records.select(key, "is_normal", "event_template", *there))
+    near = splits.near_firsts(splits.kb_members(narrow, key, conf), key, keep)
+    near = cut(near.select(F.col(key).alias("_key"), F.col("is_normal").alias("_class")).distinct())
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("is_normal") == F.col("_class"))
+    members = cut(splits.with_keys(records, near, key, "_key").join(near, same).drop("_key", "_class"))
     # one row per template: written once, then counted, ranked and capped
-    firsts = cut(splits.dedup_by_template(members, key, [key, "log_text", "component", "level"]))
+    firsts = cut(splits.dedup_by_template(members, key, keep))
     return splits.balance_classes(firsts, key).select(
         key,
         F.col("log_text").alias("text"),
@@ -105,10 +112,13 @@ def log_corpus(records: DataFrame, key: str = "line_id",
 def trace_corpus(traces: DataFrame, templates: DataFrame, key: str = "block_id",
                  conf: cfg.SplitConfig = cfg.SplitConfig()) -> DataFrame:
     """Members outside the test slice, each class capped, then turned into text."""
-    members = splits.kb_members(label_flags(traces, "label", "Success").drop("label"), key, conf)
+    flagged = label_flags(traces, "label", "Success").drop("label")
+    members = splits.kb_members(flagged.select(key, "is_normal"), key, conf)
     cap = F.when(F.col("is_normal"), cfg.TRACE_NORMAL_CAP).otherwise(cfg.TRACE_ANOMALY_CAP)
     capped = splits.cap_per_group(members, cap, "is_normal", key)
-    return build_trace_text(capped, templates, key=key).select(
+    # the features of the capped rows only; the text reads them twice
+    kept = cut(splits.chosen_rows(flagged.select(key, "is_normal", "features"), capped, "is_normal", key))
+    return build_trace_text(kept, templates, key=key).select(
         key,
         F.col("log_text").alias("text"),
         F.when(F.col("is_normal"), cfg.NORMAL).otherwise(cfg.ANOMALOUS).alias("label"),

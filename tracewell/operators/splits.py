@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import config as cfg
@@ -10,6 +13,9 @@ from tracewell.functions.ordered import first_in_order, hash_rank, rank_boundari
 from tracewell.functions.text import order_key
 from tracewell.session import cut
 
+#: Hex digits of a hash that a whole number holds.
+PREFIX_CHARS = 15
+
 
 def seeded_order(df: DataFrame, key: str, seed: int = cfg.SEED,
                  class_col: str = "is_normal") -> DataFrame:
@@ -61,6 +67,26 @@ def cap_per_group(df: DataFrame, n: int | Column, by: str, key: str, seed: int =
     return first_in_order(df, [by], key, n, seed)
 
 
+def with_keys(df: DataFrame, keys: DataFrame, key: str, found: str) -> DataFrame:
+    """Rows whose key, null too, is in the column ``found`` of ``keys``. As a subquery, unlike
+    a join, the test goes below the columns that ``df`` makes, down to the scan."""
+    return df.where(keys.where(F.col(found).eqNullSafe(F.col(key).outer())).exists())
+
+
+def chosen_rows(df: DataFrame, chosen: DataFrame, by: str, key: str) -> DataFrame:
+    """The rows of ``df`` that stand in ``chosen``, by group and key; of rows with one key as
+    many as ``chosen`` has.
+
+    ``chosen`` is made of the columns that decide alone. The rows are looked up by their key
+    first, so a text that is dear to build is built for them only.
+    """
+    counts = cut(chosen.groupBy(F.col(by).alias("_by"), F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_most")))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    placed = with_keys(df, counts, key, "_key").join(counts, same & (F.col(by) == F.col("_by")))
+    turn = F.row_number().over(Window.partitionBy(by, key).orderBy(F.lit(0)))
+    return placed.withColumn("_turn", turn).where(F.col("_turn") <= F.col("_most")).drop("_by", "_key", "_most", "_turn")
+
+
 def sample_classes(df: DataFrame, key: str, normal_cap: int | None = cfg.SAMPLE_NORMAL_CAP,
                    type_col: str | None = "type", per_type: int | None = cfg.SAMPLE_PER_TYPE,
                    anomaly_cap: int | None = None) -> DataFrame:
@@ -77,6 +103,23 @@ def sample_classes(df: DataFrame, key: str, normal_cap: int | None = cfg.SAMPLE_
     return normal.unionByName(anomalous).drop("_all")
 
 
+def near_firsts(df: DataFrame, key: str, keep: list[str], template_col: str = "event_template",
+                class_col: str = "is_normal", seed: int = cfg.SEED) -> DataFrame:
+    """Rows with a template among which each column has its first non-null value of the
+    template and class: those that have the least hash prefix, as a rule one row.
+
+    The least prefixes are numbers, so all rows pass through a hash aggregate unsorted.
+    """
+    place = F.conv(F.substring(order_key(F.col(key), seed), 1, PREFIX_CHARS), 16, 10).cast("bigint")
+    named = df.where(F.col(template_col).isNotNull()).withColumn("_place", F.coalesce(place, F.lit(-1)))
+    marks = {"_m": F.col("_place")} | {f"_m{i}": F.when(F.col(c).isNotNull(), F.col("_place")) for i, c in enumerate(keep)}
+    least = cut(named.groupBy(F.col(template_col).alias("_t"), F.col(class_col).alias("_c")).agg(
+        *[F.min(mark).alias(name) for name, mark in marks.items()]))
+    met = named.join(least, (F.col(template_col) == F.col("_t")) & F.col(class_col).eqNullSafe(F.col("_c")))
+    hits = [mark == F.col(name) for name, mark in marks.items()]
+    return met.where(reduce(or_, hits)).select(*df.columns)
+
+
 def dedup_by_template(df: DataFrame, key: str, keep: list[str], template_col: str = "event_template",
                       class_col: str = "is_normal", seed: int = cfg.SEED) -> DataFrame:
     """One row per template and class; each column takes its first non-null value.
@@ -86,7 +129,7 @@ def dedup_by_template(df: DataFrame, key: str, keep: list[str], template_col: st
     """
     rank = F.struct(order_key(F.col(key), seed), F.col(key))
     return (
-        df.where(F.col(template_col).isNotNull())
+        near_firsts(df, key, keep, template_col, class_col, seed)
         .groupBy(template_col, class_col)
         .agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in keep])
     )

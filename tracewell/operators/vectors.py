@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, Normalizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -14,33 +18,62 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import scoring as S
 from tracewell.functions import text as T
+from tracewell.functions import words
 from tracewell.session import fitted
 
 
+#: Bytes of text whose words are counted at a time.
+PIECE_BYTES = 1 << 22
+
+
+def _number(word: bytes) -> int:
+    """The first seven hex digits of the digest."""
+    return int.from_bytes(hashlib.md5(word).digest()[:4]) >> 4
+
+
+def _bucket_counts(text: pa.Array, dims: int) -> np.ndarray:
+    """Words of lower-case texts by bucket: a row per text."""
+    counts = np.zeros((len(text), dims))
+    blank = words.blanked(text)
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = np.flatnonzero(np.diff(ends // PIECE_BYTES, prepend=-1))
+    for a, b in pairwise([*first, len(text)]):
+        word, owner = words.cut_words(blank.slice(a, b - a))
+        coded = word.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        bucket = np.fromiter(map(_number, distinct), np.int64, len(distinct)) % dims
+        cells = owner.astype(np.int64) * dims + bucket[coded.indices.to_numpy()]
+        counts[a:b] = np.bincount(cells, minlength=(b - a) * dims).reshape(-1, dims)
+    return counts
+
+
 def hashed_embedding(df: DataFrame, text: str, dims: int = 64, out: str = "vector",
                      normalise: bool = True) -> DataFrame:
     """Word counts hashed into ``dims`` buckets; stateless and engine-neutral.
 
-    The bucket of a word comes from its digest, so any engine finds the same.
-    Counting runs in the JVM against a fixed vocabulary of bucket numbers.
+    The bucket of a word comes from its digest, so any engine finds the same. Texts are
+    cut into words in Arrow, and a word is hashed once for all places of a piece of a batch.
     """
-    buckets = F.transform(T.tokens(F.col(text)), lambda t: (
-        F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % dims).cast("string"))
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], "_words", "_counts", minTF=1.0)
-    counted = counter.transform(df.withColumn("_words", buckets)).drop("_words")
-    if normalise:
-        counted = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
-    source = "_unit" if normalise else "_counts"
-    return counted.withColumn(out, vector_to_array(source)).drop("_counts", "_unit")
+
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        counts = _bucket_counts(batch, dims)
+        if normalise:
+            length = np.sqrt(np.square(counts).sum(axis=1, keepdims=True))
+            np.divide(counts, length, out=counts, where=length > 0)
+        at = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dims)
+        return pa.ListArray.from_arrays(at, pa.array(counts.ravel()))
+
+    return df.withColumn(out, run(F.lower(F.coalesce(F.col(text), F.lit("")))))
 
 
 def tfidf_embedding(df: DataFrame, text: str, dims: int = 1024, out: str = "vector",
                     fit_on: DataFrame | None = None) -> DataFrame:
     """Hashed term frequencies weighted by inverse document frequency, unit length."""
-    words = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf")
+    hashing = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf")
 
     def counted(x: DataFrame) -> DataFrame:
-        return words.transform(x.withColumn("_words", T.tokens(F.col(text)))).drop("_words")
+        return hashing.transform(x.withColumn("_words", T.tokens(F.col(text)))).drop("_words")
 
     model = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted(df if fit_on is None else fit_on))
     unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit").transform(model.transform(counted(df)))

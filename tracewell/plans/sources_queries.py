@@ -12,7 +12,7 @@ from tracewell.plans import views as V
 from tracewell.plans.context_queries import _CHUNKS, _HTML, _PARAS, _STEP, _UNITS
 from tracewell.plans.records_queries import _BALANCE, _DEDUP, _RCA_DOCS, _RCA_SQL, _TSPLIT
 from tracewell.plans.registry import query
-from tracewell.session import scratch_dir
+from tracewell.session import cut, scratch_dir
 from tracewell.sources import collections as C
 from tracewell.sources import logs as L
 
@@ -158,9 +158,10 @@ _BUILD = ("WITH RECURSIVE " + V.sql("", "records_v", "traces_v").strip()[len("WI
 def _(spark, d):
     docs = V.table(spark, d, "documents", spread=True)
     pages = documents.paragraphs_from_html(V.table(spark, d, "pages", spread=True))
+    known = cut(V.templates(spark, d))
     parts = {
-        "bgl_logs": (records.log_corpus(V.log_records(spark, d)), "events"),
-        "hdfs_logs": (records.trace_corpus(V.traces(spark, d), V.templates(spark, d)), "documents"),
+        "bgl_logs": (records.log_corpus(V.log_records(spark, d, known)), "events"),
+        "hdfs_logs": (records.trace_corpus(V.traces(spark, d), known), "documents"),
         "bgl_rca": (records.rca_documents(V.rca_entries(spark, d)), "conversations"),
         "role_sre": (documents.chunk_sections(pages, "page_id"), "pages"),
     }

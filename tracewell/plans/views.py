@@ -97,10 +97,10 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("event_id", F.col("_template").alias("event_template")).distinct()
 
 
-def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled text records of the log lines."""
+def log_records(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Labelled text records of the log lines; ``known`` are the templates, where they are written already."""
     joined = logs(spark, sf_dir).drop("_template").join(
-        templates(spark, sf_dir), "event_id", "left"
+        templates(spark, sf_dir) if known is None else known, "event_id", "left"
     )
     normal = S.is_normal(F.col("label"), "-")
     return joined.select(
