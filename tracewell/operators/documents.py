@@ -16,6 +16,7 @@ from tracewell.operators.records import standard_payload
 # fixed values: how block markup is read
 HEADING_MAX_CHARS = 40
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+HIDDEN_FAST = r"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->)"  # the same, sought by one character
 HEADING_START = r"(?i)<h[1-6][^>]*>"
 PARAGRAPH_START = r"(?i)<p(\s[^>]*)?>"
 BLOCK_END = r"(?i)</(h[1-6]|p)>"
@@ -40,7 +41,7 @@ def paragraphs_from_text(df: DataFrame, text: str = "text", out: str = "paragrap
 
 def paragraphs_from_html(df: DataFrame, html: str = "html", out: str = "paragraphs") -> DataFrame:
     """Headings and paragraphs of a page in order, markup and entities resolved."""
-    marked = F.regexp_replace(F.col(html), HIDDEN, " ")
+    marked = F.regexp_replace(F.col(html), HIDDEN_FAST, " ")
     marked = F.regexp_replace(marked, HEADING_START, "\u0001H")
     marked = F.regexp_replace(marked, PARAGRAPH_START, "\u0001P")
     marked = F.regexp_replace(marked, BLOCK_END, "\u0002")

@@ -93,7 +93,8 @@ def log_corpus(records: DataFrame, key: str = "line_id",
     # what decides, written once; the texts are made for the rows that may come first only
     there = [F.when(F.col(c).isNotNull(), True).alias(c) for c in keep[1:]]
     narrow = cut(records.select(key, "is_normal", "event_template", *there))
-    near = splits.near_firsts(splits.kb_members(narrow, key, conf), key, keep)
+    allowed = cut(splits.kb_members(narrow, key, conf).withColumn("_place", splits.hash_place(key)))
+    near = splits.near_firsts(allowed, F.col("_place"), keep)
     near = cut(near.select(F.col(key).alias("_key"), F.col("is_normal").alias("_class")).distinct())
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("is_normal") == F.col("_class"))
     members = cut(splits.with_keys(records, near, key, "_key").join(near, same).drop("_key", "_class"))

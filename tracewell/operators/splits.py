@@ -103,16 +103,20 @@ def sample_classes(df: DataFrame, key: str, normal_cap: int | None = cfg.SAMPLE_
     return normal.unionByName(anomalous).drop("_all")
 
 
-def near_firsts(df: DataFrame, key: str, keep: list[str], template_col: str = "event_template",
-                class_col: str = "is_normal", seed: int = cfg.SEED) -> DataFrame:
+def hash_place(key: str, seed: int = cfg.SEED) -> Column:
+    """The beginning of the shuffle key as a whole number; a null key comes first."""
+    return F.coalesce(F.conv(F.substring(order_key(F.col(key), seed), 1, PREFIX_CHARS), 16, 10).cast("bigint"), F.lit(-1))
+
+
+def near_firsts(df: DataFrame, place: Column, keep: list[str], template_col: str = "event_template",
+                class_col: str = "is_normal") -> DataFrame:
     """Rows with a template among which each column has its first non-null value of the
-    template and class: those that have the least hash prefix, as a rule one row.
+    template and class: those of the least ``place``, as a rule one row.
 
-    The least prefixes are numbers, so all rows pass through a hash aggregate unsorted.
+    Places are numbers, so all rows pass through a hash aggregate unsorted.
     """
-    place = F.conv(F.substring(order_key(F.col(key), seed), 1, PREFIX_CHARS), 16, 10).cast("bigint")
-    named = df.where(F.col(template_col).isNotNull()).withColumn("_place", F.coalesce(place, F.lit(-1)))
-    marks = {"_m": F.col("_place")} | {f"_m{i}": F.when(F.col(c).isNotNull(), F.col("_place")) for i, c in enumerate(keep)}
+    named = df.where(F.col(template_col).isNotNull()).withColumn("_at", place)
+    marks = {"_m": F.col("_at")} | {f"_m{i}": F.when(F.col(c).isNotNull(), F.col("_at")) for i, c in enumerate(keep)}
     least = cut(named.groupBy(F.col(template_col).alias("_t"), F.col(class_col).alias("_c")).agg(
         *[F.min(mark).alias(name) for name, mark in marks.items()]))
     met = named.join(least, (F.col(template_col) == F.col("_t")) & F.col(class_col).eqNullSafe(F.col("_c")))
@@ -129,7 +133,7 @@ def dedup_by_template(df: DataFrame, key: str, keep: list[str], template_col: st
     """
     rank = F.struct(order_key(F.col(key), seed), F.col(key))
     return (
-        near_firsts(df, key, keep, template_col, class_col, seed)
+        near_firsts(df, hash_place(key, seed), keep, template_col, class_col)
         .groupBy(template_col, class_col)
         .agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in keep])
     )
